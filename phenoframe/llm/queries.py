@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phenoframe.llm import neardup as _neardup
 from phenoframe.llm import nearest as _nearest
 from phenoframe.llm import splits as _splits
 from phenoframe.session import table
@@ -24,6 +25,15 @@ def p1_split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _splits.split_report(p1_splits(spark, sf_dir), table(spark, sf_dir, "split_targets"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _neardup.near_pairs(table(spark, sf_dir, "notes"), "note_id", "note", run=3, t=0.6, least_words=30)
+    return got.select(F.col("a").alias("note_id_a"), F.col("b").alias("note_id_b"))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neardup.near_groups(table(spark, sf_dir, "notes"), "note_id", "note", run=3, t=0.6, least_words=30)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     icd, note = table(spark, sf_dir, "icd"), table(spark, sf_dir, "note")
     got = _nearest.nearest(icd, note, "icd_id", "patient_id", "icd_date", "visit_id", "patient_id", "note_date", hours=48)
@@ -31,7 +41,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p5_found)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p2_found, p2_groups, p5_found)}
 
 
 _KEYS = r"""
