@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phenoframe.llm import bpe as _bpe
 from phenoframe.llm import neardup as _neardup
 from phenoframe.llm import nearest as _nearest
 from phenoframe.llm import splits as _splits
@@ -40,8 +41,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("left_id").alias("icd_id"), F.col("right_id").alias("visit_id"))
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
+
+
+def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    one = _bpe.encode(docs, "text", "n_50k", count_only=True)
+    return _bpe.encode(one, "text", "n_multi_50k", f"{_bpe.VOCABULARIES}/byte_bpe_multi_50k.tiktoken", count_only=True).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p2_found, p2_groups, p5_found)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p2_found, p2_groups, p5_found, p8_ids, p8_counts)}
 
 
 _KEYS = r"""
