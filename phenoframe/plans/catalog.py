@@ -1,6 +1,19 @@
-def queries():
-    return {}
+"""The queries of the core operators and their SQL."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from phenoframe.plans import eventqueries
+
+_PARTS = (eventqueries,)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: s for part in _PARTS for name, s in part.SQL.items()}
