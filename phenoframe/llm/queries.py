@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from phenoframe.llm import bpe as _bpe
 from phenoframe.llm import neardup as _neardup
 from phenoframe.llm import nearest as _nearest
+from phenoframe.llm import pagespam as _pagespam
 from phenoframe.llm import splits as _splits
 from phenoframe.session import table
 
@@ -51,8 +52,17 @@ def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bpe.encode(one, "text", "n_multi_50k", f"{_bpe.VOCABULARIES}/byte_bpe_multi_50k.tiktoken", count_only=True).drop("text")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _pagespam.flag_pages(docs, "text").where("page_shape.flagged").select("doc_id").distinct()
+
+
+def p10_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pagespam.shape_report(_pagespam.flag_pages(table(spark, sf_dir, "documents").select("text"), "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p2_found, p2_groups, p5_found, p8_ids, p8_counts)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p2_found, p2_groups, p5_found, p8_ids, p8_counts, p10_found, p10_shapes)}
 
 
 _KEYS = r"""
