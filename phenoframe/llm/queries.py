@@ -12,6 +12,7 @@ from phenoframe.llm import neardup as _neardup
 from phenoframe.llm import nearest as _nearest
 from phenoframe.llm import pagespam as _pagespam
 from phenoframe.llm import splits as _splits
+from phenoframe.llm import valuemap as _valuemap
 from phenoframe.session import table
 
 
@@ -36,6 +37,14 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neardup.near_groups(table(spark, sf_dir, "notes"), "note_id", "note", run=3, t=0.6, least_words=30)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _valuemap.map_rows(table(spark, sf_dir, "med"), "med_id", "med_name", table(spark, sf_dir, "med_ref"), "ref_id", "canonical_name", "brand_name")
+
+
+def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _valuemap.unmatched(table(spark, sf_dir, "med"), "med_name", table(spark, sf_dir, "med_ref"), "ref_id", "canonical_name", "brand_name")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     icd, note = table(spark, sf_dir, "icd"), table(spark, sf_dir, "note")
     got = _nearest.nearest(icd, note, "icd_id", "patient_id", "icd_date", "visit_id", "patient_id", "note_date", hours=48)
@@ -62,7 +71,7 @@ def p10_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p2_found, p2_groups, p5_found, p8_ids, p8_counts, p10_found, p10_shapes)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p2_found, p2_groups, p4_found, p4_unmatched, p5_found, p8_ids, p8_counts, p10_found, p10_shapes)}
 
 
 _KEYS = r"""
