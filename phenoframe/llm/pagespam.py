@@ -87,7 +87,7 @@ OFFERS = frozenset("buy sale cheap discount deal order online price shop offer o
 
 
 def _lines(text: str) -> list[str]:
-    return [x for x in (y.strip() for y in re.split(r"[\n\r  \v\f]+", text)) if x]
+    return [x for x in (y.strip() for y in re.split("[\n\r\v\f\x85\u2028\u2029]+", text)) if x]
 
 
 def page_shapes(text: str | None) -> tuple[float, float, str]:

@@ -11,6 +11,7 @@ from phenoframe.llm import bpe as _bpe
 from phenoframe.llm import neardup as _neardup
 from phenoframe.llm import nearest as _nearest
 from phenoframe.llm import pagespam as _pagespam
+from phenoframe.llm import sentences as _sentences
 from phenoframe.llm import splits as _splits
 from phenoframe.llm import valuemap as _valuemap
 from phenoframe.session import table
@@ -51,6 +52,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("left_id").alias("icd_id"), F.col("right_id").alias("visit_id"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sentences.split_sentences(table(spark, sf_dir, "notes"), "note_id", "note")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
 
@@ -71,7 +76,7 @@ def p10_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p2_found, p2_groups, p4_found, p4_unmatched, p5_found, p8_ids, p8_counts, p10_found, p10_shapes)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p2_found, p2_groups, p4_found, p4_unmatched, p5_found, p7_found, p8_ids, p8_counts, p10_found, p10_shapes)}
 
 
 _KEYS = r"""
