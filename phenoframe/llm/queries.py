@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenoframe.llm import bpe as _bpe
+from phenoframe.llm import deid as _deid
 from phenoframe.llm import neardup as _neardup
 from phenoframe.llm import nearest as _nearest
 from phenoframe.llm import pagespam as _pagespam
@@ -38,6 +39,18 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neardup.near_groups(table(spark, sf_dir, "notes"), "note_id", "note", run=3, t=0.6, least_words=30)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _deid.mentions(table(spark, sf_dir, "notes"), "note_id", "note").select("note_id", "kind", "start_pos")
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _deid.redact(table(spark, sf_dir, "notes").select("note_id", "note"), "note", "redacted").select("note_id", "redacted")
+
+
+def p3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _deid.surrogates(table(spark, sf_dir, "notes"), "note_id", "note", "surrogated", secret="a secret of the site")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _valuemap.map_rows(table(spark, sf_dir, "med"), "med_id", "med_name", table(spark, sf_dir, "med_ref"), "ref_id", "canonical_name", "brand_name")
 
@@ -76,7 +89,7 @@ def p10_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p2_found, p2_groups, p4_found, p4_unmatched, p5_found, p7_found, p8_ids, p8_counts, p10_found, p10_shapes)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p2_found, p2_groups, p3_found, p3_redacted, p3_surrogates, p4_found, p4_unmatched, p5_found, p7_found, p8_ids, p8_counts, p10_found, p10_shapes)}
 
 
 _KEYS = r"""
