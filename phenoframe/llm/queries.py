@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from phenoframe.llm import bpe as _bpe
 from phenoframe.llm import deid as _deid
+from phenoframe.llm import mixing as _mixing
 from phenoframe.llm import neardup as _neardup
 from phenoframe.llm import nearest as _nearest
 from phenoframe.llm import pagespam as _pagespam
 from phenoframe.llm import sentences as _sentences
 from phenoframe.llm import splits as _splits
 from phenoframe.llm import valuemap as _valuemap
-from phenoframe.session import table
+from phenoframe.session import cut, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +80,22 @@ def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bpe.encode(one, "text", "n_multi_50k", f"{_bpe.VOCABULARIES}/byte_bpe_multi_50k.tiktoken", count_only=True).drop("text")
 
 
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("source is not null").select("doc_id", "source", "text")
+    return cut(_bpe.encode(docs, "text", "n_tokens", count_only=True).drop("text"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _sized(spark, sf_dir)
+    return _mixing.mix(docs, table(spark, sf_dir, "mix_targets"), "doc_id", "source", "n_tokens")
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    chosen = _mixing.mix(docs, targets, "doc_id", "source", "n_tokens")
+    return _mixing.mix_report(chosen, docs, targets, "source", "n_tokens")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return _pagespam.flag_pages(docs, "text").where("page_shape.flagged").select("doc_id").distinct()
@@ -89,7 +106,7 @@ def p10_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p2_found, p2_groups, p3_found, p3_redacted, p3_surrogates, p4_found, p4_unmatched, p5_found, p7_found, p8_ids, p8_counts, p10_found, p10_shapes)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p2_found, p2_groups, p3_found, p3_redacted, p3_surrogates, p4_found, p4_unmatched, p5_found, p7_found, p8_ids, p8_counts, p9_mix, p9_report, p10_found, p10_shapes)}
 
 
 _KEYS = r"""
