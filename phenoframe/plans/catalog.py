@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phenoframe.plans import eventqueries
+from phenoframe.plans import coded, eventqueries
 
-_PARTS = (eventqueries,)
+_BOOKS = (coded.query,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+    return {name: q for b in _BOOKS for name, q in b.queries.items()} | eventqueries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: s for part in _PARTS for name, s in part.SQL.items()}
+    return {name: s for b in _BOOKS for name, s in b.sql.items()} | eventqueries.SQL

@@ -21,7 +21,6 @@ def p6_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("patient_id", F.explode(F.filter(cells, lambda x: x["n"] > 0)).alias("x")).select("patient_id", "x.feature", "x.n", "x.days", "x.total")
 
 QUERIES = {"p6_features": p6_features, "p6_long": p6_long}
-
 SQL = {
     "p6_long": r"""
 with i as (select * from (select *, row_number() over (partition by icd_id order by loaded_at desc) as k from icd where icd_id is not null) where k = 1),
