@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from phenoframe.session import spread
 
 LINK = re.compile(r"""<a\s[^>]*>.*?</a>|\[[^\]\n]{0,80}\]\([^)\s]+\)|(?:https?://|www\.)\S+|\b[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.[a-z]{2,10}/\S*""", re.I)
+#: What a line must hold to have a link at all: cheap to look for.
+MAYBE_LINK = re.compile(r"https?:|www\.|<a\s|\]\(|\.[a-z]{2,10}/", re.I)
 ENDER = re.compile(r"""[.!?…][)\]"'”’»]*(?=\s|$)|[。！？｡．।؟۔։።]""")
 #: Marks that part the entries of menus and lists.
-BARS = re.compile(r"\s*[|»›·•¦｜>]\s*|\s+[*/~–—-]+\s+|\s{3,}|[|｜]+")
-COMMAS = re.compile(r"\s*[,،、，;；]\s*")
+BARS = re.compile(r"[|»›·•¦｜>]|\s[*/~–—-]+(?=\s)|\s{3,}")
+COMMAS = re.compile(r"[,،、，;；]")
 ITEM = re.compile(r"^\s*(?:[-*•·–—]|\(?\d{1,3}[.)])\s+")
 PRICE = re.compile(r"(?:[$€£¥]\s?)?\d{1,5}[.,]\d{2}(?:\s?(?:[$€£¥]|usd|eur))?\s*$", re.I)
 ARTICLE = re.compile(r"\b[A-Z]{2,5}[-#]?\d{4,}\b|#\d{4,}\b")
+LABEL, DIGIT, JOINT = re.compile(r"^\s*[\w ]{1,20}:\s"), re.compile(r"\d"), re.compile(r"(?<=\w)[-_+](?=\w)")
 DOSE = re.compile(r"\d\s*(?:mg|g|mcg|µg|ml|mmol|units?|iu|%)\b", re.I)
 #: A page is flagged when at least MOST of its characters lie in non-sentence lines of at most SHAPES shapes.
 MOST, SHAPES = 0.5, 4
@@ -44,35 +47,44 @@ def _stuffed(words: list[str], enders: int) -> bool:
     return enders <= len(words) // 25 and len(run) <= 0.4 * len(words)
 
 
+def _tags(tokens: list[str]) -> bool:
+    n = sum(t[0] == "#" and len(t) > 1 for t in tokens)
+    return n > 0 and n >= (0.6 if n >= 3 else 1) * len(tokens)
+
+
+def _chains(tokens: list[str]) -> bool:
+    n = sum(t.count("-") + t.count("_") + t.count("+") >= 2 and len(JOINT.findall(t)) >= 2 for t in tokens)
+    return n >= 3 and n >= 0.4 * len(tokens)
+
+
+def _brief(parts: list[str]) -> bool:
+    return sum(len(p) <= 44 and len(p.split()) <= 5 for p in parts) >= 0.9 * len(parts)
+
+
 def line_shape(line: str) -> tuple[str, str]:
     """The kind of a line and its shape: kind, length, capitals, separators, links. Kinds other than sentence, entry and short are non-sentence kinds."""
-    links = LINK.findall(line)
-    bare = LINK.sub(" ", line)
+    links = LINK.findall(line) if MAYBE_LINK.search(line) else []
+    bare = LINK.sub(" ", line) if links else line
     words = bare.split()
-    tokens = line.split()
     enders = len(ENDER.findall(bare))
-    bars = [p for p in BARS.split(ITEM.sub("", bare)) if p.strip()]
-    commas = [p for p in COMMAS.split(re.sub(r"^\s*[\w ]{1,20}:\s", "", bare.strip())) if p.strip()]
-    digits = sum(any(c.isdigit() for c in p) for p in bars)
-    brief = lambda parts, most: sum(len(p.split()) <= 5 and len(p) <= 40 for p in parts) >= most * len(parts)
-    hashes = sum(t.startswith("#") and len(t) > 1 for t in tokens)
-    chains = sum(len(re.findall(r"(?<=\w)[-_+](?=\w)", t)) >= 2 for t in tokens)
     kind = "sentence"
+    bars = [p for p in BARS.split(ITEM.sub("", bare)) if p.strip()]
+    commas = [p for p in COMMAS.split(LABEL.sub("", bare)) if p.strip()]
     if links and len(words) <= 8 * len(links) and (enders == 0 or len(words) <= 3 * len(links)):
         kind = "links"
-    elif hashes and hashes >= (0.6 if hashes >= 3 else 1) * len(tokens):
+    elif "#" in line and _tags(line.split()):
         kind = "tags"
-    elif chains >= 3 and chains >= 0.4 * len(tokens):
+    elif ("-" in line or "_" in line or "+" in line) and _chains(line.split()):
         kind = "chains"
     elif ARTICLE.search(bare) and PRICE.search(bare):
         kind = "goods"
-    elif len(bars) >= 4 and brief(bars, 0.9) and enders <= len(bars) // 8 and digits <= 0.4 * len(bars):
+    elif len(bars) >= 4 and enders <= len(bars) // 8 and _brief(bars) and sum(DIGIT.search(p) is not None for p in bars) <= 0.4 * len(bars):
         kind = "menu"
-    elif len(commas) >= 6 and brief(commas, 0.9) and enders <= len(commas) // 8:
+    elif len(commas) >= 6 and enders <= len(commas) // 8 and _brief(commas):
         kind = "list"
     elif len(words) >= 12 and _stuffed(words, enders):
         kind = "repeats"
-    elif ITEM.match(line) or "\t" in line.strip() or DOSE.search(bare) and len(words) <= 8:
+    elif ITEM.match(line) or "\t" in line.strip() or len(words) <= 8 and DOSE.search(bare):
         kind = "entry"
     elif len(words) <= 7 and not enders:
         kind = "short"
@@ -127,7 +139,8 @@ def flag_pages(df: DataFrame, text: str, most: float = MOST) -> DataFrame:
             out["flagged"] = out["few_share"] > most
             yield out
 
-    return spread(df).withColumn("page_shape", F.pandas_udf(run, _OUT)(F.col(text)))
+    shaped = F.pandas_udf(run, _OUT).asNondeterministic()  # else a filter on the outcome would run before the rows are spread
+    return spread(df).withColumn("page_shape", shaped(F.col(text)))
 
 
 def shape_report(flagged: DataFrame) -> DataFrame:
