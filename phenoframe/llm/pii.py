@@ -4,6 +4,7 @@ E-mail addresses and street addresses are found by form, numbers by form and the
 them: titles, roles, labels, verbs of speech. Names found once in a text are found wherever they recur in it.
 """
 
+import unicodedata
 from typing import NamedTuple
 
 import regex
@@ -68,9 +69,9 @@ ID_VALUE = regex.compile(r"(?<![\p{Latin}\d])(?=(?:[A-Za-z./ -]{0,5}\d){4})(?:[A
 SSN = regex.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 _SEP = r"(?:\s?[-./–]\s?|\s)?"
 PHONE = regex.compile(rf"(?<![\p{{Latin}}\d.,/#@+-])(?:\+\s?\d{{1,3}}{_SEP}|00\d{{2}}{_SEP}|\(\+?\d{{1,4}}\){_SEP}|1{_SEP}(?=\(?\d{{3}}))?(?:\(\d{{1,5}}\){_SEP})?\d{{1,5}}(?:{_SEP}\d{{1,5}}){{0,5}}(?![\p{{Latin}}\d]|[.,/]\d|[-–]\d)")
-_PHONE_BEFORE = regex.compile(rf"(?:(?<![\p{{L}}])(?:{_PHONE_WORDS}))[^\d.;!?。]{{0,45}}$|(?:{_words('tel|fax|ph|tél|telf|тел')})[.:]?\s*$", regex.I | V1)
-_ID_BEFORE = regex.compile(rf"(?<![\p{{L}}])(?:{_ID_WORDS})(?:\s*(?:no|nr|num|number|id|n°|nº|№|#)\b\.?)?\s*(?:[.:#=]|is|was|lautet|es|ist|est|为|為|は|：|号)*\s*$", regex.I | V1)
-_OTHER_BEFORE = regex.compile(rf"(?<![\p{{L}}])(?:{_OTHER_WORDS})[\s:.#]*(?:no|number|nr)?[\s:.#]*$", regex.I | V1)
+_PHONE_BEFORE = regex.compile(rf"(?r)(?:(?<![\p{{L}}])(?:{_PHONE_WORDS}))[^\d.;!?。]{{0,45}}$|(?:{_words('tel|fax|ph|tél|telf|тел')})[.:]?\s*$", regex.I | V1)
+_ID_BEFORE = regex.compile(rf"(?r)(?<![\p{{L}}])(?:{_ID_WORDS})(?:\s*(?:no|nr|num|number|id|n°|nº|№|#)\b\.?)?\s*(?:[.:#=]|is|was|lautet|es|ist|est|为|為|は|：|号)*\s*$", regex.I | V1)
+_OTHER_BEFORE = regex.compile(rf"(?r)(?<![\p{{L}}])(?:{_OTHER_WORDS})[\s:.#]*(?:no|number|nr)?[\s:.#]*$", regex.I | V1)
 #: Forms that are telephone numbers wherever they stand.
 _PHONE_FORM = regex.compile(r"\+\s?\d[\d\s().–/-]{6,}\d|00\d{2}[\s.-]\d[\d\s.-]{5,}\d|\(\d{2,5}\)\s?\d{2,4}[\s.–/-]?\d{3,5}|(?:1[-. ])?\d{3}([-. ])\d{3}\1\d{4}|0\d([ .-])\d\d\2\d\d\2\d\d\2\d\d")
 
@@ -134,33 +135,73 @@ _EPONYM = regex.compile(r"\s+(?:['’]s\s+)?(?i:disease|syndrome|sign|test|refle
 _INSTITUTION = regex.compile(r"(?i:\b(?:unit|ward|wing|pavilion|house|hospital|clinic|at|behind|from)\s+)$")
 
 
+_NAME_WORD, _LONG_WORD = regex.compile(r"[\p{L}\p{M}'’-]+\.?"), regex.compile(r"[\p{L}\p{M}'’-]{4,}")
+_INITIAL, _SMALL, _DIGIT = regex.compile(_INI), regex.compile(r"\p{Ll}"), regex.compile(r"\d")
+_POSSESSIVE, _THREE_FOUR = regex.compile(r"['’][sS]$"), regex.compile(r"\d{3}[-. /]+\d{4}")
+
+
+def _bare(word: str) -> str:
+    return _POSSESSIVE.sub("", word.rstrip(".")).lower()
+
+
 def _fits(text: str, a: int, b: int, why: str) -> tuple[int, int] | None:
     """The part of text[a:b] that may be a name, without words that are none at either side."""
-    words = [(m.start() + a, m.end() + a, m[0]) for m in regex.finditer(r"[\p{L}\p{M}'’-]+\.?", text[a:b])]
-    bare = lambda w: regex.sub(r"['’]s$", "", w.rstrip(".")).lower()
+    words = [(m.start() + a, m.end() + a, m[0]) for m in _NAME_WORD.finditer(text[a:b])]
+    bare = _bare
     upper = [w for *_, w in words if len(w) > 2]
-    if words and bare(words[0][2]) in _NOT and not regex.fullmatch(_INI, words[0][2]):
+    if words and bare(words[0][2]) in _NOT and not _INITIAL.fullmatch(words[0][2]):
         return None
     end = len(words)
     for k, (_, _, w) in enumerate(words):
-        if bare(w) in _NOT and not regex.fullmatch(_INI, w):
+        if bare(w) in _NOT and not _INITIAL.fullmatch(w):
             end = k
             break
     words = words[:end]
-    while words and regex.fullmatch(_INI, words[-1][2]):
+    while words and _INITIAL.fullmatch(words[-1][2]):
         words.pop()
     if not words or not upper or all(len(bare(w)) < 2 for *_, w in words):
         return None
     a, b = words[0][0], words[-1][1]
-    if why in ("kin", "say", "age") and text[a:b].isupper() and len(text[a:b]) > 3 and not regex.search(r"\p{Ll}", text[max(0, a - 12) : a] + text[b : b + 12]):
+    if why in ("kin", "say", "age") and text[a:b].isupper() and len(text[a:b]) > 3 and not _SMALL.search(text[max(0, a - 12) : a] + text[b : b + 12]):
         return None  # within a line in capitals nothing tells a name from a word
-    poss = regex.search(r"['’][sS]$", text[a:b])
+    poss = _POSSESSIVE.search(text[a:b])
     b -= len(poss[0]) if poss else 0
     if _EPONYM.match(text[b : b + 20]) and why not in ("title", "label", "lower") or _INSTITUTION.search(text[max(0, a - 12) : a]) and why in ("say",):
         return None
     return a, b
 
 
+#: The last word of whatever may stand before a name in SCAFFOLD.
+_CUES = frozenset(
+    [w.split()[-1] for x in (_TITLE_DOT, _TITLE, _ROLE, _RELATION) for w in x.split("|")]
+    + "by with to is was name contact kin attending provider physician surgeon author referring pcp consultant resident nurse cc per contacted informed notified texted phoned w of med phil nat dent jur ing and patient paciente nombre nom имя фио пациент patientin ist es est".split()
+)
+_LOWER_TITLE = regex.compile(r"(?<![\p{L}])(?i:mr|mrs|ms|mx|dr|prof)\.\s+\p{Ll}")
+_CAPITAL = regex.compile(r"(?<![\p{L}\p{M}'’])\p{Lu}[\p{L}\p{M}'’-]*")
+_BEHIND = regex.compile(rf"(?:[\p{{L}}'’-]+\.?(?:\s+|,\s*)){{1,3}}(?:(?:{_SAY})\s|(?i:is|was)\s+an?\s+\d|\(|(?i:an?|the|her|his)\s|(?:MD|M\.D|DO|RN|NP|PA|PhD|Ph\.D|MPH|FACP)\b)", V1)
+_LAST_WORD = regex.compile(r"([\p{L}-]+)[\s.,:=/(]*$")
+
+
+def _near_cues(text: str) -> list[tuple[int, int]]:
+    """Where names may be: stretches around capital words that a cue stands before or behind, and around titles before a word in lower case."""
+    out: list[tuple[int, int]] = []
+    at = [m.start() for m in _LOWER_TITLE.finditer(text)]
+    for m in _CAPITAL.finditer(text):
+        a = m.start()
+        if m[0].lower() in _NOT and not (len(m[0]) == 1 and text[a + 1 : a + 2] == "."):
+            continue
+        last = _LAST_WORD.search(text, max(0, a - 24), a)
+        if last and (w := last[1].lower()) and (w in _CUES or w.rpartition("-")[2] in _CUES) or _BEHIND.match(text, a):
+            at.append(a)
+    for a in sorted(at):
+        lo, hi = max(0, a - 80), min(len(text), a + 110)
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def _covered(spans: list[Mention], a: int, b: int) -> bool:
     return any(a < s.end and s.start < b for s in spans)
 
@@ -176,13 +217,13 @@ def find(text: str | None) -> list[Mention]:
         m = next((m for m in EMAIL.finditer(text, max(0, at.start() - 66), at.end() + 120) if m.start() < at.start() < m.end()), None)
         if m and not _covered(found, *m.span()):
             found.append(Mention("email", *m.span()))
-    digits = regex.search(r"\d", text) is not None
+    digits = _DIGIT.search(text) is not None
     if digits:
         for p in ADDRESS:
             for m in p.finditer(text):
-                a = m.start()
-                if not _covered(found, a, m.end()):
-                    found.append(Mention("address", a, m.end()))
+                a, b = m.start(), m.end() - m[0].endswith(".")
+                if not _covered(found, a, b):
+                    found.append(Mention("address", a, b))
         for v in ID_VALUE.finditer(text):
             if _ID_BEFORE.search(text[max(0, v.start() - 50) : v.start()]) and not _covered(found, *v.span()):
                 found.append(Mention("id_number", v.start(), v.end()))
@@ -199,11 +240,12 @@ def find(text: str | None) -> list[Mention]:
                 continue
             cue = _PHONE_BEFORE.search(before) is not None
             form = _PHONE_FORM.fullmatch(m[0]) is not None
-            if cue and (n >= 9 or regex.search(r"\d{3}[-. /]+\d{4}", m[0]) or "(" in m[0]) or form:
+            if cue and (n >= 9 or _THREE_FOUR.search(m[0]) or "(" in m[0]) or form:
                 found.append(Mention("phone", a, b))
     names: list[Mention] = []
+    near = _near_cues(text)
     for p, why in SCAFFOLD:
-        for m in p.finditer(text, overlapped=False):
+        for m in (m for a, b in near for m in p.finditer(text, a, b)):
             if why == "lower" and m["n"].split()[0] in _NOT:
                 continue
             got = _fits(text, *m.span("n"), why)
@@ -215,16 +257,19 @@ def find(text: str | None) -> list[Mention]:
                 other = _fits(text, *more.span("n"), why)
                 if other and not _covered(found, *other) and not _covered(names, *other):
                     names.append(Mention("name", *other))
-    known = {w for s in names for w in regex.findall(r"[\p{L}\p{M}'’-]{4,}", text[s.start : s.end]) if w.lower() not in _NOT}
-    if known:
-        again = regex.compile(rf"(?<![\p{{L}}\p{{M}}@._%+'’-])(?:{'|'.join(map(regex.escape, sorted(known, key=len, reverse=True)))})(?![\p{{L}}\p{{M}}@_-])")
-        for m in again.finditer(text):
-            if _covered(names, *m.span()) or _covered(found, *m.span()) or _EPONYM.match(text[m.end() : m.end() + 20]):
-                continue
-            names.append(Mention("name", *m.span()))
+    known = {w for s in names for w in _LONG_WORD.findall(text[s.start : s.end]) if w.lower() not in _NOT}
+    for w in sorted(known, key=lambda w: (-len(w), w)):
+        at = text.find(w)
+        while at >= 0:
+            end = at + len(w)
+            before, after = text[at - 1 : at], text[end : end + 1]
+            alone = not (before.isalpha() or after.isalpha() or before and before in "@._%+'’-" or after and after in "@_-" or after and unicodedata.combining(after))
+            if alone and not _covered(names, at, end) and not _covered(found, at, end) and not _EPONYM.match(text[end : end + 20]):
+                names.append(Mention("name", at, end))
+            at = text.find(w, end)
     merged: list[Mention] = []
     for s in sorted(names, key=lambda s: s.start):  # neighbours that only a blank parts are one mention
-        if merged and regex.fullmatch(r"\s+", text[merged[-1].end : s.start]) and s.start - merged[-1].end < 3:
+        if merged and s.start - merged[-1].end < 3 and text[merged[-1].end : s.start].isspace():
             merged[-1] = Mention("name", merged[-1].start, s.end)
         else:
             merged.append(s)
