@@ -5,7 +5,6 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from phenoframe.operators import metrics
 from phenoframe.plans.phenotypes import Phenotype, predict
@@ -104,4 +103,4 @@ class Engine:
         on = [c for c in ("note_idx", "id", "date") if c in found.columns and c in truth.columns]
         both = found.join(truth.select(*on, "actual"), on)
         out = metrics.confusion(both, "actual", "prediction")
-        return out.crossJoin(F.broadcast(metrics.roc_auc(both, "actual", "prob_YES"))) if "prob_YES" in found.columns else out  # one row each
+        return out.withColumn("roc_auc", metrics.roc_auc(both, "actual", "prob_YES").scalar()) if "prob_YES" in found.columns else out
