@@ -236,17 +236,22 @@ def similar(base: DataFrame, t: float) -> DataFrame:
     n = 4 * shuffle_partitions(spark)
     near = rows.repartition(n, "token", "part").sortWithinPartitions("token", "part").mapInArrow(_blocks(t), "a long, b long").distinct()
     x, y = base.select(F.col("_doc").alias("a"), F.col("_tokens").alias("x")), base.select(F.col("_doc").alias("b"), F.col("_tokens").alias("y"))
-    both = near.join(x, "a").join(y, "b")
+    both = near.join(x.hint("merge"), "a").join(y.hint("merge"), "b")  # the size of arrays is not known to the planner: no broadcast
     inter = F.size(F.array_intersect("x", "y"))
     return both.withColumn("i", inter).where(F.col("i") / (F.size("x") + F.size("y") - F.col("i")) >= t).select("a", "b")
 
 
 def _prepared(df: DataFrame, ident: str, text: str, run: int, least_words: int) -> tuple[DataFrame, DataFrame]:
-    """The distinct token sets, each by its least id; and (_doc, rep): the set that each record has."""
-    base = cut(shingles(df, ident, text, run, least_words).dropDuplicates(["_doc"]).withColumn("_h", F.struct(F.xxhash64("_tokens"), F.xxhash64(F.reverse("_tokens"), F.lit(7)))))
+    """The distinct token sets, each by its least id; and (_doc, rep): the set that each record has.
+
+    Texts are put in one row an id first, which also spreads them; the sets are written to the checkpoint folder partitioned by id, where the joins of the verification find them.
+    """
+    rows = df.where(F.col(ident).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(ident).cast("long").alias("_id")).agg(F.min(text).alias("_text"))
+    base = cut(shingles(rows, "_id", "_text", run, least_words).withColumn("_h", F.struct(F.xxhash64("_tokens"), F.xxhash64(F.reverse("_tokens"), F.lit(7)))))
     groups = base.groupBy("_n", "_h").agg(F.min("_doc").alias("rep"))
     member = cut(base.select("_doc", "_n", "_h").join(groups, ["_n", "_h"]).select("_doc", "rep"))
-    return base.join(member.where("_doc = rep").select("_doc"), "_doc", "left_semi").select("_doc", "_tokens", "_n"), member
+    copies = member.where("_doc <> rep").select("_doc")
+    return base.join(copies.hint("merge"), "_doc", "left_anti").select("_doc", "_tokens", "_n"), member
 
 
 def near_pairs(df: DataFrame, ident: str, text: str, run: int = 5, t: float = 0.8, least_words: int = 1) -> DataFrame:
