@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenoframe.session import small_enough
+from phenoframe.session import cut, shuffle_partitions, small_enough
 
 #: Buckets of the gram counts that order grams by rarity: all that leaves the cluster. Jaccard threshold of candidates.
 BUCKETS, JACCARD = 1 << 16, 0.3
@@ -28,12 +28,9 @@ def plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
 
 
-def runs(value: str) -> list[tuple[int, int, str]]:
-    """Words of a value, and neighbouring words joined, as (first, last, letters): a blank or dash may have got into a word."""
-    ws = _RUN.findall(plain(value))
-    one = [(i, i, w) for i, w in enumerate(ws) if len(w) >= WORD]
-    two = [(i, i + 1, a + b) for i, (a, b) in enumerate(zip(ws, ws[1:], strict=False)) if len(a) + len(b) >= WORD + 2]
-    return one + two
+def words_of(value: str) -> list[str]:
+    """The letter runs of a value, in order."""
+    return _RUN.findall(plain(value))
 
 
 def grams(word: str) -> list[int]:
@@ -95,7 +92,7 @@ def _side(words: DataFrame, name: str, freq) -> DataFrame:
 
 
 def best_entries(words: DataFrame, entries: DataFrame) -> DataFrame:
-    """For each distinct word (w) the entry name (w) that it is closest to: word, entry, cost; words near no entry don't come out.
+    """For each of distinct words (w) the entry name (w) that it is closest to: word, entry, cost; words near no entry don't come out.
 
     Words and names become sets of bigrams. Only the rarest grams of each set are joined (a prefix that no pair of Jaccard similarity JACCARD can miss), pairs that fail on
     length or on place are dropped, the rest is verified exactly; of a word's pairs the best stays: by cost - the mistypings, or for a word cut
@@ -119,7 +116,7 @@ def best_entries(words: DataFrame, entries: DataFrame) -> DataFrame:
     place = F.least("x_p", "y_p") + F.least(F.col("x_n") - F.col("x_p"), F.col("y_n") - F.col("y_p")) >= need - 1e-9
     both = F.size(F.array_intersect("x_gs", "y_gs"))
     pairs = x.join(y, "g").where(sizes & place).withColumn("both", both).withColumn("j", F.col("both") / (F.col("x_n") + F.col("y_n") - F.col("both"))).where(F.col("j") >= JACCARD)
-    pairs = pairs.groupBy(F.col("x_w").alias("word"), F.col("y_w").alias("entry")).agg(F.max("j").alias("j"))
+    pairs = pairs.groupBy(F.col("x_w").alias("word"), F.col("y_w").alias("entry")).agg(F.max("j").alias("j")).repartition(2 * shuffle_partitions(spark), "word", "entry")
 
     def cost(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in parts:
@@ -155,28 +152,37 @@ def map_values(df: DataFrame, value: str, ref: DataFrame, ref_id: str, canonical
     # name -> the substance that it stands for, and the entry of it alone (0: the list has it in joined entries only)
     ours = single.select("ref_id", F.col("name").alias("substance"))
     named = single.select("name", F.col("name").alias("substance"), "ref_id").unionByName(loose.select("name", F.col("name").alias("substance"), "ref_id"))
-    named = named.unionByName(brands.join(single, "name", "left_anti").join(ours, "ref_id", "left").select("name", F.coalesce("substance", F.concat(F.lit("#"), F.col("ref_id").cast("string"))).alias("substance"), "ref_id")).where("name <> ''")
+    named = named.unionByName(brands.join(single, "name", "left_anti").join(ours, "ref_id", "left").select("name", F.coalesce("substance", F.concat(F.lit("#"), F.col("ref_id").cast("string"))).alias("substance"), "ref_id"))
+    named = cut(named.where("name <> ''"))  # read several times
     joined = parts.where("k > 1").groupBy("ref_id").agg(F.array_join(F.array_sort(F.collect_set("name")), "/").alias("key")).groupBy("key").agg(F.min("ref_id").alias("joined_id"))
 
-    values = df.where(F.length(F.regexp_replace(value, r"(?U)\s+", "")) > 0).select(F.col(value).alias("value")).distinct()
+    values = df.where(F.length(F.regexp_replace(value, r"(?U)\s+", "")) > 0).select(F.col(value).alias("value")).distinct().withColumn("vid", F.md5("value"))
 
     def taken_apart(parts_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in parts_:
-            got = [(v, a, z, w) for v in d["value"] for a, z, w in runs(v)]
-            yield pd.DataFrame(got, columns=["value", "lo", "hi", "w"])
+            got = [(k, i, w) for k, v in zip(d["vid"], d["value"], strict=True) for i, w in enumerate(words_of(v))]
+            yield pd.DataFrame(got, columns=["vid", "lo", "w"])
 
-    words = values.mapInPandas(taken_apart, "value string, lo int, hi int, w string")
+    n = 2 * shuffle_partitions(df.sparkSession)  # another number than that of the shuffle before, else the two become one and its few bytes one task
+    words = cut(values.mapInPandas(taken_apart, "vid string, lo int, w string"))
     names = named.select(F.col("name").alias("w")).distinct()
-    found = best_entries(words.select("w").distinct(), names)
-    meant = found.join(named.select(F.col("name").alias("entry"), "substance", "ref_id"), "entry").select(F.col("word").alias("w"), "substance", "ref_id", "cost")
-    at = words.join(meant, "w").groupBy("value", "substance", "ref_id").agg(F.min(F.struct("cost", "lo", "hi")).alias("m"))
+    meaning = named.select(F.col("name").alias("entry"), "substance", "ref_id")
+    alone = cut(best_entries(words.where(F.length("w") >= WORD).select("w").distinct().repartition(n, "w"), names))
+    # A blank or dash may have got into a word: neighbours that mean nothing alone are tried as one.
+    rest = words.join(alone.select(F.col("word").alias("w")), "w", "left_anti")
+    pairs = rest.select("vid", "lo", "w").join(rest.select("vid", (F.col("lo") - 1).alias("lo"), F.col("w").alias("next")), ["vid", "lo"])
+    pairs = cut(pairs.where(F.length("w") + F.length("next") >= WORD + 2).select("vid", "lo", F.concat("w", "next").alias("w")))
+    joined_up = best_entries(pairs.select("w").distinct().repartition(n, "w"), names)
+    spots = words.select("vid", "lo", F.col("lo").alias("hi"), "w").join(alone.withColumnRenamed("word", "w"), "w")
+    spots = spots.unionByName(pairs.select("vid", "lo", (F.col("lo") + 1).alias("hi"), "w").join(joined_up.withColumnRenamed("word", "w"), "w"))
+    at = spots.join(meaning, "entry").groupBy("vid", "substance", "ref_id").agg(F.min(F.struct("cost", "lo", "hi")).alias("m"))
     # a word pair and the words in it must not both speak: per value the cheapest reading of every word wins
-    per = at.groupBy("value").agg(F.array_sort(F.collect_list(F.struct(F.col("m.cost").alias("cost"), F.col("m.lo").alias("lo"), F.col("m.hi").alias("hi"), "substance", "ref_id"))).alias("ms"))
+    per = at.groupBy("vid").agg(F.array_sort(F.collect_list(F.struct(F.col("m.cost").alias("cost"), F.col("m.lo").alias("lo"), F.col("m.hi").alias("hi"), "substance", "ref_id"))).alias("ms"))
     kept = F.aggregate("ms", F.slice("ms", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: (y["lo"] <= x["hi"]) & (x["lo"] <= y["hi"])), acc).otherwise(F.concat(acc, F.array(x))))
-    per = per.select("value", kept.alias("ms")).select("value", F.array_join(F.array_sort(F.array_distinct(F.transform(F.slice("ms", 1, 2), lambda x: x["substance"]))), "/").alias("key"), F.element_at("ms", 1)["ref_id"].alias("first_id"))
+    per = per.select("vid", kept.alias("ms")).select("vid", F.array_join(F.array_sort(F.array_distinct(F.transform(F.slice("ms", 1, 2), lambda x: x["substance"]))), "/").alias("key"), F.element_at("ms", 1)["ref_id"].alias("first_id"))
     joined = F.broadcast(joined) if small_enough(joined, BROADCAST_ROWS) else joined
-    chosen = per.join(joined, "key", "left").select("value", F.coalesce("joined_id", "first_id").alias("ref_id"))
-    return values.join(chosen, "value", "left").select("value", F.coalesce("ref_id", F.lit(0)).cast("long").alias("ref_id"))
+    chosen = per.join(joined, "key", "left").select("vid", F.coalesce("joined_id", "first_id").alias("ref_id"))
+    return values.join(chosen, "vid", "left").select("value", F.coalesce("ref_id", F.lit(0)).cast("long").alias("ref_id"))
 
 
 def map_rows(df: DataFrame, ident: str, value: str, ref: DataFrame, ref_id: str, canonical: str, brand: str) -> DataFrame:
