@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phenoframe.plans import coded, evaluated, eventqueries, shapes, texts
+from phenoframe.plans import coded, evaluated, eventqueries, phenotyped, shapes, texts
 
-_BOOKS = (coded.query, texts.query, shapes.query, evaluated.query)
+_BOOKS = (coded.query, texts.query, shapes.query, evaluated.query, phenotyped.query)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
