@@ -156,7 +156,7 @@ def map_values(df: DataFrame, value: str, ref: DataFrame, ref_id: str, canonical
     named = cut(named.where("name <> ''"))  # read several times
     joined = parts.where("k > 1").groupBy("ref_id").agg(F.array_join(F.array_sort(F.collect_set("name")), "/").alias("key")).groupBy("key").agg(F.min("ref_id").alias("joined_id"))
 
-    values = df.where(F.length(F.regexp_replace(value, r"(?U)\s+", "")) > 0).select(F.col(value).alias("value")).distinct().withColumn("vid", F.md5("value"))
+    values = df.where(F.length(F.regexp_replace(value, r"(?U)\s+", "")) > 0).select(F.col(value).alias("value")).distinct().withColumn("vid", F.unhex(F.md5("value")))
 
     def taken_apart(parts_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in parts_:
@@ -164,7 +164,7 @@ def map_values(df: DataFrame, value: str, ref: DataFrame, ref_id: str, canonical
             yield pd.DataFrame(got, columns=["vid", "lo", "w"])
 
     n = 2 * shuffle_partitions(df.sparkSession)  # another number than that of the shuffle before, else the two become one and its few bytes one task
-    words = cut(values.mapInPandas(taken_apart, "vid string, lo int, w string"))
+    words = cut(values.mapInPandas(taken_apart, "vid binary, lo int, w string"))
     names = named.select(F.col("name").alias("w")).distinct()
     meaning = named.select(F.col("name").alias("entry"), "substance", "ref_id")
     alone = cut(best_entries(words.where(F.length("w") >= WORD).select("w").distinct().repartition(n, "w"), names))
