@@ -44,9 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
     """Spread a few large input splits over the cores before CPU-heavy row-wise work.
 
-    A scan that already has `per_core` splits a core is left as it is: at scale this adds no shuffle.
+    A scan that already has `per_core` splits a core is left as it is: at scale this adds no shuffle. So is what comes out of a
+    shuffle, whose partitions cannot be counted without running it.
     """
     spark = df.sparkSession
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     want = max(shuffle_partitions(spark), per_core * spark.sparkContext.defaultParallelism)
     if df.rdd.getNumPartitions() >= want:
         return df
