@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phenoframe.operators.codes import any_pattern
-from phenoframe.operators.temporal import next_event
+from phenoframe.operators.temporal import with_next
 
 
 def any_code(df: DataFrame, code: str, patterns: list[str]) -> DataFrame:
@@ -17,7 +17,7 @@ def any_code(df: DataFrame, code: str, patterns: list[str]) -> DataFrame:
 def two_codes(df: DataFrame, code: str, patterns: list[str], key: str = "id", date: str = "date", over: int = 7, most: int = 365, tie: tuple[str, ...] = ()) -> DataFrame:
     """Of consecutive matching rows of a key the earlier one if more than `over` and at most `most` days lie between: next_date, time_diff, prediction."""
     hit = df.where(any_pattern(code, patterns))
-    hit = hit.withColumn("next_date", next_event(hit, key, date, *tie)).withColumn("time_diff", F.datediff("next_date", date))
+    hit = with_next(hit, key, date, *tie).withColumn("time_diff", F.datediff("next_date", date))
     return hit.where((F.col("time_diff") > over) & (F.col("time_diff") <= most)).withColumn("prediction", F.lit(1))
 
 

@@ -88,9 +88,19 @@ def demographics(spine: DataFrame, demo: DataFrame, key: str = "id", date: str =
     return spine.join(d, key, "left").withColumns({"age": F.year(date) - F.year("date_of_birth"), "sex": sex}).drop("date_of_birth")
 
 
-def next_event(df: DataFrame, key: str, date: str, *tie: str) -> Column:
-    """The date of the same key's next row."""
-    return F.lead(date).over(Window.partitionBy(key).orderBy(date, *tie))
+def with_next(df: DataFrame, key: str, date: str, *tie: str, name: str = "next_date") -> DataFrame:
+    """df with the date of the same key's next row, in the order of date and tie; null for a key's last row. Null keys count as one key.
+
+    Rows are range-partitioned by key and date, so that a key may fill any number of tasks; each task looks ahead within its slice, and the
+    first row of the next slice, one row a task, serves the last key of each.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = cut(df.repartitionByRange(n, key, date, *tie).withColumn("_p", F.spark_partition_id()))
+    within = Window.partitionBy("_p", key).orderBy(date, *tie)
+    first = s.groupBy("_p").agg(F.min(F.struct(F.col(key).alias("k"), F.col(date).alias("d"))).alias("_f"))
+    ahead = first.select("_p", F.lead("_f").over(Window.partitionBy(F.lit(0)).orderBy("_p")).alias("_f"))
+    s = s.withColumns({name: F.lead(date).over(within), "_more": F.lead(F.lit(1)).over(within)}).join(F.broadcast(ahead), "_p", "left")
+    return s.withColumn(name, F.when(F.col("_more").isNull() & F.col(key).eqNullSafe(F.col("_f.k")) & F.col("_f").isNotNull(), F.col("_f.d")).otherwise(F.col(name))).select(*df.columns, name)
 
 
 def texts_of_day(df: DataFrame, keys: list[str], text: str, order: str, sep: str = " ") -> DataFrame:
@@ -113,8 +123,26 @@ def numbered(df: DataFrame, *order: str, name: str = "note_idx") -> DataFrame:
     return s.join(F.broadcast(offsets), "_p").select((F.col("_o") + F.col("_k")).alias(name), *df.columns)
 
 
-def windowed_features(spine: DataFrame, events: DataFrame, back: str, ahead: str, tests: dict[str, Column], keys: list[str], any_of: Column | None = None) -> DataFrame:
-    """Filter events, pair them with the spine in the window, flag the tests, and give every spine row its flags."""
-    e = events.where(any_of) if any_of is not None else events
-    pairs = in_window(spine.select(*keys).distinct(), broadcast_if_small(keep_known(e, spine)), back, ahead)
-    return back_to_spine(spine, flags(pairs, keys, tests), keys=keys)
+def by_day(events: DataFrame, tests: dict[str, Column], key: str = "id", date: str = "date") -> DataFrame:
+    """One row per key and day with the tests' flags: what a window may see of a day. However many events a key has, it has no more rows than days."""
+    return events.groupBy(key, date).agg(*(F.max(F.when(t, 1).otherwise(0)).alias(n) for n, t in tests.items()))
+
+
+def _paired(spine: DataFrame, events: DataFrame, tests: dict[str, Column], any_of: Column | None, pair, key: str, date: str) -> DataFrame:
+    e = keep_known(events.where(any_of) if any_of is not None else events, spine, key)
+    days = spine.select(key, date).distinct()
+    found = pair(days, broadcast_if_small(by_day(e, tests, key, date))).groupBy(key, date).agg(*(F.max(n).alias(n) for n in tests))
+    return back_to_spine(spine, found, keys=[key, date])
+
+
+def windowed_features(spine: DataFrame, events: DataFrame, back: str, ahead: str, tests: dict[str, Column], any_of: Column | None = None, key: str = "id", date: str = "date") -> DataFrame:
+    """The spine with a 0/1 column for each test that an event of the key passes within the window around the row's date.
+
+    Events are first combined to days and spine rows to distinct days, so that a hot key pairs days with days, never rows with rows.
+    """
+    return _paired(spine, events, tests, any_of, lambda d, e: in_window(d, e, back, ahead, key, date), key, date)
+
+
+def lookback_features(spine: DataFrame, events: DataFrame, back: str, tests: dict[str, Column], any_of: Column | None = None, key: str = "id", date: str = "date") -> DataFrame:
+    """As windowed_features, for events up to `back` before the row's date and on it."""
+    return _paired(spine, events, tests, any_of, lambda d, e: looked_back(d, e, back, key, date), key, date)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phenoframe.operators.temporal import next_event
+from phenoframe.operators.temporal import with_next
 
 
 def first_positive(df: DataFrame, key: str, kind: str, date: str, test: Column) -> DataFrame:
@@ -15,7 +15,7 @@ def first_positive(df: DataFrame, key: str, kind: str, date: str, test: Column)
 
 def spans(events: DataFrame, ends: list[DataFrame], key: str = "id", start: str = "start_date", tie: str = "state") -> DataFrame:
     """Events (key, state, start_date) with end_date: the least of the key's next event and of the dates in `ends` (key, one date column)."""
-    out = events.withColumn("_next", next_event(events, key, start, tie))
+    out = with_next(events, key, start, tie, name="_next")
     last = ["_next"]
     for k, e in enumerate(ends):
         c = next(c for c in e.columns if c != key)

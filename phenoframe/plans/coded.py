@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from phenoframe.operators import codes, rules, temporal
 from phenoframe.plans.base import Book, cpt, icd, med, notes, scored, spine, sql
-from phenoframe.session import broadcast_if_small, table
+from phenoframe.session import table
 
 query = Book()
 HEART = ["^I21", "^I25"]
@@ -49,16 +49,14 @@ FLAGS = {"i63": "^I63", "g20": "^G20", "r56": "^R56"}
 
 @query(_window_sql(FLAGS, 6), dates=("date",))
 def interval_join_flags(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.windowed_features(spine(spark, d), icd(spark, d), "6mo", "6mo", {n: F.col("icd").rlike(p) for n, p in FLAGS.items()}, KEYS, codes.any_pattern("icd", list(FLAGS.values())))
+    return temporal.windowed_features(spine(spark, d), icd(spark, d), "6mo", "6mo", {n: F.col("icd").rlike(p) for n, p in FLAGS.items()}, codes.any_pattern("icd", list(FLAGS.values())))
 
 
 @query(sql("""
 select n.idx, n.id, n.date, case when exists (select 1 from i where i.id = n.id and regexp_matches(icd, '^I6[1-4]')
   and n.date between i.date - interval 18 month and i.date + interval 18 month) then 1 else 0 end as icd from n"""), dates=("date",))
 def interval_join_exists(spark: SparkSession, d: str) -> DataFrame:
-    s = spine(spark, d)
-    e = broadcast_if_small(temporal.keep_known(icd(spark, d).where(codes.any_pattern("icd", STROKE)).select("id", "date").distinct(), s))
-    return temporal.back_to_spine(s, temporal.exists_flag(temporal.in_window(s, e, "18mo", "18mo"), KEYS, "icd"), keys=KEYS)
+    return temporal.windowed_features(spine(spark, d), icd(spark, d), "18mo", "18mo", {"icd": F.lit(True)}, codes.any_pattern("icd", STROKE))
 
 
 @query("""
@@ -77,9 +75,8 @@ select n.idx, n.id, n.date, coalesce(b.vel, 0)::int as vel, coalesce(b.hal, 0)::
   select n.idx, n.id, n.date, max(case when contains(m.med, 'velumodor') then 1 else 0 end) as vel, max(case when contains(m.med, 'haloplemate') then 1 else 0 end) as hal
   from n join m on n.id = m.id where m.date between n.date - interval 24 month and n.date group by all) b using (idx, id, date)"""), dates=("date",))
 def lookback_join_flags(spark: SparkSession, d: str) -> DataFrame:
-    s = spine(spark, d)
-    pairs = temporal.looked_back(s, temporal.keep_known(med(spark, d), s), "2y")
-    return temporal.back_to_spine(s, temporal.flags(pairs, KEYS, {"vel": F.col("med").contains("velumodor"), "hal": F.col("med").contains("haloplemate")}), keys=KEYS)
+    tests = {"vel": F.col("med").contains("velumodor"), "hal": F.col("med").contains("haloplemate")}
+    return temporal.lookback_features(spine(spark, d), med(spark, d), "2y", tests, F.col("med").rlike("velumodor|haloplemate"))
 
 
 @query(sql("select n.idx, n.id, n.date, case when n.id in (select id from i where regexp_matches(icd, '^G20')) then 1 else 0 end as ever from n"), dates=("date",))
@@ -140,7 +137,7 @@ def ordered_code_grouping(spark: SparkSession, d: str) -> DataFrame:
 @query(_window_sql({"imaging": "^70|^71", "visit": "^99"}, 6, "c", "cpt"), dates=("date",))
 def grouped_pattern_flags(spark: SparkSession, d: str) -> DataFrame:
     groups = {"imaging": ["^70", "^71"], "visit": ["^99"]}
-    return temporal.windowed_features(spine(spark, d), cpt(spark, d), "6mo", "6mo", codes.group_tests("cpt", groups), KEYS)
+    return temporal.windowed_features(spine(spark, d), cpt(spark, d), "6mo", "6mo", codes.group_tests("cpt", groups))
 
 
 @query(sql("select id, max(case when starts_with(icd, 'I63') or starts_with(icd, 'I61') then 1 else 0 end)::int as stroke, max(case when starts_with(icd, 'G20') then 1 else 0 end)::int as parkinson from i group by 1"))

@@ -68,7 +68,7 @@ def code_block(p: Phenotype, role: str, spine: DataFrame, events: DataFrame) ->
     events = events.where(codes.any_pattern(value, [x for g in groups.values() for x in g]))
     if window is None:
         return temporal.back_to_spine(spine, temporal.flags(events, ["id"], tests), keys=["id"])
-    return temporal.windowed_features(spine, events, window, window, tests, list(spine.columns))
+    return temporal.windowed_features(spine, events, window, window, tests)
 
 
 def _bags(p: Phenotype, sents: Column | str) -> dict[str, Column]:

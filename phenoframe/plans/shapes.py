@@ -55,8 +55,7 @@ def first_positive(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("select id, idx, date, lead(date) over (partition by id order by date, idx) as next_date from n"), dates=("date", "next_date"))
 def next_event_lead(spark: SparkSession, d: str) -> DataFrame:
-    s = spine(spark, d)
-    return s.withColumn("next_date", temporal.next_event(s, "id", "date", "idx"))
+    return temporal.with_next(spine(spark, d), "id", "date", "idx")
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:

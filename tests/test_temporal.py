@@ -24,7 +24,7 @@ def test_lookback_counts_both_ends(spark):
 def test_every_spine_row_stays_once_with_zeros(spark):
     spine = spark.createDataFrame([(1, "p", D(2020, 1, 1)), (2, "p", D(2020, 1, 1)), (3, "q", D(2020, 1, 1))], "idx int, id string, date date")
     events = spark.createDataFrame([("p", D(2020, 2, 1), "I63.1"), ("p", D(2020, 2, 1), "I63.2"), ("z", D(2020, 1, 1), "I63")], "id string, date date, icd string")
-    got = temporal.windowed_features(spine, events, "6mo", "6mo", {"stroke": F.col("icd").rlike("^I63"), "other": F.col("icd").rlike("^G")}, ["idx", "id", "date"])
+    got = temporal.windowed_features(spine, events, "6mo", "6mo", {"stroke": F.col("icd").rlike("^I63"), "other": F.col("icd").rlike("^G")})
     assert sorted((r["idx"], r["stroke"], r["other"]) for r in got.collect()) == [(1, 1, 0), (2, 1, 0), (3, 0, 0)]
 
 
@@ -98,3 +98,20 @@ def test_timeline_ends_with_the_least_date(spark):
     death = spark.createDataFrame([("p", D(2020, 3, 1))], "id string, died date")
     got = {(r["id"], r["state"]): r["end_date"] for r in timeline.spans(ev, [death]).collect()}
     assert got == {("p", "a"): D(2020, 3, 1), ("p", "b"): D(2020, 3, 1), ("q", "a"): None}
+
+
+def test_next_row_of_a_key_over_many_slices(spark):
+    rows = [("hot", i * 3 % 1000, i) for i in range(700)] + [(f"k{i % 40}", i, i) for i in range(200)] + [(None, 5, 1), (None, 9, 2)]
+    df = spark.createDataFrame(rows, "id string, date int, n int").repartition(5)
+    got = {(r["id"], r["date"], r["n"]): r["next_date"] for r in temporal.with_next(df, "id", "date", "n").collect()}
+    assert len(got) == len(rows)
+    for key in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: r[1:])
+        assert [got[r] for r in own] == [r[1] for r in own[1:]] + [None]
+
+
+def test_lookback_features(spark):
+    spine = spark.createDataFrame([(1, "p", D(2024, 2, 29)), (2, "q", D(2024, 1, 1))], "idx int, id string, date date")
+    events = spark.createDataFrame([("p", D(2022, 2, 28), "a"), ("p", D(2024, 3, 1), "b"), ("p", D(2022, 2, 27), "c")], "id string, date date, m string")
+    got = {r["idx"]: (r["a"], r["b"], r["c"]) for r in temporal.lookback_features(spine, events, "2y", {x: F.col("m") == x for x in "abc"}).collect()}
+    assert got == {1: (1, 0, 0), 2: (0, 0, 0)}
