@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from phenoframe.session import spread
 
-LINK = re.compile(r"""<a\s[^>]*>.*?</a>|\[[^\]\n]{0,80}\]\([^)\s]+\)|(?:https?://|www\.)\S+|\b[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.[a-z]{2,10}/\S*""", re.I)
+LINK = re.compile(r"""<a\s[^>]{0,500}>.{0,300}?</a>|\[[^\]\n]{0,80}\]\([^)\s]{1,500}\)|(?:https?://|www\.)\S+|\b[a-z0-9][a-z0-9-]{0,62}(?:\.[a-z0-9-]{1,63}){0,6}\.[a-z]{2,10}/\S*""", re.I)
 #: What a line must hold to have a link at all: cheap to look for.
 MAYBE_LINK = re.compile(r"https?:|www\.|<a\s|\]\(|\.[a-z]{2,10}/", re.I)
 ENDER = re.compile(r"""[.!?…][)\]"'”’»]*(?=\s|$)|[。！？｡．।؟۔։።]""")

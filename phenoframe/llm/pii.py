@@ -202,38 +202,44 @@ def _near_cues(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _covered(spans: list[Mention], a: int, b: int) -> bool:
-    return any(a < s.end and s.start < b for s in spans)
-
-
 def find(text: str | None) -> list[Mention]:
     """Mentions of personal values in a text, in order, without overlaps."""
     if not text or text.isspace():
         return []
     found: list[Mention] = []
+    names: list[Mention] = []
+    taken = bytearray(len(text))  # what mentions cover
+
+    def free(a: int, b: int) -> bool:
+        return taken.find(1, a, b) < 0
+
+    def take(to: list[Mention], kind: str, a: int, b: int) -> None:
+        to.append(Mention(kind, a, b))
+        taken[a:b] = b"\x01" * (b - a)
+
     for at in _AT_SIGN.finditer(text):  # the costly pattern runs only around what may be the sign within an address
         if found and at.start() < found[-1].end:
             continue
         m = next((m for m in EMAIL.finditer(text, max(0, at.start() - 66), at.end() + 120) if m.start() < at.start() < m.end()), None)
-        if m and not _covered(found, *m.span()):
-            found.append(Mention("email", *m.span()))
+        if m and free(*m.span()):
+            take(found, "email", *m.span())
     digits = _DIGIT.search(text) is not None
     if digits:
         for p in ADDRESS:
             for m in p.finditer(text):
                 a, b = m.start(), m.end() - m[0].endswith(".")
-                if not _covered(found, a, b):
-                    found.append(Mention("address", a, b))
+                if free(a, b):
+                    take(found, "address", a, b)
         for v in ID_VALUE.finditer(text):
-            if _ID_BEFORE.search(text[max(0, v.start() - 50) : v.start()]) and not _covered(found, *v.span()):
-                found.append(Mention("id_number", v.start(), v.end()))
+            if _ID_BEFORE.search(text[max(0, v.start() - 50) : v.start()]) and free(*v.span()):
+                take(found, "id_number", *v.span())
         for m in SSN.finditer(text):
-            if not _covered(found, *m.span()) and not _PHONE_BEFORE.search(text[max(0, m.start() - 60) : m.start()]):
-                found.append(Mention("id_number", *m.span()))
+            if free(*m.span()) and not _PHONE_BEFORE.search(text[max(0, m.start() - 60) : m.start()]):
+                take(found, "id_number", *m.span())
         for m in PHONE.finditer(text):
             a, b = m.span()
             n = sum(c.isdigit() for c in m[0])
-            if not 7 <= n <= 15 or _covered(found, a, b):
+            if not 7 <= n <= 15 or not free(a, b):
                 continue
             before = text[max(0, a - 70) : a]
             if _OTHER_BEFORE.search(before[-25:]) or _ID_BEFORE.search(before[-35:]):
@@ -241,22 +247,21 @@ def find(text: str | None) -> list[Mention]:
             cue = _PHONE_BEFORE.search(before) is not None
             form = _PHONE_FORM.fullmatch(m[0]) is not None
             if cue and (n >= 9 or _THREE_FOUR.search(m[0]) or "(" in m[0]) or form:
-                found.append(Mention("phone", a, b))
-    names: list[Mention] = []
+                take(found, "phone", a, b)
     near = _near_cues(text)
     for p, why in SCAFFOLD:
         for m in (m for a, b in near for m in p.finditer(text, a, b)):
             if why == "lower" and m["n"].split()[0] in _NOT:
                 continue
             got = _fits(text, *m.span("n"), why)
-            if got is None or _covered(found, *got) or _covered(names, *got):
+            if got is None or not free(*got):
                 continue
-            names.append(Mention("name", *got))
+            take(names, "name", *got)
             more = AND_MORE.match(text, got[1])
             if more and more["n"] and why == "by":
                 other = _fits(text, *more.span("n"), why)
-                if other and not _covered(found, *other) and not _covered(names, *other):
-                    names.append(Mention("name", *other))
+                if other and free(*other):
+                    take(names, "name", *other)
     known = {w for s in names for w in _LONG_WORD.findall(text[s.start : s.end]) if w.lower() not in _NOT}
     for w in sorted(known, key=lambda w: (-len(w), w)):
         at = text.find(w)
@@ -264,8 +269,8 @@ def find(text: str | None) -> list[Mention]:
             end = at + len(w)
             before, after = text[at - 1 : at], text[end : end + 1]
             alone = not (before.isalpha() or after.isalpha() or before and before in "@._%+'’-" or after and after in "@_-" or after and unicodedata.combining(after))
-            if alone and not _covered(names, at, end) and not _covered(found, at, end) and not _EPONYM.match(text[end : end + 20]):
-                names.append(Mention("name", at, end))
+            if alone and free(at, end) and not _EPONYM.match(text[end : end + 20]):
+                take(names, "name", at, end)
             at = text.find(w, end)
     merged: list[Mention] = []
     for s in sorted(names, key=lambda s: s.start):  # neighbours that only a blank parts are one mention

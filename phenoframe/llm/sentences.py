@@ -57,7 +57,7 @@ _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}.'’ªº״\-]*$")
 _ITEM = regex.compile(r"\s*(?:[-–—*•·▪‣◦●○∙+]|\(?(\d{1,3}|[a-zA-Z])[.)])\s+\S")
 _BULLET = regex.compile(r"\s*[-–—*•·▪‣◦●○∙+]\s")
 _HEAD_END = (":", "：")
-_LETTER = regex.compile(r"\p{L}")
+_ENDED = regex.compile(r"[.!?。！？।؟:：…][\"'”’»」)]*\s*$")
 _KANA = regex.compile(r"\p{Hiragana}")
 _STREET = regex.compile(r"\d[\w-]*\s(?:[\p{Lu}][\p{L}'’.-]*\s){1,4}$")
 _NO_CASE = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
@@ -125,7 +125,7 @@ def _dot_ends(s: str, i: int, j: int, k: int) -> bool:
     before = s[max(0, i - 80) : i]
     ellipsis = j - i > 1 or s[i] == "…"
     if not after:
-        return not s[k:].strip() or True
+        return True
     nxt = after[0]
     if not gap and k == j:
         # a full stop without the blank after it
@@ -171,7 +171,7 @@ def _ends(s: str) -> Iterator[int]:
     pairs = quotations(s)
     closes = {b: a for a, b in pairs.items()}
     inside = sorted(pairs.items())
-    at = 0
+    at = first = 0
 
     def closing(k: int) -> int:
         while k < len(s):
@@ -187,9 +187,9 @@ def _ends(s: str) -> Iterator[int]:
         i, j = m.span()
         if i < at:
             continue
-        while inside and inside[0][1] < i:
-            inside.pop(0)
-        quote = inside[0] if inside and inside[0][0] < i <= inside[0][1] else None
+        while first < len(inside) and inside[first][1] < i:
+            first += 1
+        quote = inside[first] if first < len(inside) and inside[first][0] < i <= inside[first][1] else None
         if m[0].isspace():
             if quote is None:
                 yield i
@@ -199,7 +199,7 @@ def _ends(s: str) -> Iterator[int]:
             if rest.strip() and not all(c in CLOSE for c in rest.strip()):
                 continue  # within a quotation nothing ends
             k = closing(quote[1])
-            after = s[k:].lstrip()
+            after = s[k : k + 80].lstrip()
             at = k
             if not after:
                 yield k
@@ -257,7 +257,7 @@ def units(text: str) -> list[tuple[int, int]]:
             number = None
             continue
         fresh = begin < 0
-        ended = fresh or bool(regex.search(r"[.!?。！？।؟:：…][\"'”’»」)]*\s*$", text[begin:end]))
+        ended = fresh or bool(_ENDED.search(text[max(begin, end - 60) : end]))
         m = _ITEM.match(line)
         if m:
             n = m[1]

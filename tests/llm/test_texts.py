@@ -259,3 +259,21 @@ def test_flag_pages(spark):
     assert sorted((r["doc_id"], r["f"]) for r in got.select("doc_id", F.col("page_shape.flagged").alias("f")).collect()) == [(1, True), (1, True), (2, False), (3, False)]
     assert {r["n_flagged"] for r in pagespam.shape_report(got).collect()} == {2}
     assert pagespam.flag_pages(df.limit(0), "text").count() == 0
+
+
+LONG = ["a." * 30_000, "A-" * 30_000, "1-" * 30_000, "a@" * 20_000, '"' * 50_000, "Mr. Orto Vel came. " * 3000, "a.b@c.example " * 3000, "<a " * 20_000, "[a](" * 20_000, "x y\n" * 20_000, 'He said, "I fell. So." It was. \n' * 2000, "ไทย " * 20_000]
+
+
+@pytest.mark.parametrize("text", LONG, ids=range(len(LONG)))
+def test_very_long_texts_take_no_time(text):
+    import time
+
+    began = time.time()
+    found, u = pii.find(text), sentences.units(text)
+    pagespam.page_shapes(text)
+    assert time.time() - began < 20
+    assert all(a.end <= b.start for a, b in zip(found, found[1:], strict=False)) and "".join("".join(text[a:b].split()) for a, b in u) == "".join(text.split())
+
+
+def test_a_role_before_initials():
+    assert spans("Interpreter Casvik M. Lindelo was present.") == [("name", "Casvik M. Lindelo")]
