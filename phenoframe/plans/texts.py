@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from phenoframe.functions import stem, text
 from phenoframe.operators import codes, match, score, temporal
 from phenoframe.plans.base import Book, notes, sql
-from phenoframe.session import table
+from phenoframe.session import spread, table
 
 query = Book()
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "notes").where("note is not null").select("note_id", "note")
+    return spread(table(spark, d, "notes").where("note is not null").select("note_id", "note"))
 
 
 _STD = r"lower(trim(regexp_replace(regexp_replace({x}, '[^A-Za-z0-9 \n.]', '', 'g'), '\s+', ' ', 'g')))"
