@@ -91,25 +91,31 @@ def _side(words: DataFrame, name: str, freq) -> DataFrame:
     return rows.select("g", *(F.col(c).alias(f"{name}_{c}") for c in ("w", "n", "gs", "p")))
 
 
-def best_entries(words: DataFrame, entries: DataFrame) -> DataFrame:
-    """For each of distinct words (w) the entry name (w) that it is closest to: word, entry, cost; words near no entry don't come out.
-
-    Words and names become sets of bigrams. Only the rarest grams of each set are joined (a prefix that no pair of Jaccard similarity JACCARD can miss), pairs that fail on
-    length or on place are dropped, the rest is verified exactly; of a word's pairs the best stays: by cost - the mistypings, or for a word cut
-    off short a half -, then by similarity, then by name. A cut-off word that begins several names is dropped as undecidable.
-    """
-    spark = words.sparkSession
+def gram_counts(entries: DataFrame) -> np.ndarray:
+    """How many of the list's names (w) have a gram of each bucket. The list's counts order the grams of both sides: what no name has comes first and joins nothing."""
 
     def hashed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in parts:
-            yield pd.DataFrame({"k": [x % BUCKETS for w in d["w"] for x in grams(w)]})
+            yield pd.DataFrame({"k": [x % BUCKETS for w in d["w"] for x in grams(w)]}, dtype="int32")
 
-    count = words.unionByName(entries).mapInPandas(hashed, "k int").groupBy("k").count().toPandas()
+    count = entries.mapInPandas(hashed, "k int").groupBy("k").count().toPandas()
     freq = np.zeros(BUCKETS, dtype=np.int64)
     freq[count["k"].to_numpy(dtype=int)] = count["count"].to_numpy()
-    sent = spark.sparkContext.broadcast(freq)
+    return freq
+
+
+def best_entries(words: DataFrame, entries: DataFrame, freq: np.ndarray | None = None, small: bool | None = None) -> DataFrame:
+    """For each of distinct words (w) the entry name (w) that it is closest to: word, entry, cost; words near no entry don't come out.
+
+    Words and names become sets of bigrams. Only the rarest grams of each set are joined (a prefix that no pair of Jaccard similarity JACCARD can miss), pairs that fail on
+    length or on place are dropped, the rest is verified exactly; of a word's pairs the best stays: by cost - the mistypings, or for a word cut
+    off short a half -, then by similarity, then by name. A cut-off word that begins several names is dropped as undecidable. freq (gram_counts) and small (whether the
+    list has at most BROADCAST_ROWS names) are found out unless they are given.
+    """
+    spark = words.sparkSession
+    sent = spark.sparkContext.broadcast(gram_counts(entries) if freq is None else freq)
     x, y = _side(words, "x", sent), _side(entries, "y", sent)
-    if small_enough(entries, BROADCAST_ROWS):
+    if small_enough(entries, BROADCAST_ROWS) if small is None else small:
         y = F.broadcast(y)
     sizes = (F.col("x_n") >= JACCARD * F.col("y_n")) & (F.col("y_n") >= JACCARD * F.col("x_n"))
     need = JACCARD / (1 + JACCARD) * (F.col("x_n") + F.col("y_n"))
@@ -167,12 +173,13 @@ def map_values(df: DataFrame, value: str, ref: DataFrame, ref_id: str, canonical
     words = cut(values.mapInPandas(taken_apart, "vid binary, lo int, w string"))
     names = named.select(F.col("name").alias("w")).distinct()
     meaning = named.select(F.col("name").alias("entry"), "substance", "ref_id")
-    alone = cut(best_entries(words.where(F.length("w") >= WORD).select("w").distinct().repartition(n, "w"), names))
+    freq, small = gram_counts(names), small_enough(named, BROADCAST_ROWS)
+    alone = cut(best_entries(words.where(F.length("w") >= WORD).select("w").distinct().repartition(n, "w"), names, freq, small))
     # A blank or dash may have got into a word: neighbours that mean nothing alone are tried as one.
     rest = words.join(alone.select(F.col("word").alias("w")), "w", "left_anti")
     pairs = rest.select("vid", "lo", "w").join(rest.select("vid", (F.col("lo") - 1).alias("lo"), F.col("w").alias("next")), ["vid", "lo"])
     pairs = cut(pairs.where(F.length("w") + F.length("next") >= WORD + 2).select("vid", "lo", F.concat("w", "next").alias("w")))
-    joined_up = best_entries(pairs.select("w").distinct().repartition(n, "w"), names)
+    joined_up = best_entries(pairs.select("w").distinct().repartition(n, "w"), names, freq, small)
     spots = words.select("vid", "lo", F.col("lo").alias("hi"), "w").join(alone.withColumnRenamed("word", "w"), "w")
     spots = spots.unionByName(pairs.select("vid", "lo", (F.col("lo") + 1).alias("hi"), "w").join(joined_up.withColumnRenamed("word", "w"), "w"))
     at = spots.join(meaning, "entry").groupBy("vid", "substance", "ref_id").agg(F.min(F.struct("cost", "lo", "hi")).alias("m"))
@@ -180,7 +187,7 @@ def map_values(df: DataFrame, value: str, ref: DataFrame, ref_id: str, canonical
     per = at.groupBy("vid").agg(F.array_sort(F.collect_list(F.struct(F.col("m.cost").alias("cost"), F.col("m.lo").alias("lo"), F.col("m.hi").alias("hi"), "substance", "ref_id"))).alias("ms"))
     kept = F.aggregate("ms", F.slice("ms", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: (y["lo"] <= x["hi"]) & (x["lo"] <= y["hi"])), acc).otherwise(F.concat(acc, F.array(x))))
     per = per.select("vid", kept.alias("ms")).select("vid", F.array_join(F.array_sort(F.array_distinct(F.transform(F.slice("ms", 1, 2), lambda x: x["substance"]))), "/").alias("key"), F.element_at("ms", 1)["ref_id"].alias("first_id"))
-    joined = F.broadcast(joined) if small_enough(joined, BROADCAST_ROWS) else joined
+    joined = F.broadcast(joined) if small else joined  # no more rows than names
     chosen = per.join(joined, "key", "left").select("vid", F.coalesce("joined_id", "first_id").alias("ref_id"))
     return values.join(chosen, "vid", "left").select("value", F.coalesce("ref_id", F.lit(0)).cast("long").alias("ref_id"))
 
