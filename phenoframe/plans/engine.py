@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from phenoframe.operators import metrics
 from phenoframe.plans.phenotypes import Phenotype, predict
+from phenoframe.session import ship
 from phenoframe.sources.schema import validated
 from phenoframe.sources.tables import save_predictions, spec_folder
 
@@ -57,6 +58,7 @@ class Engine:
     """
 
     def __init__(self, spark: SparkSession, registry: Registry | None = None, strict: bool = True) -> None:
+        ship(spark)
         self.spark, self.registry, self.strict = spark, registry or Registry(), strict
 
     def register(self, path: str) -> Phenotype:

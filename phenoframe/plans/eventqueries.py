@@ -27,8 +27,8 @@ with i as (select * from (select *, row_number() over (partition by icd_id order
 m as (select * from (select *, row_number() over (partition by med_id order by loaded_at desc) as k from med where med_id is not null) where k = 1),
 e as (select greatest((select max(icd_date) from icd), (select max(med_date) from med))::date as day),
 c as (select regexp_replace(upper(icd_code), '[^A-Z0-9]+', '', 'g') as code, lower(regexp_replace(icd_code, '[^0-9A-Za-z]+', '_', 'g')) as feature from code_list)
-select patient_id, feature, count(*) as n, (select day from e) - max(icd_date::date) as days, sum(round(coalesce(charge, 0) * 100)::bigint)::bigint / 100.0 as total
+select patient_id, feature, count(*) as n, ((select day from e) - max(icd_date::date))::int as days, sum(round(coalesce(charge, 0) * 100)::bigint)::bigint / 100.0 as total
 from i join c on regexp_replace(upper(i.icd_code), '[^A-Z0-9]+', '', 'g') = c.code where patient_id is not null group by 1, 2
 union all
-select patient_id, 'med', count(*), (select day from e) - max(med_date::date), 0.0 from m where patient_id is not null group by 1""",
+select patient_id, 'med', count(*), ((select day from e) - max(med_date::date))::int, 0.0 from m where patient_id is not null group by 1""",
 }

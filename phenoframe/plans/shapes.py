@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phenoframe.operators import metrics, temporal, timeline
@@ -87,9 +87,7 @@ def timeline_extents(spark: SparkSession, d: str) -> DataFrame:
 def nulls_last_sort(spark: SparkSession, d: str) -> DataFrame:
     """A top-k report: the limit is the feature."""
     top = table(spark, d, "notes").select("note_id", "annot").orderBy(F.asc_nulls_last("annot"), "note_id").limit(50)
-    from pyspark.sql import Window
-
-    return top.select("note_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last("annot"), "note_id")).alias("place"))
+    return top.select("note_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last("annot"), "note_id")).cast("long").alias("place"))
 
 
 @query(sql("select id, count(*) as n_notes, count(distinct date) as n_days, min(date) as first_date, max(date) as last_date from n group by 1"), dates=("first_date", "last_date"))

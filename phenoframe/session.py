@@ -3,12 +3,27 @@
 from __future__ import annotations
 
 import math
+import os
+import shutil
+import sysconfig
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """See to it that Python workers can import this package: where they would not find it by themselves, it is sent as a zip, once a session."""
+    root, sc = Path(__file__).resolve().parent.parent, spark.sparkContext
+    seen = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {Path.cwd(), Path(sysconfig.get_path("purelib")).resolve()}
+    if sc.master.startswith("local") and root in seen or getattr(sc, "_phenoframe_sent", False):
+        return
+    base = Path(tempfile.mkdtemp(prefix="phenoframe-"), "phenoframe_package")
+    sc.addPyFile(shutil.make_archive(str(base), "zip", root, Path(__file__).resolve().parent.name))
+    sc._phenoframe_sent = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` under `sf_dir`."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
