@@ -126,6 +126,12 @@ with recursive {_KEYS.strip()},
 near as (select distinct a.h as a, b.h as b from keys a join keys b on a.p = b.p where a.h is not null and b.h is not null),
 reach(a, b) as (select a, b from near union select r.a, n.b from reach r join near n on r.b = n.a)
 select a as hospital_a, b as hospital_b from reach where a < b""",
+    "p2_found": r"""
+with w as (select note_id, list_filter(string_split_regex(regexp_replace(lower(note), '[^\p{L}\p{Nd}\s]+', '', 'g'), '\s+'), lambda x: x <> '') as w from notes where note is not null),
+t as (select note_id, len(s) as n, unnest(s) as x from (
+  select note_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as s from w where len(w) >= 30))
+select a.note_id as note_id_a, b.note_id as note_id_b from t a join t b on a.x = b.x and a.note_id < b.note_id
+group by a.note_id, b.note_id, a.n, b.n having count(*) / (a.n + b.n - count(*)) >= 0.6""",
     "p5_found": """
 select icd_id, visit_id from (
   select i.icd_id, n.visit_id, row_number() over (partition by i.icd_id order by abs(date_diff('microsecond', n.note_date, i.icd_date)), n.note_date, n.visit_id) as k
