@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phenoframe.functions.dates import shift
-from phenoframe.session import broadcast_if_small, cut
+from phenoframe.session import cut
 
 
 def keep_known(df: DataFrame, spine: DataFrame, key: str = "id") -> DataFrame:
@@ -129,9 +129,8 @@ def by_day(events: DataFrame, tests: dict[str, Column], key: str = "id", date: s
 
 
 def _paired(spine: DataFrame, events: DataFrame, tests: dict[str, Column], any_of: Column | None, pair, key: str, date: str) -> DataFrame:
-    e = keep_known(events.where(any_of) if any_of is not None else events, spine, key)
-    days = spine.select(key, date).distinct()
-    found = pair(days, broadcast_if_small(by_day(e, tests, key, date))).groupBy(key, date).agg(*(F.max(n).alias(n) for n in tests))
+    e = by_day(events.where(any_of) if any_of is not None else events, tests, key, date)  # pre-aggregated before any shuffle by key
+    found = pair(spine.select(key, date).distinct(), e).groupBy(key, date).agg(*(F.max(n).alias(n) for n in tests))
     return back_to_spine(spine, found, keys=[key, date])
 
 

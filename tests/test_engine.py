@@ -130,3 +130,18 @@ def test_notes_stream_meets_codes(spark, icd, tmp_path):
     q = out.writeStream.format("memory").queryName("met").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("met").selectExpr("sum(af)").first()[0] == 2
+
+
+def test_late_rows_are_left_out_of_windows(spark, tmp_path):
+    from datetime import datetime
+
+    T = lambda m: datetime(2024, 1, 1, 0, m)
+    schema_ = "at timestamp, k string"
+    for i, rows in enumerate([[(T(1), "a"), (T(2), "a"), (T(30), "b")], [(T(3), "a"), (T(45), "b")], [(T(59), "b")]]):
+        spark.createDataFrame(rows, schema_).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = scoring.counts_by_window(spark.readStream.schema(schema_).parquet(str(tmp_path / "in")), "at", "5 minutes", "10 minutes", "k")
+        q = out.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None, i
+    got = {(r["start"].minute, r["k"]): r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[(0, "a")] == 2 and got[(30, "b")] == 1
