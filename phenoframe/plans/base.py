@@ -41,7 +41,9 @@ def notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spine(spark: SparkSession, d: str) -> DataFrame:
-    return notes(spark, d).select("idx", "id", "date")
+    """The notes without their texts: the distinct never carries them through a shuffle."""
+    n = table(spark, d, "note").where("patient_id is not null and note_date is not null")
+    return n.select(F.col("visit_id").alias("idx"), F.col("patient_id").alias("id"), F.to_date("note_date").alias("date")).distinct()
 
 
 def icd(spark: SparkSession, d: str) -> DataFrame:
