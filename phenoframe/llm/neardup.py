@@ -127,8 +127,8 @@ def _expand(a, b, level: _Level):
     return x[ok], y[ok]
 
 
-def dual_traversal(block, side, n, pos, indexed, slack, bits, t: float):
-    """Pairs of rows of one block that may be similar, from the blocks' signature trees; i, j as row numbers.
+def dual_traversal(block, side, n, pos, indexed, slack, bits, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one block that may be similar, from the blocks' signature trees; arrays of row numbers i, j, piece by piece.
 
     Rows must be sorted by block, side and n. A pair of nodes is dropped when no pair of documents under them can reach the overlap
     that their least sizes demand: a token in common sets a common bit, and only as many tokens as the slack share bits. All blocks are walked together, level by level.
@@ -147,7 +147,6 @@ def dual_traversal(block, side, n, pos, indexed, slack, bits, t: float):
     crossed[cross] = crossed[cross + 1] = True
     alone = roots[~crossed & (g % 2 == 0)]
     todo = [(len(levels) - 1, np.r_[alone, cross], np.r_[alone, cross + 1])]
-    out_i, out_j = [], []
     while todo:
         at, a, b = todo.pop()
         if len(a) > 50_000:
@@ -172,11 +171,8 @@ def dual_traversal(block, side, n, pos, indexed, slack, bits, t: float):
         ok = (indexed[i] | (tie & indexed[j])) & (n[i] >= t * n[j] - 1e-9) & (1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= low)
         i, j, low = i[ok], j[ok], low[ok]
         ok = (n[i] + n[j] - _popcount(bits[i] ^ bits[j])) / 2 >= low
-        out_i.append(i[ok])
-        out_j.append(j[ok])
-    if not out_i:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(out_i), np.concatenate(out_j)
+        if ok.any():
+            yield i[ok], j[ok]
 
 
 def _blocks(t: float, rows: int = 60_000):
@@ -193,10 +189,18 @@ def _blocks(t: float, rows: int = 60_000):
             order = np.lexsort((c["doc"], c["n"], c["side"], block))
             c = {k: v[order] for k, v in c.items()}
             bits = np.stack([c[f"b{i}"].view(np.uint64) for i in range(WORDS)], axis=1)
-            i, j = dual_traversal(block[order], c["side"].astype(np.int64), c["n"].astype(np.int64), c["pos"], c["indexed"], c["slack"], bits, t)
-            a, b = c["doc"][i], c["doc"][j]
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
+            some, size = [], 0  # pairs are passed on as they come: a group of many copies is never held as a whole
+            for i, j in dual_traversal(block[order], c["side"].astype(np.int64), c["n"].astype(np.int64), c["pos"], c["indexed"], c["slack"], bits, t):
+                a, b = c["doc"][i], c["doc"][j]
+                some.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+                size += len(a)
+                if size >= 200_000:
+                    yield from written(some)
+                    some, size = [], 0
+            yield from written(some)
+
+        def written(some: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            both = np.unique(np.concatenate(some), axis=0) if some else np.zeros((0, 2), dtype=np.int64)
             for s in range(0, len(both), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(both[s : s + 50_000, 0]), pa.array(both[s : s + 50_000, 1])], names=["a", "b"])
 
