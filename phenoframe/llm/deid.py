@@ -3,8 +3,10 @@
 import hashlib
 import hmac
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -78,6 +80,42 @@ def permuted(secret: bytes, digits: str, what: str) -> str:
     return left + right
 
 
+def house(secret: bytes, digits: str) -> str:
+    """Another number of as many digits: the keyed permutation, walked on until a leading zero is there as before, so that distinct numbers stay distinct."""
+    digits = "".join(str(int(c)) for c in digits)
+    new = permuted(secret, digits, "house")
+    while (new[0] == "0") != (digits[0] == "0"):
+        new = permuted(secret, new, "house")
+    return new
+
+
+@lru_cache
+def _letters() -> dict[str, tuple]:
+    """The alphabet of each letter in lower case: its script, whether it is a plain letter of it and whether it has a capital of its own."""
+    out = {}
+    for c in map(chr, range(sys.maxunicode + 1)):
+        if c.isalpha() and c.lower() == c:
+            up = c.upper()
+            out[c] = (unicodedata.name(c, "LATIN").split()[0], c.isascii() or "α" <= c <= "ω" or "а" <= c <= "я", up != c and len(up) == 1 and up.lower() == c)
+    return out
+
+
+@lru_cache(maxsize=512)
+def _ring(secret: bytes, alphabet: tuple) -> dict[str, str]:
+    """Each letter of an alphabet with the next one in a keyed order: a bijection that leaves no letter as it is (but of an alphabet of one)."""
+    order = sorted((c for c, a in _letters().items() if a == alphabet), key=lambda c: hmac.new(secret, f"initial|{c}".encode(), hashlib.sha256).digest())
+    return dict(zip(order, order[1:] + order[:1], strict=True))
+
+
+def initial(secret: bytes, letter: str) -> str:
+    """The surrogate of a single letter, one of its alphabet and case: distinct initials stay distinct."""
+    low = letter.lower()
+    if low not in _letters():
+        return letter
+    new = _ring(secret, _letters()[low])[low]
+    return new.upper() if low != letter and len(new.upper()) == 1 else new
+
+
 def in_digits(secret: bytes, value: str, what: str, keep: int = 0) -> str:
     """value with its digits (but the first `keep`) permuted and its letters shifted by place, in its format."""
     digits = "".join(str(int(c)) for c in value if c.isdecimal())
@@ -106,9 +144,9 @@ _FIXED_ADDRESS = frozenset(f"{pii._EN}|{pii._PRE}|{pii._FR}|north|south|east|wes
 
 
 def tokens_of(kind: str, value: str) -> list[str]:
-    """The words in a mention that get surrogates of their own, lower case, so that parts of a name stay recognisable as such."""
+    """The words in a mention that get surrogates of their own, lower case, so that parts of a name stay recognisable as such; initials are permuted instead."""
     if kind == "name":
-        return [t.lower() for t in _TOKEN.findall(value)]
+        return [t.lower() for t in _TOKEN.findall(value) if len(t) > 1]
     if kind == "address":
         ends = re.compile(r"(?:straße|strasse|str|gasse|weg|platz|allee|ring|ufer|damm)$")
         return [ends.sub("", t.lower()) for t in _TOKEN.findall(value) if t.lower() not in _FIXED_ADDRESS and ends.sub("", t.lower())]
@@ -120,7 +158,7 @@ def tokens_of(kind: str, value: str) -> list[str]:
 def surrogate(secret: bytes, kind: str, value: str, words: dict[str, str]) -> str:
     """The replacement of a mention in its format; words maps the tokens of tokens_of."""
     if kind == "name":
-        return _TOKEN.sub(lambda m: cased(m[0], words.get(m[0].lower(), "x"))[: 1 if len(m[0]) == 1 else None], value)
+        return _TOKEN.sub(lambda m: initial(secret, m[0]) if len(m[0]) == 1 else cased(m[0], words.get(m[0].lower(), "x")), value)
     if kind == "phone":
         plus = re.match(r"\+\s?\d{1,3}|00\d{2}", value)
         return in_digits(secret, value, "phone", sum(c.isdigit() for c in plus[0]) if plus else 0)
@@ -135,9 +173,7 @@ def surrogate(secret: bytes, kind: str, value: str, words: dict[str, str]) -> st
             stem = t[: end.start()] if end else t
             return cased(m[0], words.get(stem, "x") if stem else "") + (m[0][end.start() :] if end and stem else m[0] if not stem else "")
 
-        number = re.search(r"\d+", value)
-        text = _TOKEN.sub(word, value)
-        return re.sub(r"\d+", lambda m: str(1 + int(permuted(secret, m[0].zfill(3), "house")) % 997), text) if number else text
+        return re.sub(r"\d+", lambda m: house(secret, m[0]), _TOKEN.sub(word, value))
     local = re.split(r"@|\(|\[|\{|<|\s", value, maxsplit=1)[0]
     new = words.get(local.lower(), "x")
     return (new.upper() if local.isupper() else new) + value[len(local) :]
@@ -239,7 +275,7 @@ def surrogate_words(found: DataFrame, secret: str, most_rounds: int = 12) -> Dat
 def surrogates(df: DataFrame, ident: str, text: str, out: str, secret: str) -> DataFrame:
     """ident and `out`: the text with each personal value replaced by a keyed surrogate of its type, gender, script and format.
 
-    Equal values get equal surrogates in all texts and distinct values distinct ones (numbers by a keyed permutation, words by a collision check). Who holds the
+    Equal values get equal surrogates in all texts and distinct values distinct ones (numbers and initials by a keyed permutation, words by a collision check). Who holds the
     secret can repeat the mapping; without it the surrogates tell nothing. Null texts stay null; rows must have distinct non-null ids (an error otherwise is
     not raised: of rows with one id one comes out). An empty table gives an empty result.
     """

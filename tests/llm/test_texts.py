@@ -79,6 +79,17 @@ def test_digits_are_permuted(values):
     assert len({deid.permuted(b"k", v, "phone") for v in values}) == len(values)
 
 
+def test_initials_and_house_numbers_stay_distinct():
+    new = lambda kind, value, words: deid.surrogate(b"k1", kind, value, words)
+    assert len({new("name", f"{c}. Velmar", {"velmar": "kodita"}) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}) == 26
+    assert len({new("name", f"{c}. Вельмар", {"вельмар": "кодита"}) for c in "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"}) == 27
+    a = new("name", "A. Velmar", {"velmar": "kodita"})
+    assert a[0].isupper() and a[0] != "A" and a[1:] == ". Kodita" and new("name", "a", {}) == a[0].lower() and "A" <= a[0] <= "Z"
+    numbers = [new("address", f"{n} Elm Street", {"elm": "kodita"}).split()[0] for n in range(12000)]
+    assert len(set(numbers)) == 12000 and all(len(x) == len(str(n)) and (x[0] == "0") == (n == 0) for n, x in enumerate(numbers))
+    assert len({deid.house(b"k1", f"{n:05}") for n in range(2000)}) == 2000
+
+
 REF = [(1, "velumodor", "Sidoxadaspyl"), (2, "haloplemate", None), (3, "praulotrinyl/toruphare", None), (4, "praulotrinyl", "Miroclovor"), (5, "toruphare", None), (6, None, "Brandonly"), (None, "nothingatall", None), (7, "velutakor", None)]
 
 
