@@ -27,6 +27,12 @@ def in_window(spine: DataFrame, events: DataFrame, back: str, ahead: str, key: s
     return spine.join(e, near).drop("_key", "_at")
 
 
+def rows_in_window(spine: DataFrame, events: DataFrame, back: str, ahead: str, key: str = "id", date: str = "date") -> DataFrame:
+    """The pairs of in_window, for keys of any number of rows: days are paired with days, and the rows join these by key and day, so that a key fills many tasks."""
+    days = in_window(spine.select(key, date).distinct(), events.select(key, date).distinct().withColumn("_day", F.col(date)), back, ahead, key, date)
+    return spine.join(days, [key, date]).join(events.withColumnRenamed(date, "_day"), [key, "_day"]).drop("_day")
+
+
 def looked_back(spine: DataFrame, events: DataFrame, back: str, key: str = "id", date: str = "date") -> DataFrame:
     """Pairs with spine date - back <= event date <= spine date; the bound is computed on the spine's side."""
     e = events.withColumnRenamed(date, "_at").withColumnRenamed(key, "_key")

@@ -65,9 +65,9 @@ select o_orderkey as a, l_orderkey as b, o_orderdate::date as date from
 join (select l_orderkey, l_suppkey, l_shipdate::date as ship from lineitem where day(l_shipdate::date) >= 28 and month(l_shipdate::date) in (2, 3)) l on o.o_custkey % 100 = l.l_suppkey % 100
 where o_orderdate::date between ship - interval 6 month and ship + interval 6 month group by all""", dates=("date",))
 def interval_join_month_end(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), (F.col("o_custkey") % 100).alias("id"), F.to_date("o_orderdate").alias("date")).where("date between date'1997-08-29' and date'1997-08-31'")
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("b"), (F.col("l_suppkey") % 100).alias("id"), F.to_date("l_shipdate").alias("date")).where("day(date) >= 28 and month(date) in (2, 3)")
-    return temporal.in_window(o, li, "6mo", "6mo").select("a", "b", "date").distinct()
+    """Each note a with each diagnosis b whose window of six months, clamped at month ends, holds its date. The SQL is that of a slice of other tables, kept as it was."""
+    i = icd(spark, d).select(F.col("key").alias("b"), "id", "date").distinct()
+    return temporal.rows_in_window(spine(spark, d).withColumnRenamed("idx", "a"), i, "6mo", "6mo").select("a", "b", "date")
 
 
 @query(sql("""

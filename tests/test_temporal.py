@@ -1,9 +1,11 @@
+import calendar
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from phenoframe.operators import codes, rules, temporal, timeline
+from phenoframe.plans import coded
 
 D = date
 
@@ -15,6 +17,24 @@ def test_window_is_inclusive_and_clamps_at_month_ends(spark):
     assert got == {D(2024, 2, 29), D(2025, 2, 28)}
 
 
+def test_month_end_query_pairs_all_rows(spark, tmp_path):
+    """Three days at a month's end, a date far from it, and a key with many rows, against every pair of rows."""
+    days = [D(2024, 2, 28), D(2024, 2, 29), D(2024, 3, 1), D(2020, 5, 5), D(2020, 11, 5), D(2020, 11, 6)]
+    notes = [(i, "hot" if i % 2 else f"p{i % 6}", str(days[i % 6]), "x") for i in range(60)] + [(90, None, "2024-02-29", "x"), (91, "hot", None, "x")]
+    at = [D(2024, 8, 29), D(2024, 8, 30), D(2024, 8, 31), D(2020, 5, 5), D(2021, 5, 5)]
+    codes_ = [(i, "hot" if i % 2 else f"p{i % 6}", str(at[i % 5]), "I63") for i in range(60)] + [(90, None, "2024-08-31", "I63"), (91, "hot", None, "I63")]
+    spark.createDataFrame([*notes, notes[0]], "visit_id long, patient_id string, note_date string, note_text string").write.parquet(str(tmp_path / "note.parquet"))
+    spark.createDataFrame([*codes_, codes_[0]], "icd_id long, patient_id string, icd_date string, icd_code string").write.parquet(str(tmp_path / "icd.parquet"))
+
+    def moved(d, months):
+        y, m = divmod(d.year * 12 + d.month - 1 + months, 12)
+        return D(y, m + 1, min(d.day, calendar.monthrange(y, m + 1)[1]))
+
+    want = [(a, b, x) for a, p, x, _ in notes for b, q, y, _ in codes_ if p and x and y and p == q and moved(D.fromisoformat(y), -6) <= D.fromisoformat(x) <= moved(D.fromisoformat(y), 6)]
+    got = [tuple(r) for r in coded.query.queries["interval_join_month_end"](spark, str(tmp_path)).select("a", "b", "date").collect()]
+    assert want and sorted(got) == sorted(want)
+
+
 def test_lookback_counts_both_ends(spark):
     notes = spark.createDataFrame([("p", D(2024, 2, 29))], "id string, date date")
     events = spark.createDataFrame([("p", d, i) for i, d in enumerate([D(2022, 2, 28), D(2022, 2, 27), D(2024, 2, 29), D(2024, 3, 1)])], "id string, date date, n int")
