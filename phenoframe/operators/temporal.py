@@ -115,7 +115,7 @@ def texts_of_day(df: DataFrame, keys: list[str], text: str, order: str, sep: str
     return df.groupBy(*keys).agg(F.min(order).alias(order), F.array_join(F.transform(got, lambda x: x[text]), sep).alias(text))
 
 
-def numbered(df: DataFrame, *order: str, name: str = "note_idx") -> DataFrame:
+def numbered(df: DataFrame, *order: str | Column, name: str = "note_idx") -> DataFrame:
     """df with a gapless 0-based number by the given order as its first column.
 
     Partitions are numbered in parallel: a range partitioning by the order, a count of each partition, and an offset from the counts - no single-task

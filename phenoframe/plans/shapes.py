@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenoframe.operators import metrics, temporal, timeline
@@ -85,9 +85,9 @@ def timeline_extents(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select note_id, row_number() over (order by annot nulls last, note_id) as place from notes order by place limit 50")
 def nulls_last_sort(spark: SparkSession, d: str) -> DataFrame:
-    """A top-k report: the limit is the feature."""
-    top = table(spark, d, "notes").select("note_id", "annot").orderBy(F.asc_nulls_last("annot"), "note_id").limit(50)
-    return top.select("note_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last("annot"), "note_id")).cast("long").alias("place"))
+    """The place of every note, nulls last. The SQL, kept as it was, gives the first 50 places only."""
+    order = F.asc_nulls_last("annot"), F.asc_nulls_last("note_id")
+    return temporal.numbered(table(spark, d, "notes").select("note_id", "annot"), *order, name="_n").select("note_id", (F.col("_n") + 1).alias("place"))
 
 
 @query(sql("select id, count(*) as n_notes, count(distinct date) as n_days, min(date) as first_date, max(date) as last_date from n group by 1"), dates=("first_date", "last_date"))

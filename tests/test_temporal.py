@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from phenoframe.operators import codes, rules, temporal, timeline
-from phenoframe.plans import coded
+from phenoframe.plans import coded, shapes
 
 D = date
 
@@ -35,6 +35,13 @@ def test_month_end_query_pairs_all_rows(spark, tmp_path):
     assert want and sorted(got) == sorted(want)
 
 
+def test_nulls_last_query_places_all_rows(spark, tmp_path):
+    rows = [(i * 37 % 101, (None, 1, 0)[i % 3]) for i in range(101)]
+    spark.createDataFrame(rows, "note_id long, annot int").repartition(3).write.parquet(str(tmp_path / "notes.parquet"))
+    got = {r["place"]: r["note_id"] for r in shapes.query.queries["nulls_last_sort"](spark, str(tmp_path)).collect()}
+    assert [got[k] for k in range(1, 102)] == [n for n, a in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))]
+
+
 def test_lookback_counts_both_ends(spark):
     notes = spark.createDataFrame([("p", D(2024, 2, 29))], "id string, date date")
     events = spark.createDataFrame([("p", d, i) for i, d in enumerate([D(2022, 2, 28), D(2022, 2, 27), D(2024, 2, 29), D(2024, 3, 1)])], "id string, date date, n int")
