@@ -6,8 +6,11 @@ what is windowed afterwards are distinct scores.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,17 +186,34 @@ def tagged(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return df.withColumn("error_type", F.when(a.isNull() | p.isNull(), None).when((a == 0) & (p == 1), "false_positive").when((a == 1) & (p == 0), "false_negative").otherwise("correct"))
 
 
+#: Counts up to which Poisson weights are drawn exactly; the normal form beyond has the same mean and variance.
+EXACT_POISSON = 400
+
+
+def _poisson(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The Poisson count of mean n at the uniform u, by inverse distribution."""
+    for n, u in parts:
+        out = np.zeros(len(n))
+        for mean in n.unique():
+            k = np.arange(1, int(mean + 12 * mean**0.5 + 40))
+            upto = np.cumsum(np.exp(np.concatenate([[0.0], np.cumsum(np.log(mean / k))]) - mean))
+            out[(n == mean).to_numpy()] = np.searchsorted(upto, u[n == mean].to_numpy())
+        yield pd.Series(out)
+
+
 def bootstrap_interval(values: DataFrame, value: str, times: int = 2000, seed: int = 42) -> DataFrame:
     """95 % interval of the mean: low, mean, high. Values are first counted, then each distinct value's weight is drawn per resample from a Poisson by hash.
 
-    The rows are thus never multiplied by the resamples, only the distinct values are.
+    The rows are thus never multiplied by the resamples, only the distinct values are. Weights of values that occur up to EXACT_POISSON times are Poisson
+    counts, beyond that normal ones of the same mean and variance. Resamples that drew nothing have no mean and are left out.
     """
     g = values.where(F.col(value).isNotNull()).groupBy(F.round(value, 6).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     reps = F.explode(F.sequence(F.lit(1), F.lit(times))).alias("r")
     u = lambda k: (F.pmod(F.xxhash64("v", "r", F.lit(seed + k)), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
     normal = F.sqrt(-2 * F.log(u(0))) * F.cos(2 * 3.141592653589793 * u(1))
-    draws = g.select("v", "n", reps).withColumn("k", F.greatest(F.lit(0.0), F.col("n") + F.sqrt("n") * normal))
-    means = draws.groupBy("r").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("mean"))
+    few = F.pandas_udf(_poisson, "double")(F.least("n", F.lit(EXACT_POISSON)).cast("double"), u(0))
+    draws = g.select("v", "n", reps).withColumn("k", F.when(F.col("n") <= EXACT_POISSON, few).otherwise(F.greatest(F.lit(0.0), F.col("n") + F.sqrt("n") * normal)))
+    means = draws.groupBy("r").agg(F.try_divide(F.sum(F.col("v") * F.col("k")), F.sum("k")).alias("mean"))
     return means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.avg("mean").alias("mean"), F.percentile("mean", F.lit(0.975)).alias("high"))
 
 

@@ -79,3 +79,24 @@ def test_thresholds_strict_and_inclusive(spark):
 def test_bootstrap_holds_the_mean(frame):
     r = metrics.bootstrap_interval(frame, "s", times=200).first()
     assert r["low"] < r["mean"] < r["high"]
+
+
+def test_bootstrap_of_values_that_occur_once(spark):
+    """The interval's width is that of Poisson weights: 3.92 standard errors, with the variance over n."""
+    x = [i * i / 1000 for i in range(400)]
+    r = metrics.bootstrap_interval(spark.createDataFrame([(v,) for v in x], "v double"), "v").first()
+    mean = sum(x) / len(x)
+    assert r["high"] - r["low"] == pytest.approx(3.92 * (sum((v - mean) ** 2 for v in x) / len(x) / len(x)) ** 0.5, rel=0.09)
+
+
+@pytest.mark.parametrize("n", [1.0, 6.0, 400.0])
+def test_poisson_counts(n):
+    import numpy as np
+    import pandas as pd
+
+    k = next(metrics._poisson(iter([(pd.Series([n] * 20000), pd.Series((np.arange(20000) + 0.5) / 20000))])))
+    assert (k == k.round()).all() and k.mean() == pytest.approx(n, rel=0.01) and k.var() == pytest.approx(n, rel=0.02)
+
+
+def test_bootstrap_with_empty_resamples(spark):
+    assert metrics.bootstrap_interval(spark.createDataFrame([(2.0,)], "v double"), "v").first()[:] == (2.0, 2.0, 2.0)
