@@ -76,8 +76,8 @@ def probability(df: DataFrame, name: str = "prob") -> DataFrame:
     return df.withColumn(name, vector_to_array("probability")[1]).drop("probability", "rawPrediction")
 
 
-def ngram_pipeline(tokens: str, least_docs: int = 5, most: int = 20_000) -> Pipeline:
-    """Binary vectors of 1- to 3-grams that occur in at least least_docs texts."""
+def ngram_pipeline(tokens: str, least_docs: int = 5, most: int = 2**31 - 1) -> Pipeline:
+    """Binary vectors of all 1- to 3-grams that occur in at least least_docs texts; `most` is no bound by default, what is collected are the n-grams that there are."""
     stages, parts = [], []
     for n in (1, 2, 3):
         stages.append(NGram(n=n, inputCol=tokens, outputCol=f"_g{n}"))

@@ -100,3 +100,9 @@ def test_poisson_counts(n):
 
 def test_bootstrap_with_empty_resamples(spark):
     assert metrics.bootstrap_interval(spark.createDataFrame([(2.0,)], "v double"), "v").first()[:] == (2.0, 2.0, 2.0)
+
+
+def test_ngram_vocabulary_is_whole(spark):
+    df = spark.range(4).selectExpr("transform(sequence(1, 21000), x -> concat('w', x)) as w")
+    model = ml.ngram_pipeline("w", least_docs=4).fit(df)
+    assert [len(s.vocabulary) for s in model.stages if hasattr(s, "vocabulary")] == [21000, 20999, 20998]
