@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -172,20 +172,60 @@ def porter(word: str) -> str:
     return w
 
 
+# English nouns whose singular no rule gives, by kind.
+#: Words that end like a plural and are none.
+_ALIKE = frozenset(
+    "diabetes series species pancreas atlas bias gas canvas alias rabies scabies caries facies herpes measles mumps shingles lens biceps triceps quadriceps forceps pus sepsis asbestos ascites pertussis tetanus lues "
+    "chaos kudos aids news physics mathematics genetics pediatrics obstetrics orthopedics statistics ethics hysterics gallows cosmos pathos stapes always perhaps besides across towards its his this hers ours yours theirs".split()
+)
+_IRREGULAR = {
+    "feet": "foot", "teeth": "tooth", "children": "child", "mice": "mouse", "lice": "louse", "geese": "goose", "oxen": "ox", "people": "people", "men": "man", "women": "woman",
+    "axes": "axis", "emphases": "emphasis", "atlases": "atlas", "biases": "bias", "gases": "gas", "canvases": "canvas", "aliases": "alias", "lenses": "lens", "testes": "testis", "theses": "thesis", "crises": "crisis", "bases": "base", "indices": "index", "matrices": "matrix", "vertices": "vertex", "vortices": "vortex", "appendices": "appendix", "cervices": "cervix", "cortices": "cortex", "apices": "apex", "calices": "calix", "helices": "helix",
+    "bacteria": "bacterium", "criteria": "criterion", "phenomena": "phenomenon", "ganglia": "ganglion", "septa": "septum", "atria": "atrium", "ova": "ovum", "sera": "serum", "strata": "stratum", "media": "medium", "crania": "cranium", "ischia": "ischium",
+    "vertebrae": "vertebra", "bursae": "bursa", "papillae": "papilla", "scapulae": "scapula", "fibulae": "fibula", "tibiae": "tibia", "conchae": "concha", "larvae": "larva", "fistulae": "fistula", "petechiae": "petechia", "aortae": "aorta", "venae": "vena",
+    "nuclei": "nucleus", "fungi": "fungus", "bronchi": "bronchus", "stimuli": "stimulus", "emboli": "embolus", "thrombi": "thrombus", "foci": "focus", "loci": "locus", "bacilli": "bacillus", "calculi": "calculus", "gyri": "gyrus", "sulci": "sulcus", "thalami": "thalamus", "rami": "ramus", "alumni": "alumnus", "radii": "radius", "humeri": "humerus", "menisci": "meniscus", "villi": "villus",
+    "knives": "knife", "lives": "life", "wives": "wife", "midwives": "midwife", "housewives": "housewife", "halves": "half", "calves": "calf", "leaves": "leaf", "loaves": "loaf", "wolves": "wolf", "shelves": "shelf", "selves": "self", "thieves": "thief", "scarves": "scarf", "elves": "elf",
+    "movies": "movie", "cookies": "cookie", "calories": "calorie", "ties": "tie", "pies": "pie", "dies": "die", "lies": "lie", "prairies": "prairie", "brownies": "brownie", "genies": "genie", "selfies": "selfie", "quizzes": "quiz", "buses": "bus", "biopsies": "biopsy",
+}
+#: Nouns in -men that are no plurals; compounds of man are.
+_MEN = frozenset("abdomen specimen regimen semen acumen lumen foramen stamen hymen omen albumen bitumen rumen cyclamen examen dolmen numen putamen cerumen tegmen".split())
+_ACHES = frozenset("ache headache backache toothache earache stomachache heartache bellyache mustache moustache cache niche avalanche cliche psyche quiche creche pastiche".split())
+_OES = frozenset("toe shoe hoe foe woe canoe oboe tiptoe horseshoe doe roe floe".split())
+_USES = frozenset("use cause house spouse excuse fuse abuse pause clause blouse menopause recluse ruse misuse reuse overuse grouse warehouse louse mouse muse hypotenuse".split())
+_OSES = frozenset("dose nose rose hose pose purpose overdose pantyhose glucose lactose sucrose fructose maltose cellulose lose close prose".split())
+
+
 def noun(word: str) -> str:
-    """The singular of an English noun by rule, in place of a dictionary lemmatizer."""
-    for end, new, least in (("sses", "ss", 5), ("ies", "y", 5), ("xes", "x", 4), ("ches", "ch", 5), ("shes", "sh", 5), ("zes", "ze", 5), ("men", "man", 5)):
-        if word.endswith(end) and len(word) >= least:
-            return word[: -len(end)] + new
-    return word[:-1] if word.endswith("s") and not word.endswith(("ss", "us", "is")) and len(word) > 3 else word
+    """The singular of an English noun in lower case by rule and list, in place of a dictionary lemmatizer; what is no plural stays as it is."""
+    if word in _IRREGULAR:
+        return _IRREGULAR[word]
+    if word.endswith("men") and len(word) > 4:
+        return word if word in _MEN else word[:-3] + "man"
+    if not word.endswith("s") or len(word) <= 3 or word in _ALIKE or word.endswith(("ss", "us", "is")):
+        return word
+    one, es = word[:-1], word[:-2]
+    if word.endswith("ies"):
+        return word[:-3] + "y"
+    if word.endswith(("sses", "xes", "shes", "zzes", "tzes")):
+        return es
+    if word.endswith("ches"):
+        return one if one in _ACHES else es
+    if word.endswith("oes"):
+        return one if one in _OES else es
+    if word.endswith("uses"):
+        return one if one in _USES or any(one.endswith(u) for u in ("house", "cause", "mouse", "clause")) else es
+    if word.endswith("oses"):
+        return one if one in _OSES else es + "is"
+    return es + "is" if word.endswith(("yses", "stases", "theses", "reses", "neses", "teses")) else one
 
 
 STEMMERS = {"porter2": porter2, "porter": porter, "noun": noun}
 
 
-def stem_nested(c: Column | str, stemmer: str = "porter2") -> Column:
-    """array<array<string>> of words to their stems, in Arrow batches; each worker remembers the words it met."""
-    f = STEMMERS[stemmer]
+def stem_nested(c: Column | str, stemmer: str = "porter2", keep: Iterable[str] = ()) -> Column:
+    """array<array<string>> of words to their stems, in Arrow batches; each worker remembers the words it met. Words in keep stay as they are."""
+    as_is, plain = frozenset(keep), STEMMERS[stemmer]
+    f = (lambda w: w if w in as_is else plain(w)) if as_is else plain
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:

@@ -6,7 +6,7 @@ built from the JVM's higher-order functions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -68,49 +68,51 @@ def word_flags(sentences: Column | str, words: list[str]) -> dict[str, Column]:
     return {w: F.coalesce(F.array_contains(every, w).cast("int"), F.lit(0)) for w in words}
 
 
-def scopes(tokens: list[str], before: frozenset, after: frozenset, pseudo: frozenset, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Inclusive scopes of negation in a sentence: a trigger reaches `window` words forward (before) or back (after).
+def trigger_table(before: Iterable[str], after: Iterable[str], pseudo: Iterable[str]) -> dict[tuple[str, ...], str]:
+    """Kind of each trigger by its words. A phrase of several kinds is one before rather than after, and one of these rather than a pseudo trigger."""
+    kinds = (("pseudo", pseudo), ("after", after), ("before", before))
+    return {tuple(phrase.split()): kind for kind, phrases in kinds for phrase in phrases}
 
-    Phrases of up to three words that do not end with the last word count as triggers too; a pseudo trigger lifts the scopes that hold it. What is both is a trigger before.
+
+def scopes(tokens: list[str], triggers: dict[tuple[str, ...], str], window: int = WINDOW) -> list[tuple[int, int]]:
+    """Inclusive stretches of a sentence that its triggers negate.
+
+    Each trigger found is a stretch of words. One of kind before negates from its last word `window` words onward, one of kind after from its first word
+    `window` words back. A pseudo trigger lifts whatever stretches the triggers read until then have negated around it, so what comes later stands. Phrases of two and more
+    words don't count at the very end of a sentence.
     """
-    n, out = len(tokens), []
-    for i in range(n):
-        word = tokens[i]
-        if word in before:
-            out.append((i, min(i + window, n)))
-        elif word in after:
-            out.append((max(0, i - window), i))
-        for j in range(1, min(4, n - i)):
-            phrase, last = " ".join(tokens[i : i + j]), i + j - 1
-            if phrase in before:
-                out.append((last, min(last + window, n)))
-            elif phrase in after:
-                out.append((max(0, i - window), i))
-            elif phrase in pseudo:
-                out = [(a, b) for a, b in out if not (a <= i and b >= last)]
-    return out
-
-
-def windowed(sentences: Column | str, keywords: list[str], stem=None) -> Column:
+    n = len(tokens)
+    read = sorted(
+        (at, size, triggers[phrase])
+        for size in {len(t) for t in triggers}
+        for at, phrase in enumerate(zip(*(tokens[k:] for k in range(size)), strict=False))
+        if phrase in triggers and (size == 1 or at + size < n)
+    )
+    reach = {"before": lambda first, last: (last, min(last + window, n)), "after": lambda first, last: (max(0, first - window), first)}
+    lifts = [(k, at, at + size - 1) for k, (at, size, kind) in enumerate(read) if kind == "pseudo"]
+    spans = [(k, *reach[kind](at, at + size - 1)) for k, (at, size, kind) in enumerate(read) if kind != "pseudo"]
+    return [(lo, hi) for k, lo, hi in spans if not any(k < later and lo <= first and last <= hi for later, first, last in lifts)]
+
+
+def windowed(sentences: Column | str, keywords: list[str], stem=None, triggers: dict[str, list[str]] | None = None, window: int = WINDOW) -> Column:
     """Struct array of (keyword, asserted, negated) flags under windowed negation: a keyword hits where any of its words stands, and is
     negated in a sentence if any hit lies in any scope. Runs in Arrow batches, as scopes depend on positions."""
     f = stem or (lambda w: w)
-    norm = lambda ps: frozenset(" ".join(f(w) for w in p.split()) for p in ps)
-    before, after, pseudo = norm(BEFORE), norm(AFTER), norm(PSEUDO)
+    t = triggers or {"before": list(BEFORE), "after": list(AFTER), "pseudo": list(PSEUDO)}
+    table = trigger_table(*([" ".join(f(w) for w in p.split()) for p in t.get(kind, [])] for kind in ("before", "after", "pseudo")))
     sets = [frozenset(k.split()) for k in keywords]
 
     def one(sents) -> list[dict]:
         yes, no = [0] * len(sets), [0] * len(sets)
         for s in sents if sents is not None else ():
-            s = list(s)
-            held = set(s)
+            words = list(s)
+            held = set(words)
             hit = [k for k, ws in enumerate(sets) if ws & held]
             if not hit:
                 continue
-            spans = scopes(s, before, after, pseudo)
+            denied = {words[i] for lo, hi in scopes(words, table, window) for i in range(lo, min(hi + 1, len(words)))}
             for k in hit:
-                at = [i for i, w in enumerate(s) if w in sets[k]]
-                if any(a <= i <= b for i in at for a, b in spans):
+                if sets[k] & denied:
                     no[k] = 1
                 else:
                     yes[k] = 1
