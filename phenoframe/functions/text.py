@@ -41,10 +41,14 @@ def ascii_words(c: Column | str) -> Column:
     return F.trim(steps(F.lower(col(c)), (r"[^\x00-\x7F]", ""), (r"\s+", " "), (r"[0-9]", ""), (r"[!-/:-@\[-`{-~]", ""), (r"\s+", " ")))
 
 
+def content_filter(words: Column, stop: list[str], keep: list[str], least: int = 3) -> Column:
+    """Words without stop words and without those shorter than `least`, but with those in keep."""
+    return F.filter(words, lambda w: ~w.isin(*stop) & ((F.length(w) >= least) | w.isin(*keep)) & (w != ""))
+
+
 def content_words(c: Column | str, stop: list[str], keep: list[str], least: int = 3) -> Column:
-    """ascii_words without stop words and without words shorter than `least`, but with those in keep; a blank where none is left."""
-    words = F.filter(F.split(ascii_words(c), " "), lambda w: ~w.isin(*stop) & ((F.length(w) >= least) | w.isin(*keep)) & (w != ""))
-    joined = F.array_join(words, " ")
+    """ascii_words that content_filter leaves; a blank where none is left."""
+    joined = F.array_join(content_filter(F.split(ascii_words(c), " "), stop, keep, least), " ")
     return F.when(joined == "", F.lit(" ")).otherwise(joined)
 
 
@@ -58,11 +62,29 @@ def literals(c: Column | str, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, col(c))
 
 
-def clean_scored(c: Column | str, before: list[tuple[str, str]], numbers: list[tuple[str, str]], after: list[tuple[str, str]]) -> Column:
-    """Cleaning for scored scales: lower case, literal replacements, numbers to phrases, then no digits or marks, no word twice in a row, and last replacements."""
-    x = steps(literals(F.lower(col(c)), before), *((f"(?i){p}", r) for p, r in numbers))
-    x = steps(x, (r"\d+", ""), (r"/l", " "), (r"[^A-Za-z0-9 \n.]", " "), (r"\.", " "), (r"\s+", " "))
-    return F.trim(steps(dedup_words(literals(dedup_words(x), after)), (r"\s+", " ")))
+_LETTERS_ONLY = ((r"\d+", ""), (r"/l", " "), (r"[^A-Za-z0-9 \n.]", " "), (r"\.", " "), (r"\s+", " "))
+
+
+def without_words(c: Column | str, stop: list[str]) -> Column:
+    """The words of a text but for stop words, with one blank between them and none twice in a row."""
+    if not stop:
+        return F.trim(dedup_words(steps(c, (r"\s+", " "))))
+    words = F.filter(F.split(F.trim(steps(c, (r"\s+", " "))), " "), lambda w: ~w.isin(*stop) & (w != ""))
+    return F.trim(dedup_words(F.array_join(words, " ")))
+
+
+def clean_scored(c: Column | str, before: list[tuple[str, str]], numbers: list[tuple[str, str]], after: list[tuple[str, str]], stop: list[str] = (), remove: list[tuple[str, str]] = ()) -> Column:
+    """Cleaning for scored scales: lower case, literal replacements, numbers to phrases (whatever the case), then no digits or marks, no word twice in a row, the
+    replacements and removals of what names the score, no stop words, and again no word twice in a row."""
+    x = steps(literals(F.lower(col(c)), before), *((f"(?i){p}", r) for p, r in numbers), *_LETTERS_ONLY)
+    return without_words(literals(dedup_words(x), [*after, *remove]), list(stop))
+
+
+def clean_graded(c: Column | str, before: list[tuple[str, str]], numbers: list[tuple[str, str]], after: list[tuple[str, str]], stop: list[str] = (), remove: list[tuple[str, str]] = ()) -> Column:
+    """The variant with another order: white space collapses first and commas go before numbers become phrases (in lower case), abbreviations are spelt out (after)
+    only when digits and doubled words are gone, and then the removals."""
+    x = steps(literals(steps(F.lower(col(c)), (r"\s+", " ")), before), (",", " "), (r"\s+", " "), *numbers, *_LETTERS_ONLY)
+    return without_words(literals(literals(dedup_words(x), after), remove), list(stop))
 
 
 def matches(c: Column | str, pattern: str) -> Column:

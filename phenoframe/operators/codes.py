@@ -76,5 +76,20 @@ def safe_names(df: DataFrame, marks: str = "[]<>") -> DataFrame:
     return df.withColumnsRenamed({c: re.sub(f"[{re.escape(marks)}]", "_", c) for c in df.columns if any(m in c for m in marks)})
 
 
+# Names for the signs of a pattern, for learners that allow letters, digits and underscores only.
+SIGNS = {
+    r"\b": "_B_", r"\s": "_S_", "|": "_OR_", "(": "_LP_", ")": "_RP_", "[": "_LB_", "]": "_RB_", "{": "_LC_", "}": "_RC_", "+": "_PLUS_", "?": "_Q_", "*": "_STAR_", "^": "_CARET_",
+}
+
+
+def spelt_name(pattern: str) -> str:
+    """A pattern with its signs spelt out."""
+    return re.sub("|".join(map(re.escape, SIGNS)), lambda m: SIGNS[m[0]], pattern)
+
+
+def spelt_names(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({c: spelt_name(c) for c in df.columns if spelt_name(c) != c})
+
+
 def suffixed(df: DataFrame, suffix: str, but: list[str]) -> DataFrame:
     return df.withColumnsRenamed({c: c + suffix for c in df.columns if c not in but})
