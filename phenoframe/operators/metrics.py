@@ -10,9 +10,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from phenoframe.session import cut, shuffle_partitions
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -41,20 +44,40 @@ def by_score(df: DataFrame, actual: str, score: str) -> DataFrame:
     return d.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(actual).cast("long")).alias("p"), F.sum(1 - F.col(actual).cast("long")).alias("m"))
 
 
-def running(d: DataFrame, by: str, sums: list[str], descending: bool = False, bins: int = 1024) -> DataFrame:
-    """d with the sum of each column up to and with its own row in the order of `by` (distinct numbers): run_<column>, and all_<column>.
+def _summed(sums: list[str]):
+    """The rows of a task with its number and the sums up to each row; what is carried from batch to batch is one number a column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, carried = TaskContext.get().partitionId(), dict.fromkeys(sums, 0)
+        for b in batches:
+            new = []
+            for c in sums:
+                upto = np.cumsum(b.column(c).fill_null(0).to_numpy(zero_copy_only=False)) + carried[c]
+                if len(upto):
+                    carried[c] = upto[-1]
+                new.append(pa.array(upto, b.column(c).type))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, task, dtype=np.int32)), *new], names=[*b.schema.names, "_p", *(f"_i_{c}" for c in sums)])
+
+    return run
 
-    A scan in two levels: rows are binned by a fixed monotone map of `by`, summed within their bins in parallel, and the bins' totals - at
-    most 2 * bins + 1 rows - give each bin its offset. No window ever holds all rows.
+
+def running(d: DataFrame, by: str, sums: list[str], descending: bool = False) -> DataFrame:
+    """d with the sum of each column up to and with its own row in the order of `by` (distinct numbers): run_<column>, and all_<column>. Nulls add nothing.
+
+    A scan in two levels in one shuffle: rows are range-partitioned by `by`, so that tasks get like shares of them whatever the numbers' distribution, and summed in
+    each task as they stream by; the tasks' totals, one row a task, give each its offset. The summed rows are written to the checkpoint folder, as their
+    partitioning must not be computed twice.
     """
-    d = d.withColumn("_bin", F.floor((F.col(by) / (1 + F.abs(by)) + 1) * bins))
-    order = F.desc if descending else F.asc
-    inner = Window.partitionBy("_bin").orderBy(order(by))
-    outer, every = Window.partitionBy(F.lit(0)).orderBy(order("_bin")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
-    tops = d.groupBy("_bin").agg(*(F.sum(c).alias(f"_t_{c}") for c in sums))
-    tops = tops.select("_bin", *(F.coalesce(F.sum(f"_t_{c}").over(outer), F.lit(0)).alias(f"_o_{c}") for c in sums), *(F.sum(f"_t_{c}").over(every).alias(f"all_{c}") for c in sums))
-    d = d.withColumns({f"_i_{c}": F.sum(c).over(inner) for c in sums}).join(F.broadcast(tops), "_bin")
-    return d.withColumns({f"run_{c}": F.col(f"_i_{c}") + F.col(f"_o_{c}") for c in sums}).drop("_bin", *(f"_{x}_{c}" for x in "io" for c in sums))
+    order = (F.desc if descending else F.asc)(by)
+    schema = T.StructType([*d.schema.fields, T.StructField("_p", T.IntegerType()), *(T.StructField(f"_i_{c}", d.schema[c].dataType) for c in sums)])
+    s = cut(d.repartitionByRange(shuffle_partitions(d.sparkSession), order).sortWithinPartitions(order).mapInArrow(_summed(sums), schema))
+    outer, every = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
+    tops = s.groupBy("_p").agg(*(F.sum(c).alias(f"_t_{c}") for c in sums))
+    tops = tops.select("_p", *(F.coalesce(F.sum(f"_t_{c}").over(outer), F.lit(0)).alias(f"_o_{c}") for c in sums), *(F.sum(f"_t_{c}").over(every).alias(f"all_{c}") for c in sums))
+    s = s.join(F.broadcast(tops), "_p")  # one row a task
+    return s.withColumns({f"run_{c}": F.col(f"_i_{c}") + F.col(f"_o_{c}") for c in sums}).drop("_p", *(f"_{x}_{c}" for x in "io" for c in sums))
 
 
 def curve(df: DataFrame, actual: str, score: str) -> DataFrame:
@@ -188,36 +211,69 @@ def tagged(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 #: Counts up to which Poisson weights are drawn exactly; the normal form beyond has the same mean and variance.
 EXACT_POISSON = 400
-
-
-def _poisson(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The Poisson count of mean n at the uniform u, by inverse distribution."""
-    for n, u in parts:
-        out = np.zeros(len(n))
-        for mean in n.unique():
-            k = np.arange(1, int(mean + 12 * mean**0.5 + 40))
-            upto = np.cumsum(np.exp(np.concatenate([[0.0], np.cumsum(np.log(mean / k))]) - mean))
-            out[(n == mean).to_numpy()] = np.searchsorted(upto, u[n == mean].to_numpy())
-        yield pd.Series(out)
+_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)  # of the published splitmix64
+
+
+def _uniform(keys: np.ndarray, times: int, seed: int) -> np.ndarray:
+    """A matrix of uniforms in (0, 1): row by key, column by resample; the same for a key wherever its row is."""
+    x = keys.astype(np.uint64)[:, None] + (np.arange(1, times + 1, dtype=np.uint64) * np.uint64(_MIX[0]) + np.uint64(seed))[None, :]
+    for shift, factor in ((30, _MIX[1]), (27, _MIX[2])):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+
+
+def poisson(n: int, u: np.ndarray) -> np.ndarray:
+    """The Poisson counts of mean n at the uniforms u, by inverse distribution."""
+    k = np.arange(1, int(n + 12 * n**0.5 + 40))
+    upto = np.cumsum(np.exp(np.concatenate([[0.0], np.cumsum(np.log(n / k))]) - n))
+    return np.searchsorted(upto, u).astype(np.float64)
+
+
+def _resampled(times: int, seed: int, rows: int = 256):
+    """Per task the weighted sums of each resample, so that what leaves a task does not grow with its values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, weight, any_ = np.zeros(times), np.zeros(times), False
+        for b in batches:
+            v, n, key = (b.column(c).to_numpy() for c in ("v", "n", "key"))
+            for s in range(0, len(v), rows):
+                u, m = _uniform(key[s : s + rows], times, seed), n[s : s + rows]
+                w = np.empty_like(u)
+                for size in np.unique(m):
+                    at = m == size
+                    if size <= EXACT_POISSON:
+                        w[at] = poisson(int(size), u[at])
+                    else:
+                        other = _uniform(key[s : s + rows][at], times, seed + 1)
+                        w[at] = np.maximum(0.0, size + np.sqrt(size) * np.sqrt(-2 * np.log(u[at])) * np.cos(2 * np.pi * other))
+                total += v[s : s + rows] @ w
+                weight += w.sum(axis=0)
+                any_ = True
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(times)), pa.array(total), pa.array(weight)], names=["r", "t", "w"])
+
+    return run
 
 
 def bootstrap_interval(values: DataFrame, value: str, times: int = 2000, seed: int = 42) -> DataFrame:
     """95 % interval of the mean: low, mean, high. Values are first counted, then each distinct value's weight is drawn per resample from a Poisson by hash.
 
-    The rows are thus never multiplied by the resamples, only the distinct values are. Weights of values that occur up to EXACT_POISSON times are Poisson
-    counts, beyond that normal ones of the same mean and variance. Resamples that drew nothing have no mean and are left out.
+    Values are never multiplied by the resamples in the plan: a task sums its own values into one row a resample. Weights of values that occur up to EXACT_POISSON times are Poisson
+    counts, beyond that normal ones of the same mean and variance. Resamples that drew nothing have no mean and are left out. Nulls are left out; without values all is null.
     """
-    g = values.where(F.col(value).isNotNull()).groupBy(F.round(value, 6).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    reps = F.explode(F.sequence(F.lit(1), F.lit(times))).alias("r")
-    u = lambda k: (F.pmod(F.xxhash64("v", "r", F.lit(seed + k)), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
-    normal = F.sqrt(-2 * F.log(u(0))) * F.cos(2 * 3.141592653589793 * u(1))
-    few = F.pandas_udf(_poisson, "double")(F.least("n", F.lit(EXACT_POISSON)).cast("double"), u(0))
-    draws = g.select("v", "n", reps).withColumn("k", F.when(F.col("n") <= EXACT_POISSON, few).otherwise(F.greatest(F.lit(0.0), F.col("n") + F.sqrt("n") * normal)))
-    means = draws.groupBy("r").agg(F.try_divide(F.sum(F.col("v") * F.col("k")), F.sum("k")).alias("mean"))
+    g = values.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    parts = g.select("v", "n", F.xxhash64("v").alias("key")).mapInArrow(_resampled(times, seed), "r long, t double, w double")
+    means = parts.groupBy("r").agg(F.try_divide(F.sum("t"), F.sum("w")).alias("mean"))
     return means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.avg("mean").alias("mean"), F.percentile("mean", F.lit(0.975)).alias("high"))
 
 
-def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
-    """Counts per row value and listed column value, with a total."""
-    g = df.groupBy(row).agg(*(F.sum(F.when(F.col(column) == v, 1).otherwise(0)).cast("long").alias(v) for v in values))
+def crosstab(df: DataFrame, row: str, column: str, values: list[str], total_row: str | None = None) -> DataFrame:
+    """Counts per row value and listed column value, with a total; total_row names a last row that holds the sums of all, the row value null included."""
+    counts = [F.sum(F.when(F.col(column) == v, 1).otherwise(0)).cast("long").alias(v) for v in values]
+    if total_row is None:
+        g = df.groupBy(row).agg(*counts)
+    else:
+        g = df.rollup(F.col(row).cast("string").alias(row)).agg(F.grouping_id().alias("_all"), *counts)
+        g = g.withColumn(row, F.when(F.col("_all") == 1, total_row).otherwise(F.col(row))).drop("_all")
     return g.withColumn("total", reduce(lambda a, b: a + b, (F.col(v) for v in values)))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phenoframe.functions.dates import shift
 from phenoframe.session import cut
@@ -79,6 +84,13 @@ def common_keys(left: DataFrame, right: DataFrame, among: tuple[str, ...] = ("id
     return left.join(right, on, how)
 
 
+def renamed_join(left: DataFrame, right: DataFrame, on: dict[str, str], how: str = "left") -> DataFrame:
+    """A join whose keys have other names on the right (left name: right name); the right's key columns go."""
+    r = right.withColumnsRenamed({b: f"_r_{b}" for b in on.values()})
+    test = reduce(lambda a, b: a & b, (F.col(a) == F.col(f"_r_{b}") for a, b in on.items()))
+    return left.join(r, test, how).drop(*(f"_r_{b}" for b in on.values()))
+
+
 def ever_flag(spine: DataFrame, events: DataFrame, test: Column, name: str, key: str = "id") -> DataFrame:
     """The spine with a 0/1 column: whether its key ever had an event that passes the test."""
     had = events.where(test).select(key).distinct().withColumn(name, F.lit(1))
@@ -94,19 +106,56 @@ def demographics(spine: DataFrame, demo: DataFrame, key: str = "id", date: str =
     return spine.join(d, key, "left").withColumns({"age": F.year(date) - F.year("date_of_birth"), "sex": sex}).drop("date_of_birth")
 
 
+def _look_ahead(key: str, date: str, name: str):
+    """A task's sorted rows with the date of the same key's next row in it; the first row's key and date and whether a row is the last stand beside them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+
+        def out(rows: pa.Table, following: pa.Table | None, first: bool) -> Iterator[pa.RecordBatch]:
+            n = rows.num_rows
+            ahead = pa.concat_tables([rows.slice(1), following.slice(0, 1)]) if following is not None else rows.slice(1)
+            k, k2 = rows.column(key).combine_chunks(), ahead.column(key).combine_chunks()
+            m = len(k2)
+            same = pc.fill_null(pc.or_(pc.fill_null(pc.equal(k.slice(0, m), k2), False), pc.and_(pc.is_null(k.slice(0, m)), pc.is_null(k2))), False)
+            nxt = pc.if_else(same, ahead.column(date).combine_chunks(), pa.scalar(None, rows.schema.field(date).type))
+            if m < n:
+                nxt = pa.concat_arrays([nxt.combine_chunks() if isinstance(nxt, pa.ChunkedArray) else nxt, pa.nulls(1, rows.schema.field(date).type)])
+            at = np.arange(n)
+            flags = [nxt, pa.array(np.full(n, task, dtype=np.int32)), pa.array((at == 0) & first), pa.array((at == n - 1) & (m < n))]
+            for i, c in enumerate((name, "_p", "_first", "_last")):
+                rows = rows.append_column(c, flags[i])
+            yield from rows.combine_chunks().to_batches(max_chunksize=50_000)
+
+        held, first = None, True
+        for b in batches:
+            if b.num_rows:
+                now = pa.Table.from_batches([b])
+                if held is not None:
+                    yield from out(held, now, first)
+                    first = False
+                held = now
+        if held is not None:
+            yield from out(held, None, first)
+
+    return run
+
+
 def with_next(df: DataFrame, key: str, date: str, *tie: str, name: str = "next_date") -> DataFrame:
     """df with the date of the same key's next row, in the order of date and tie; null for a key's last row. Null keys count as one key.
 
-    Rows are range-partitioned by key and date, so that a key may fill any number of tasks; each task looks ahead within its slice, and the
-    first row of the next slice, one row a task, serves the last key of each.
+    Rows are range-partitioned by key and date, so that a key may fill any number of tasks; each task looks ahead as its sorted slice streams by, and the
+    first row of the next slice, one row a task, serves the last row of each. One shuffle.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = cut(df.repartitionByRange(n, key, date, *tie).withColumn("_p", F.spark_partition_id()))
-    within = Window.partitionBy("_p", key).orderBy(date, *tie)
-    first = s.groupBy("_p").agg(F.min(F.struct(F.col(key).alias("k"), F.col(date).alias("d"))).alias("_f"))
+    schema = T.StructType([*df.schema.fields, T.StructField(name, df.schema[date].dataType), T.StructField("_p", T.IntegerType()), T.StructField("_first", T.BooleanType()), T.StructField("_last", T.BooleanType())])
+    s = cut(df.repartitionByRange(n, key, date, *tie).sortWithinPartitions(key, date, *tie).mapInArrow(_look_ahead(key, date, name), schema))
+    first = s.where("_first").select("_p", F.struct(F.col(key).alias("k"), F.col(date).alias("d")).alias("_f"))
     ahead = first.select("_p", F.lead("_f").over(Window.partitionBy(F.lit(0)).orderBy("_p")).alias("_f"))
-    s = s.withColumns({name: F.lead(date).over(within), "_more": F.lead(F.lit(1)).over(within)}).join(F.broadcast(ahead), "_p", "left")
-    return s.withColumn(name, F.when(F.col("_more").isNull() & F.col(key).eqNullSafe(F.col("_f.k")) & F.col("_f").isNotNull(), F.col("_f.d")).otherwise(F.col(name))).select(*df.columns, name)
+    s = s.join(F.broadcast(ahead), "_p", "left")
+    return s.withColumn(name, F.when(F.col("_last") & F.col(key).eqNullSafe(F.col("_f.k")) & F.col("_f").isNotNull(), F.col("_f.d")).otherwise(F.col(name))).select(*df.columns, name)
 
 
 def texts_of_day(df: DataFrame, keys: list[str], text: str, order: str, sep: str = " ") -> DataFrame:
@@ -134,20 +183,25 @@ def by_day(events: DataFrame, tests: dict[str, Column], key: str = "id", date: s
     return events.groupBy(key, date).agg(*(F.max(F.when(t, 1).otherwise(0)).alias(n) for n, t in tests.items()))
 
 
-def _paired(spine: DataFrame, events: DataFrame, tests: dict[str, Column], any_of: Column | None, pair, key: str, date: str) -> DataFrame:
+def _paired(spine: DataFrame, events: DataFrame, tests: dict[str, Column], any_of: Column | None, pair, key: str, date: str, undated: bool) -> DataFrame:
     e = by_day(events.where(any_of) if any_of is not None else events, tests, key, date)  # pre-aggregated before any shuffle by key
-    found = pair(spine.select(key, date).distinct(), e).groupBy(key, date).agg(*(F.max(n).alias(n) for n in tests))
-    return back_to_spine(spine, found, keys=[key, date])
+    top = [F.max(n).alias(n) for n in tests]
+    found = pair(spine.select(key, date).distinct(), e).groupBy(key, date).agg(*top)
+    if not undated:
+        return back_to_spine(spine, found, keys=[key, date])
+    ever = spine.where(F.col(date).isNull()).select(key).distinct().join(e.groupBy(key).agg(*top), key).withColumn(date, F.lit(None).cast(spine.schema[date].dataType))
+    return null_safe(spine, found.unionByName(ever), [key, date], "left").na.fill(0, list(tests))
 
 
-def windowed_features(spine: DataFrame, events: DataFrame, back: str, ahead: str, tests: dict[str, Column], any_of: Column | None = None, key: str = "id", date: str = "date") -> DataFrame:
+def windowed_features(spine: DataFrame, events: DataFrame, back: str, ahead: str, tests: dict[str, Column], any_of: Column | None = None, key: str = "id", date: str = "date", undated: bool = False) -> DataFrame:
     """The spine with a 0/1 column for each test that an event of the key passes within the window around the row's date.
 
-    Events are first combined to days and spine rows to distinct days, so that a hot key pairs days with days, never rows with rows.
+    Events are first combined to days and spine rows to distinct days, so that a hot key pairs days with days, never rows with rows. If undated, spine rows without a
+    date meet all events of their key; else they meet none.
     """
-    return _paired(spine, events, tests, any_of, lambda d, e: in_window(d, e, back, ahead, key, date), key, date)
+    return _paired(spine, events, tests, any_of, lambda d, e: in_window(d, e, back, ahead, key, date), key, date, undated)
 
 
-def lookback_features(spine: DataFrame, events: DataFrame, back: str, tests: dict[str, Column], any_of: Column | None = None, key: str = "id", date: str = "date") -> DataFrame:
+def lookback_features(spine: DataFrame, events: DataFrame, back: str, tests: dict[str, Column], any_of: Column | None = None, key: str = "id", date: str = "date", undated: bool = False) -> DataFrame:
     """As windowed_features, for events up to `back` before the row's date and on it."""
-    return _paired(spine, events, tests, any_of, lambda d, e: looked_back(d, e, back, key, date), key, date)
+    return _paired(spine, events, tests, any_of, lambda d, e: looked_back(d, e, back, key, date), key, date, undated)

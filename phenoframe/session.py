@@ -56,6 +56,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _shuffled(df: DataFrame) -> bool:
+    """Whether the plan holds a shuffle, by the kinds of its logical operators; unknown plans (another front end than the JVM's) count as shuffled."""
+    try:
+        todo = [df._jdf.queryExecution().optimizedPlan()]
+        while todo:
+            node = todo.pop()
+            if node.nodeName() in ("Aggregate", "Join", "Sort", "Distinct", "Window", "Repartition", "RepartitionByExpression", "RebalancePartitions", "Except", "Intersect", "Deduplicate"):
+                return True
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+        return False
+    except AttributeError:
+        return True
+
+
 def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
     """Spread a few large input splits over the cores before CPU-heavy row-wise work.
 
@@ -63,7 +78,7 @@ def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
     shuffle, whose partitions cannot be counted without running it.
     """
     spark = df.sparkSession
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    if _shuffled(df):
         return df
     want = max(shuffle_partitions(spark), per_core * spark.sparkContext.defaultParallelism)
     if df.rdd.getNumPartitions() >= want:
