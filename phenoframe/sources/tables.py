@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -11,9 +12,9 @@ from pyspark.sql.utils import AnalysisException
 ROLES = {"note": "notes", "icd": "icd", "med": "med", "cpt": "cpt", "demo": "demo"}
 
 
-def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
-    """One table from any number of files, folders or globs."""
-    return spark.read.parquet(*paths)
+def read_parquet(spark: SparkSession, *paths: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """One table from any number of files, folders or globs; with a schema only its columns are read, so files may differ in the rest."""
+    return (spark.read.schema(schema) if schema else spark.read).parquet(*paths)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -59,5 +60,14 @@ def save_predictions(results, folder: str) -> list[str]:
     return done
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    """Write a fitted pipeline as a folder, over what was there."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def spec_folder() -> Path:
     return Path(__file__).parent.parent / "plans" / "specs"
