@@ -59,13 +59,11 @@ def interval_join_exists(spark: SparkSession, d: str) -> DataFrame:
     return temporal.windowed_features(spine(spark, d), icd(spark, d), "18mo", "18mo", {"icd": F.lit(True)}, codes.any_pattern("icd", STROKE))
 
 
-@query("""
-select o_orderkey as a, l_orderkey as b, o_orderdate::date as date from
-  (select * from orders where o_orderdate::date >= date '1997-08-29' and o_orderdate::date <= date '1997-08-31') o
-join (select l_orderkey, l_suppkey, l_shipdate::date as ship from lineitem where day(l_shipdate::date) >= 28 and month(l_shipdate::date) in (2, 3)) l on o.o_custkey % 100 = l.l_suppkey % 100
-where o_orderdate::date between ship - interval 6 month and ship + interval 6 month group by all""", dates=("date",))
+@query(sql("""
+select a, b, n.date from (select distinct idx as a, id, date from n) n join (select distinct key as b, id, date as seen from i) i on n.id = i.id
+where n.date between seen - interval 6 month and seen + interval 6 month"""), dates=("date",))
 def interval_join_month_end(spark: SparkSession, d: str) -> DataFrame:
-    """Each note a with each diagnosis b whose window of six months, clamped at month ends, holds its date. The SQL is that of a slice of other tables, kept as it was."""
+    """Each note a with each diagnosis b whose window of six months, clamped at month ends, holds its date."""
     i = icd(spark, d).select(F.col("key").alias("b"), "id", "date").distinct()
     return temporal.rows_in_window(spine(spark, d).withColumnRenamed("idx", "a"), i, "6mo", "6mo").select("a", "b", "date")
 
@@ -106,13 +104,34 @@ def left_back_to_spine(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 with n as (select distinct visit_id as idx, patient_id as id, note_date::date as date from note where patient_id is not null and note_date is not null),
-d as (select patient_id as id, min(date_of_birth) as b, min(upper(left(trim(sex), 1))) as s from demo group by 1)
-select n.idx, n.id, n.date, (year(date) - year(b))::int as age, case when s is null then null when s = 'M' then 1 else 0 end as sex from n left join d using (id)""", dates=("date",))
+d as (select distinct patient_id as id, date_of_birth as b, sex as s from demo where patient_id is not null)
+select n.idx, n.id, n.date, (year(date) - year(b))::int as age, case when lower(s) in ('m', 'male') then 1 when s is null then null else 0 end as sex from n left join d using (id)""", dates=("date",))
 def demo_age_sex(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "demo").groupBy(F.col("patient_id").alias("id")).agg(F.min("date_of_birth").alias("date_of_birth"), F.min(F.upper(F.substring(F.trim("sex"), 1, 1))).alias("sex"))
+    """Demographic rows as they are, repeated ones and uneven values included."""
+    p = table(spark, d, "demo").where("patient_id is not null").select(F.col("patient_id").alias("id"), "date_of_birth", "sex")
     return temporal.demographics(spine(spark, d), p)
 
 
+_UNDATED = "(select distinct visit_id as idx, patient_id as id, note_date::date as date from note where patient_id is not null)"
+
+
+@query(sql(f"""
+select n.idx, n.id, n.date, coalesce(max(case when regexp_matches(icd, '^I63') then 1 else 0 end), 0)::int as i63, coalesce(max(case when regexp_matches(icd, '^G20') then 1 else 0 end), 0)::int as g20
+from {_UNDATED} n left join i on n.id = i.id and (n.date is null or n.date between i.date - interval 12 month and i.date + interval 12 month) group by all"""), dates=("date",))
+def interval_join_undated(spark: SparkSession, d: str) -> DataFrame:
+    """Notes without a date meet all events of their patient."""
+    n = table(spark, d, "note").where("patient_id is not null").select(F.col("visit_id").alias("idx"), F.col("patient_id").alias("id"), F.to_date("note_date").alias("date")).distinct()
+    tests = {"i63": F.col("icd").rlike("^I63"), "g20": F.col("icd").rlike("^G20")}
+    return temporal.windowed_features(n, icd(spark, d), "1y", "1y", tests, codes.any_pattern("icd", ["^I63", "^G20"]), undated=True)
+
+
+@query("select doc_id, d.bdsp_patient_id as id, date_of_birth as born from documents d left join (select distinct patient_id, date_of_birth from demo) p on d.bdsp_patient_id = p.patient_id", dates=("born",))
+def differing_key_join(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the birth dates of a table that calls the key by another name."""
+    p = table(spark, d, "demo").select("patient_id", F.col("date_of_birth").alias("born")).distinct()
+    return temporal.renamed_join(table(spark, d, "documents").select("doc_id", F.col("bdsp_patient_id").alias("id")), p, {"id": "patient_id"})
+
+
 @query("select note_id, grp, annot from notes where grp is not null and annot is not null")
 def drop_null_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "notes").select("note_id", "grp", "annot").na.drop("any")
@@ -168,3 +187,28 @@ select id, a + b + c as n, greatest(a, b) as a, c from (
 def horizontal_sum_max(spark: SparkSession, d: str) -> DataFrame:
     f = temporal.flags(icd(spark, d), ["id"], codes.prefix_tests("icd", {"a": ["I63"], "b": ["I61"], "c": ["G20"]}))
     return codes.merge_synonyms(codes.total(f, ["a", "b", "c"], "n"), [("a", "b")])
+
+
+ORDERED = {"stroke": "^I6[1-4]", "cerebro": "^I6", "seizure": "^R56|^G40"}
+_FLAGGED = ", ".join(f"coalesce(max(case when n.date between i.date - interval 6 month and i.date + interval 6 month and g = '{g}' then 1 else 0 end), 0)::int as {g}" for g in ORDERED)
+
+
+@query(sql(f"""
+select *, (stroke + cerebro)::int as n_icds from (
+  select n.idx, n.id, n.date, {_FLAGGED} from n left join (select id, date, case {" ".join(f"when regexp_matches(icd, '{p}') then '{g}'" for g, p in ORDERED.items())} end as g from i) i on n.id = i.id group by all)"""), dates=("date",))
+def ordered_group_features(spark: SparkSession, d: str) -> DataFrame:
+    """A flag for the first group that each code belongs to, 0 without events in the window, and the number of groups but the last."""
+    g = codes.first_group("icd", ORDERED)
+    f = temporal.windowed_features(spine(spark, d), icd(spark, d), "6mo", "6mo", {n: F.coalesce(g == n, F.lit(False)) for n in ORDERED})
+    return codes.total(f, ["stroke", "cerebro"], "n_icds")
+
+
+DRUGS = {"velumodor": "velumodor|sidoxadaspyl", "haloplemate": "^haloplemate", "tablet": r"\btab"}
+_DRUG = " ".join(f"when regexp_matches(med, '{p}') then '{g}'" for g, p in DRUGS.items())
+
+
+@query(sql(f"select canonical, count(*) as n, count(distinct id) as patients from (select id, case {_DRUG} else med end as canonical from m) group by 1"))
+def med_groups_else_text(spark: SparkSession, d: str) -> DataFrame:
+    """The first pattern that a medication matches, else its own text."""
+    g = med(spark, d).select("id", codes.first_group("med", DRUGS, F.col("med")).alias("canonical"))
+    return g.groupBy("canonical").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("patients"))

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from phenoframe.operators import metrics
-from phenoframe.plans.phenotypes import Phenotype, predict
+from phenoframe.plans.phenotypes import RULES, Phenotype, features, predict
 from phenoframe.session import ship
 from phenoframe.sources.schema import validated
-from phenoframe.sources.tables import save_predictions, spec_folder
+from phenoframe.sources.tables import load_model, save_predictions, spec_folder
 
 
 class Registry:
@@ -54,12 +55,14 @@ class Registry:
 class Engine:
     """Predicts phenotypes: Engine(spark).predict("af", icd=icd).
 
-    A prediction is a lazy plan; nothing is read but for the validation of null keys, which strict=False leaves out.
+    A prediction is a lazy plan; nothing is read but for the validation of null keys and the test that there are rows at all, which strict=False leaves out.
+    Saved models are loaded once.
     """
 
     def __init__(self, spark: SparkSession, registry: Registry | None = None, strict: bool = True) -> None:
         ship(spark)
         self.spark, self.registry, self.strict = spark, registry or Registry(), strict
+        self._models: dict[str, Any] = {}
 
     def register(self, path: str) -> Phenotype:
         """Add a phenotype from a YAML file."""
@@ -86,14 +89,30 @@ class Engine:
         missing = [r for r in p.inputs if r not in every]
         if missing:
             raise ValueError(f"{p.name} needs the tables {missing}")
-        return validated({r: every[r] for r in every}, p.inputs, force, self.strict)
+        out = validated({r: every[r] for r in every}, p.inputs, force, self.strict)
+        first = next(iter(p.inputs)) if p.kind in RULES else "note"
+        if self.strict and p.inputs and out[first].isEmpty():
+            raise ValueError(f"{p.name}: the table {first} has no rows")
+        return out
+
+    def _model(self, path: str):
+        if path not in self._models:
+            self._models[path] = load_model(path)
+        return self._models[path]
+
+    def features(self, phenotype: str, data: dict[str, DataFrame] | None = None, force_casting: bool = False, **roles: DataFrame) -> DataFrame:
+        """The features of a phenotype with notes, one row a note; a model is not needed for them."""
+        p = self.registry.resolve(phenotype)
+        if p.kind in RULES:
+            raise ValueError(f"{p.name} is a rule on codes and has no features")
+        return features(p, self._data(p, data, roles, force_casting))
 
     def predict(self, phenotype: str | list[str], data: dict[str, DataFrame] | None = None, return_features: bool = False, force_casting: bool = False, **roles: DataFrame):
         """Predictions of one phenotype, or a dict of them by the names as given; with features as (features or None, predictions)."""
         if isinstance(phenotype, str):
             p = self.registry.resolve(phenotype)
-            features, predictions = predict(p, self._data(p, data, roles, force_casting))
-            return (features, predictions) if return_features else predictions
+            made, predictions = predict(p, self._data(p, data, roles, force_casting), self._model)
+            return (made, predictions) if return_features else predictions
         return {name: self.predict(name, data, return_features, force_casting, **roles) for name in phenotype}
 
     def save_predictions(self, results, folder: str) -> list[str]:

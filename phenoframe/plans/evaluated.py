@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phenoframe.functions import text
-from phenoframe.operators import metrics, ml, score
+from phenoframe.operators import compare, metrics, ml, score
 from phenoframe.plans.base import Book, scored, sql
-from phenoframe.session import table
+from phenoframe.plans.texts import _TOKENS
+from phenoframe.session import broadcast_if_small, cut, table
 
 query = Book()
 
@@ -94,7 +95,8 @@ _WORDS = ["tremor", "falls", "clinic", "velumodor", "seizure", "mri"]
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "notes").where("annot in (0, 1) and note is not null")
-    return n.select("note_id", "grp", F.col("annot").alias("label"), *(text.matches(F.lower("note"), w).alias(w) for w in _WORDS))
+    patient = F.coalesce("bdsp_patient_id", F.concat(F.lit("note "), F.col("note_id").cast("string")))  # who is not known is alone
+    return n.select("note_id", "grp", patient.alias("patient"), F.col("annot").alias("label"), *(text.matches(F.lower("note"), w).alias(w) for w in _WORDS))
 
 
 _FEAT = "f as (select note_id, annot as label, " + ", ".join(f"contains(lower(note), '{w}')::int as {w}" for w in _WORDS) + " from notes where annot in (0, 1) and note is not null)"
@@ -177,8 +179,8 @@ def ml_logreg_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ml_group_kfold(spark: SparkSession, d: str) -> DataFrame:
-    """Mean AUC of each point of a grid in cross validation over folds by group."""
-    f = ml.grouped_fold(_features(spark, d).na.drop("any"), "note_id", 3)
+    """Mean AUC of each point of a grid in cross validation over folds by patient."""
+    f = ml.grouped_fold(_features(spark, d).na.drop("any"), "patient", 3)
     est, grid = ml.families()["logistic_l1"]
     f = ml.scaled_pipeline(f, _WORDS, est).fit(f).transform(f).select("features", "label", "fold")
     cv = ml.grid_search(f, est, grid, k=3)
@@ -193,16 +195,18 @@ def ml_lasso_clip(spark: SparkSession, d: str) -> DataFrame:
     return score.clipped(ml.lasso("y", 0.1).fit(f).transform(f), "prediction", 0.0, 42.0, "score").select("note_id", "score")
 
 
-@query()
+@query(f"""
+with w as (select note_id, {_TOKENS} as w from (select note_id, note from notes where note is not null)),
+g as (select distinct note_id, g from (select note_id, unnest(w) as g from w
+  union all select note_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from w union all select note_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from w)),
+v as (select g from g group by g having count(*) >= 5 and count(*) / (select count(*) from w) * (1 - count(*) / (select count(*) from w)) > 0.09)
+select w.note_id, count(v.g)::bigint as n_grams from w left join g on g.note_id = w.note_id left join v on v.g = g.g group by 1""")
 def ml_ngram_vectorizer(spark: SparkSession, d: str) -> DataFrame:
-    """Binary 1- to 3-gram vectors; the places whose population variance exceeds 0.09, and each text's number of these."""
-    n = table(spark, d, "notes").where("note is not null").select("note_id", text.tokens(text.clean_standard("note")).alias("w"))
-    v = ml.ngram_pipeline("w").fit(n).transform(n).select("note_id", "features")
-    keep = ml.varied(v, "features", 0.09)
-    from pyspark.ml.functions import vector_to_array
-
-    places = F.array(*(F.lit(i) for i in keep)) if keep else F.array().cast("array<int>")
-    return v.select("note_id", F.aggregate(F.transform(places, lambda i: F.get(vector_to_array("features"), i)), F.lit(0.0), lambda a, x: a + x).alias("n_grams"))
+    """1- to 3-grams of at least 5 notes whose presence has a variance above 0.09, and the number of these that each note holds."""
+    n = cut(table(spark, d, "notes").where("note is not null").select("note_id", text.tokens(text.clean_standard("note")).alias("w")))
+    keep = broadcast_if_small(ml.varied_ngrams(n, "w").select("ngram"))
+    held = n.select("note_id", F.explode(ml.distinct_ngrams("w")).alias("ngram")).join(keep, "ngram").groupBy("note_id").agg(F.count(F.lit(1)).alias("n_grams"))
+    return n.select("note_id").join(held, "note_id", "left").na.fill(0, ["n_grams"])
 
 
 @query()
@@ -216,3 +220,11 @@ def ml_multitask(spark: SparkSession, d: str) -> DataFrame:
         p = ml.probability(model.transform(g)).select("note_id", F.col("prob").alias(f"prob_{task}"))
         out = out.join(p, "note_id")
     return score.multi(out, {t: F.col(f"prob_{t}") for t in ("any", "first_group")}, {"any": 0.5, "first_group": 0.5}, True).select("note_id", "prob_any", "pred_any", "prob_first_group", "pred_first_group")
+
+
+@query()
+def ml_model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Two families trained on each source and measured on each other one."""
+    f = cut(_features(spark, d).where("grp is not null").select("note_id", F.col("grp").cast("int").alias("grp"), "label", *_WORDS))
+    rows = compare.cross_source(f, _WORDS, "grp", key="note_id", families=("logistic",), k=3)
+    return compare.summary(rows, ["model", "test_source"])

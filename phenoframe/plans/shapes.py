@@ -17,6 +17,15 @@ def pivot_class_by_source(spark: SparkSession, d: str) -> DataFrame:
     return metrics.crosstab(scored(spark, d).withColumn("c", F.when(F.col("label") == 1, "yes").otherwise("no")), "grp", "c", ["no", "yes"])
 
 
+@query(sql("""
+select grp, no, yes, no + yes as total from (select coalesce(grp::int::varchar, case when grouping(grp) = 1 then 'TOTAL' end) as grp,
+  coalesce(sum(case when label = 0 then 1 end), 0)::bigint as no, coalesce(sum(case when label = 1 then 1 end), 0)::bigint as yes from s group by rollup (grp))"""))
+def crosstab_with_total(spark: SparkSession, d: str) -> DataFrame:
+    """Classes by source with a last row for all of them."""
+    s = scored(spark, d).select(F.col("grp").cast("int").alias("grp"), F.when(F.col("label") == 1, "yes").otherwise("no").alias("c"))
+    return metrics.crosstab(s, "grp", "c", ["no", "yes"], total_row="TOTAL")
+
+
 @query("select annot, count(*) as n from notes group by 1")
 def value_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "notes").groupBy("annot").agg(F.count(F.lit(1)).alias("n"))
@@ -66,10 +75,12 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 _EV = "ev as (select id, left(icd, 3) as state, min(date) as start_date from i where left(icd, 3) in ('I63', 'I61', 'G20', 'R56') group by 1, 2)"
 
 
-@query(sql(f"select * from (with {_EV} select ev.*, least(lead(start_date) over (partition by ev.id order by start_date, state), l.last) as end_date from ev left join (select id, max(date) as last from n group by 1) l on ev.id = l.id)"), dates=("start_date", "end_date"))
+@query(sql(f"""select * from (with {_EV} select ev.*, least(lead(start_date) over (partition by ev.id order by start_date, state), l.last, x.gone) as end_date
+from ev left join (select id, max(date) as last from n group by 1) l on ev.id = l.id left join (select id, max(date) as gone from m group by 1) x on ev.id = x.id)"""), dates=("start_date", "end_date"))
 def timeline_end_dates(spark: SparkSession, d: str) -> DataFrame:
+    """An event ends with the patient's next one, the last note or the last medication, whichever comes first."""
     last = spine(spark, d).groupBy("id").agg(F.max("date").alias("last"))
-    return timeline.spans(_events(spark, d), [last])
+    return timeline.spans(_events(spark, d), [last, med(spark, d).groupBy("id").agg(F.max("date").alias("gone"))])
 
 
 @query(sql(f"select * from (with {_EV} select ev.id, state, (start_date - a.d)::int as day_offset from ev join (select id, min(date) as d from n group by 1) a on ev.id = a.id)"))
@@ -83,9 +94,9 @@ def timeline_extents(spark: SparkSession, d: str) -> DataFrame:
     return timeline.extents(_events(spark, d))
 
 
-@query("select note_id, row_number() over (order by annot nulls last, note_id) as place from notes order by place limit 50")
+@query("select note_id, row_number() over (order by annot nulls last, note_id) as place from notes")
 def nulls_last_sort(spark: SparkSession, d: str) -> DataFrame:
-    """The place of every note, nulls last. The SQL, kept as it was, gives the first 50 places only."""
+    """The place of every note, nulls last."""
     order = F.asc_nulls_last("annot"), F.asc_nulls_last("note_id")
     return temporal.numbered(table(spark, d, "notes").select("note_id", "annot"), *order, name="_n").select("note_id", (F.col("_n") + 1).alias("place"))
 

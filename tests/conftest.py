@@ -18,3 +18,15 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture
+def quick_fits(monkeypatch):
+    """Families with one point a grid and few steps, where a test is not about what they learn."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.tuning import ParamGridBuilder
+
+    from phenoframe.operators import ml
+
+    lr = LogisticRegression(labelCol="label", maxIter=4, regParam=0.01)
+    monkeypatch.setattr(ml, "families", lambda label="label", weight=None, seed=42: {"logistic": (lr, ParamGridBuilder().addGrid(lr.regParam, [0.01]).build())})

@@ -142,3 +142,32 @@ def test_lookback_features(spark):
     events = spark.createDataFrame([("p", D(2022, 2, 28), "a"), ("p", D(2024, 3, 1), "b"), ("p", D(2022, 2, 27), "c")], "id string, date date, m string")
     got = {r["idx"]: (r["a"], r["b"], r["c"]) for r in temporal.lookback_features(spine, events, "2y", {x: F.col("m") == x for x in "abc"}).collect()}
     assert got == {1: (1, 0, 0), 2: (0, 0, 0)}
+
+
+def test_undated_rows_meet_all_events_of_their_key(spark):
+    notes = spark.createDataFrame([(1, "p", D(2024, 1, 1)), (2, "p", None), (3, "q", None), (4, "p", D(2020, 1, 1))], "i int, id string, date date")
+    events = spark.createDataFrame([("p", D(2024, 2, 1), "x"), ("p", D(2019, 1, 1), "y"), (None, D(2019, 1, 1), "y")], "id string, date date, c string")
+    tests = {"x": F.col("c") == "x", "y": F.col("c") == "y"}
+    for undated, want in ((True, [(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 0, 0)]), (False, [(1, 1, 0), (2, 0, 0), (3, 0, 0), (4, 0, 0)])):
+        got = temporal.windowed_features(notes, events, "6mo", "6mo", tests, undated=undated)
+        assert sorted((r["i"], r["x"], r["y"]) for r in got.collect()) == want
+    assert sorted((r["i"], r["x"], r["y"]) for r in temporal.lookback_features(notes, events, "1y", tests, undated=True).collect()) == [(1, 0, 0), (2, 1, 1), (3, 0, 0), (4, 0, 1)]
+
+
+def test_join_over_keys_of_other_names(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "k int, v string"), spark.createDataFrame([(1, "x", 5), (2, "q", 6), (None, "z", 7)], "i int, v string, w int")
+    assert {(r["k"], r["v"], r["w"]) for r in temporal.renamed_join(a, b, {"k": "i", "v": "v"}).collect()} == {(1, "x", 5), (2, "y", None), (None, "z", None)}
+
+
+def test_signs_of_a_pattern_are_spelt_out(spark):
+    df = spark.createDataFrame([(1, 2, 3)], ["\\bno\\s", "a|b[c]?", "plain"])
+    assert codes.spelt_names(df).columns == ["_B_no_S_", "a_OR_b_LB_c_RB__Q_", "plain"]
+
+
+def test_demographic_rows_that_differ_are_an_error(spark):
+    spine = spark.createDataFrame([("p", D(2024, 1, 1))], "id string, date date")
+    rows = [("p", D(1950, 1, 1), "Male"), ("p", D(1950, 1, 1), "Male")]
+    got = temporal.demographics(spine, spark.createDataFrame(rows, "id string, date_of_birth date, sex string")).first()
+    assert (got["age"], got["sex"]) == (74, 1)
+    with pytest.raises(ValueError):
+        temporal.demographics(spine, spark.createDataFrame([*rows, ("p", D(1950, 1, 1), "F")], "id string, date_of_birth date, sex string"))

@@ -43,6 +43,19 @@ def test_last_match_and_stated_grade(spark):
     assert one(spark, "Premorbid rankin 1. mRS of 3", score.stated_grade("x")) == 3
     assert one(spark, "mrs 2. Patient expired.", score.stated_grade("x")) == 6
     assert one(spark, "no grade", score.stated_grade("x")) is None
+    assert one(spark, "Her father passed away, mRS 2.", score.stated_grade("x")) == 2  # somebody else's death
+    assert one(spark, "rankin was found to be about 4", score.stated_grade("x")) is None
+    assert one(spark, "Rankin scale is: 4", score.stated_grade("x")) == 4
+    assert one(spark, "[x] 5 - the patient has severe disability", score.stated_grade("x")) is None
+    assert one(spark, "Comprehensive Stroke Center 0 - the patient has no residual symptoms [x] 5 - the patient has severe disability", score.stated_grade("x")) == 0
+    assert one(spark, None, score.stated_grade("x")) is None
+
+
+def test_cleaning_of_scored_notes(spark):
+    rules = {"before": [("w/", "with ")], "numbers": [(r"arm 0", "arm strong")], "after": [("right arm", "rarm")], "remove": [("score", " ")], "stop": ["the"]}
+    assert one(spark, "The ARM 0, w/ the the right arm 12 score", text.clean_scored("x", **rules)) == "arm strong with rarm"
+    assert one(spark, "Arm  0, w/o,x 3.", text.clean_graded("x", **rules)) == "arm strong with o x"
+    assert one(spark, None, text.clean_graded("x", **rules)) is None and one(spark, " ", text.clean_scored("x", **rules)) == ""
 
 
 def test_sentences_and_tokens(spark):
@@ -63,7 +76,30 @@ PORTER = {"caresses": "caress", "ponies": "poni", "agreed": "agre", "plastered":
 def test_published_stems():
     assert {w: stem.porter2(w) for w in PORTER2} == PORTER2
     assert {w: stem.porter(w) for w in PORTER} == PORTER
-    assert [stem.noun(w) for w in ("biopsies", "masses", "diagnosis", "falls", "as")] == ["biopsy", "mass", "diagnosis", "fall", "as"]
+
+
+#: Nouns of clinical texts with their singulars; a noun alone is its own.
+NOUNS = """abdomen specimen regimen semen lumen foramen stamen putamen cerumen acumen women:woman men:man policemen:policeman firemen:fireman headaches:headache aches:ache backaches:backache toothaches:toothache stomachaches:stomachache
+    patches:patch watches:watch branches:branch inches:inch crutches:crutch stitches:stitch speeches:speech rashes:rash washes:wash lashes:lash flushes:flush diabetes series species pancreas atlas bias gas rabies scabies caries herpes measles mumps biceps triceps forceps pus
+    biopsies:biopsy arteries:artery allergies:allergy injuries:injury studies:study therapies:therapy surgeries:surgery infirmaries:infirmary bodies:body families:family histories:history deficiencies:deficiency movies:movie calories:calorie ties:tie pies:pie
+    masses:mass abscesses:abscess illnesses:illness weaknesses:weakness processes:process glasses:glass losses:loss viruses:virus sinuses:sinus fetuses:fetus uteruses:uterus thrombuses:thrombus bonuses:bonus causes:cause houses:house spouses:spouse clauses:clause uses:use pauses:pause
+    doses:dose noses:nose roses:rose overdoses:overdose diagnoses:diagnosis prognoses:prognosis stenoses:stenosis thromboses:thrombosis psychoses:psychosis neuroses:neurosis fibroses:fibrosis necroses:necrosis metastases:metastasis analyses:analysis paralyses:paralysis prostheses:prosthesis hypotheses:hypothesis syntheses:synthesis pareses:paresis crises:crisis axes:axis testes:testis
+    diseases:disease cases:case phases:phase bases:base nurses:nurse pulses:pulse responses:response courses:course increases:increase bruises:bruise lenses:lens reflexes:reflex boxes:box indexes:index complexes:complex sizes:size prizes:prize quizzes:quiz
+    feet:foot teeth:tooth children:child mice:mouse lice:louse vertebrae:vertebra bursae:bursa bacteria:bacterium criteria:criterion phenomena:phenomenon ganglia:ganglion atria:atrium nuclei:nucleus bronchi:bronchus stimuli:stimulus emboli:embolus thrombi:thrombus foci:focus bacilli:bacillus calculi:calculus sulci:sulcus menisci:meniscus appendices:appendix matrices:matrix cervices:cervix cortices:cortex
+    lives:life wives:wife knives:knife halves:half calves:calf leaves:leaf shelves:shelf nerves:nerve valves:valve sleeves:sleeve toes:toe shoes:shoe potatoes:potato tomatoes:tomato echoes:echo heroes:hero
+    falls:fall seizures:seizure tremors:tremor veins:vein lungs:lung kidneys:kidney eyes:eye arms:arm legs:leg spells:spell days:day boys:boy x-rays:x-ray muscles:muscle tissues:tissue vaccines:vaccine enzymes:enzyme symptoms:symptom signs:sign tests:test results:result hours:hour weeks:week
+    diagnosis sepsis paralysis virus sinus stress mass abscess uterus fetus pelvis cervix thorax stroke pain fever blood nausea vertigo oedema asthma eczema trauma as is us gas"""
+
+
+def test_nouns():
+    want = {w.split(":")[0]: w.split(":")[-1] for w in NOUNS.split()}
+    assert len(want) > 190 and {w: stem.noun(w) for w in want} == want
+
+
+def test_words_kept_from_stemming(spark):
+    df = spark.createDataFrame([([["parkinsonism", "falls"]],)], "s array<array<string>>")
+    assert df.select(stem.stem_nested("s", keep=("parkinsonism",))).first()[0] == [["parkinsonism", "fall"]]
+    assert df.select(stem.stem_nested("s")).first()[0] != [["parkinsonism", "fall"]]
 
 
 def test_stems_in_arrow(spark):
@@ -100,10 +136,31 @@ words = st.lists(st.sampled_from(["no", "not", "only", "rule", "out", "ruled", "
 @settings(max_examples=60, deadline=None)
 @given(words)
 def test_scopes_lie_within_the_window(tokens):
-    for a, b in match.scopes(tokens, frozenset(match.BEFORE), frozenset(match.AFTER), frozenset(match.PSEUDO)):
+    for a, b in match.scopes(tokens, match.trigger_table(match.BEFORE, match.AFTER, match.PSEUDO)):
         assert 0 <= a <= b <= len(tokens) and b - a <= match.WINDOW
 
 
+@pytest.mark.parametrize(("sentence", "negated"), [
+    ("no a b c d e f", "no a b c d e"),  # five words on
+    ("a b c d e f absent", "b c d e f absent"),  # five words back
+    ("negative a b", "negative a b"),  # of both kinds: before
+    ("a negative", "negative"),
+    ("x rule out a", "out a"),  # a phrase negates from its last word
+    ("a b ruled out c", "a b ruled"),
+    ("a b ruled out", ""),  # a phrase doesn't count at the very end
+    ("not only a b", ""),  # a pseudo trigger lifts what was read before it
+    ("not only a b absent", "not only a b absent"),  # and nothing later
+    ("no not only a", ""),
+    ("unremarkable for a", "for a"),
+    ("", ""),
+])
+def test_scopes_of_sentences(sentence, negated):
+    words = sentence.split()
+    table = match.trigger_table(match.BEFORE, match.AFTER, match.PSEUDO)
+    held = {i for a, b in match.scopes(words, table) for i in range(a, min(b + 1, len(words)))}
+    assert " ".join(w for i, w in enumerate(words) if i in held) == negated
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text(alphabet="abAB .,\n-é'", max_size=40))
 def test_cleaning_matches_a_plain_restatement(s):
