@@ -1,6 +1,7 @@
 """Byte-level BPE encoding with numpy matrices (problem 8)."""
 
 import base64
+import heapq
 import json
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -20,8 +21,8 @@ VOCABULARIES = "/opt/tokenizers"
 # Fixed value: the pattern that splits text before byte-level merges (public, as the vocabularies' description gives it).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NEVER = np.int32(2**31 - 1)
-#: Cells of one matrix; words up to CACHED bytes are remembered, up to CACHE_WORDS of them.
-CELLS, CACHED, CACHE_WORDS = 1 << 21, 64, 400_000
+#: Cells of one matrix; words up to CACHED bytes are remembered, up to CACHE_WORDS of them; beyond LONG bytes a word is merged by a heap instead of rounds over all of it.
+CELLS, CACHED, CACHE_WORDS, LONG = 1 << 21, 64, 400_000, 512
 
 
 def _byte_letters() -> dict[str, int]:
@@ -34,12 +35,16 @@ def _byte_letters() -> dict[str, int]:
 class Vocabulary:
     """Byte ids and a hash table from pairs of ids to (rank, merged id); a few MB, whatever the corpus.
 
-    leftmost: whether a round may merge one pair only. Rank files need it, as a merge may give rise to a pair of lower rank there;
-    with a list of merges it can't, and all places of the least pair may be merged at once.
+    leftmost: whether a round may merge the leftmost place of the least pair only. That is so where a merge can give rise to a pair of no higher rank, which
+    is found out from the table: each pair must rank above all pairs that make one of its parts. If it can't, all places of the least rank are merged at once, with the same outcome.
     """
 
-    def __init__(self, byte_ids: np.ndarray, left: np.ndarray, right: np.ndarray, rank: np.ndarray, merged: np.ndarray, leftmost: bool):
-        self.byte_ids, self.leftmost = byte_ids.astype(np.int32), leftmost
+    def __init__(self, byte_ids: np.ndarray, left: np.ndarray, right: np.ndarray, rank: np.ndarray, merged: np.ndarray):
+        self.byte_ids = byte_ids.astype(np.int32)
+        made = np.full(int(max(left.max(), right.max(), merged.max(), byte_ids.max())) + 1 if len(left) else 1, -1, dtype=np.int64)
+        np.maximum.at(made, merged, rank)
+        self.leftmost = bool((rank <= np.maximum(made[left], made[right])).any()) if len(left) else False
+        self._pairs: dict[tuple[int, int], tuple[int, int]] | None = None
         self.bits = max(10, int(np.ceil(np.log2(max(len(left), 1)))) + 3)
         self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
         self.rank, self.merged = np.full(1 << self.bits, _NEVER, dtype=np.int32), np.full(1 << self.bits, -1, dtype=np.int32)
@@ -70,6 +75,14 @@ class Vocabulary:
             slot[off] = (slot[off] + 1) & ((1 << self.bits) - 1)
         return np.where(self.keys[slot] == key, self.rank[slot], _NEVER), slot
 
+    def pairs(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(rank, merged id) by pair: the table once more for single lookups, made when first needed."""
+        if self._pairs is None:
+            at = np.flatnonzero(self.keys >= 0)
+            k = self.keys[at]
+            self._pairs = dict(zip(zip((k >> 32).tolist(), (k & 0xFFFFFFFF).tolist(), strict=True), zip(self.rank[at].tolist(), self.merged[at].tolist(), strict=True), strict=True))
+        return self._pairs
+
     @classmethod
     def load(cls, path: str) -> "Vocabulary":
         """From a .json with vocabulary and merges, or a .tiktoken file of ranks."""
@@ -81,12 +94,12 @@ class Vocabulary:
             for letter, b in _byte_letters().items():
                 byte_ids[b] = vocab[letter]
             left, right = (np.array([vocab[m[k]] for m in merges]) for k in (0, 1))
-            return cls(byte_ids, left, right, np.arange(len(merges)), np.array([vocab[a + b] for a, b in merges]), leftmost=False)
+            return cls(byte_ids, left, right, np.arange(len(merges)), np.array([vocab[a + b] for a, b in merges]))
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
         byte_ids = np.array([ranks[bytes([b])] for b in range(256)])
         pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         left, right, rank = (np.array(x) for x in zip(*pairs, strict=True))
-        return cls(byte_ids, left, right, rank, rank, leftmost=True)
+        return cls(byte_ids, left, right, rank, rank)
 
 
 def _merge(v: Vocabulary, ids: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -129,13 +142,38 @@ def _merge(v: Vocabulary, ids: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.n
         ids, n = fresh, keep.sum(axis=1)
 
 
+def _merge_long(v: Vocabulary, ids: list[int]) -> tuple[int, ...]:
+    """Merge one long word pair by pair, of the least rank the leftmost, over a heap of the pairs' places: n log n, where rounds would take n * rounds."""
+    pairs, n = v.pairs(), len(ids)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(got[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (got := pairs.get((ids[i], ids[i + 1])))]
+    heapq.heapify(heap)
+    while heap:
+        _, i, a, b = heapq.heappop(heap)
+        j = after[i]
+        if ids[i] != a or j >= n or ids[j] != b:
+            continue  # one of the two has been merged since
+        ids[i], ids[j] = pairs[a, b][1], -1
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            if got := pairs.get((ids[i], ids[k])):
+                heapq.heappush(heap, (got[0], i, ids[i], ids[k]))
+        h = before[i]
+        if h >= 0 and (got := pairs.get((ids[h], ids[i]))):
+            heapq.heappush(heap, (got[0], h, ids[h], ids[i]))
+    return tuple(x for x in ids if x >= 0)
+
+
 def encode_words(v: Vocabulary, words: list[bytes]) -> list[tuple[int, ...]]:
     """Ids of each word (bytes of one piece of the pattern); words are bucketed by length into padded matrices."""
     out: list[tuple[int, ...]] = [()] * len(words)
     size = np.array([len(w) for w in words], dtype=np.int64)
     bucket = np.ceil(np.log2(np.maximum(size, 1))).astype(int)
+    for i in np.flatnonzero(size > LONG):
+        out[i] = _merge_long(v, v.byte_ids[np.frombuffer(words[i], dtype=np.uint8)].tolist())
     for k in np.unique(bucket):
-        members = np.flatnonzero((bucket == k) & (size > 0))
+        members = np.flatnonzero((bucket == k) & (size > 0) & (size <= LONG))
         step = max(1, CELLS >> int(k))
         for s in range(0, len(members), step):
             m = members[s : s + step]

@@ -6,9 +6,10 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,14 +54,15 @@ def _stream(secret: bytes, *parts: object) -> Iterator[int]:
 
 
 def name_token(secret: bytes, token: str, gender: str, attempt: int) -> str:
-    """A made-up name in the token's script; lower case."""
+    """A made-up name in the token's script; lower case. Later attempts give longer ones, so that there are enough for any number of tokens."""
     kind = script(token)
     onset, vowel = _SYLLABLES[kind]
     draw = _stream(secret, "name", token, attempt)
-    n = 2 if kind in ("CJK", "HANGUL", "HIRAGANA", "KATAKANA") else 3 + next(draw) % 2
+    if kind in ("CJK", "HANGUL"):  # one sign is a syllable
+        signs = [*onset, *vowel]
+        return onset[next(draw) % len(onset)] + "".join(signs[next(draw) % len(signs)] for _ in range(1 + attempt))
+    n = (2 if kind in ("HIRAGANA", "KATAKANA") else 3 + next(draw) % 2) + attempt // 2
     word = "".join(onset[next(draw) % len(onset)] + vowel[next(draw) % len(vowel)] for _ in range(n))
-    if kind in ("CJK", "HANGUL"):
-        return word[: 2 + attempt]
     end = {"f": _SHE_END, "m": _HE_END}.get(gender, {}).get(kind)
     return word[:-1] + end if end else word + (onset[next(draw) % 12 % len(onset)][-1] if kind == "LATIN" else "")
 
@@ -140,6 +142,27 @@ def cased(model: str, word: str) -> str:
 
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+# The codes of countries that have two digits; 1 and 7 have one, all others three.
+_TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_PARTS = regex.compile(rf"^(?P<local>.*?){pii._AT}(?P<domain>.*)$", regex.I | regex.S)
+_DOTS = regex.compile(pii._DOT, regex.I)
+
+
+def kept_digits(value: str) -> int:
+    """How many leading digits of a telephone number are not its own: the international prefix and the country's code, or a trunk zero."""
+    digits = "".join(str(int(c)) for c in value if c.isdecimal())
+    bare = value.lstrip("( ")
+    if bare.startswith("+") or digits.startswith("00"):
+        lead = 0 if bare.startswith("+") else 2
+        code = digits[lead:]
+        return lead + (1 if code[:1] in ("1", "7") else 2 if code[:2] in _TWO_DIGITS else 3)
+    return 1 if digits[:1] == "0" or len(digits) == 11 and digits[0] == "1" else 0
+
+
+def email_parts(value: str) -> tuple[str, list[str]]:
+    """The local part, and the labels of the domain but the last (the top-level one)."""
+    m = _PARTS.match(value)
+    return (m["local"], _DOTS.split(m["domain"])[:-1]) if m else (value, [])
 _FIXED_ADDRESS = frozenset(f"{pii._EN}|{pii._PRE}|{pii._FR}|north|south|east|west|old|new|upper|lower|great|little|n|s|e|w|ne|nw|se|sw|de|del|la|las|los|des|du|l|d|a|b|c|apt|bis|no".lower().split("|")) | {"ул", "улица", "д", "дом", "شارع"}
 
 
@@ -151,7 +174,8 @@ def tokens_of(kind: str, value: str) -> list[str]:
         ends = re.compile(r"(?:straße|strasse|str|gasse|weg|platz|allee|ring|ufer|damm)$")
         return [ends.sub("", t.lower()) for t in _TOKEN.findall(value) if t.lower() not in _FIXED_ADDRESS and ends.sub("", t.lower())]
     if kind == "email":
-        return [re.split(r"@|\(|\[|\{|<|\s", value, maxsplit=1)[0].lower()]
+        local, labels = email_parts(value)
+        return [local.lower(), *("@" + x.lower() for x in labels)]
     return []
 
 
@@ -160,8 +184,7 @@ def surrogate(secret: bytes, kind: str, value: str, words: dict[str, str]) -> st
     if kind == "name":
         return _TOKEN.sub(lambda m: initial(secret, m[0]) if len(m[0]) == 1 else cased(m[0], words.get(m[0].lower(), "x")), value)
     if kind == "phone":
-        plus = re.match(r"\+\s?\d{1,3}|00\d{2}", value)
-        return in_digits(secret, value, "phone", sum(c.isdigit() for c in plus[0]) if plus else 0)
+        return in_digits(secret, value, "phone", kept_digits(value))
     if kind == "id_number":
         return in_digits(secret, value, "id")
     if kind == "address":
@@ -174,9 +197,14 @@ def surrogate(secret: bytes, kind: str, value: str, words: dict[str, str]) -> st
             return cased(m[0], words.get(stem, "x") if stem else "") + (m[0][end.start() :] if end and stem else m[0] if not stem else "")
 
         return re.sub(r"\d+", lambda m: house(secret, m[0]), _TOKEN.sub(word, value))
-    local = re.split(r"@|\(|\[|\{|<|\s", value, maxsplit=1)[0]
+    local, labels = email_parts(value)
     new = words.get(local.lower(), "x")
-    return (new.upper() if local.isupper() else new) + value[len(local) :]
+    out, at = [new.upper() if local.isupper() else new], len(local)
+    for label in labels:
+        to = value.index(label, at)
+        out += [value[at:to], words.get("@" + label.lower(), "x")]
+        at = to + len(label)
+    return "".join(out) + value[at:]
 
 
 _SPANS = "array<struct<kind: string, start_pos: long, end_pos: long, value: string, gender: string>>"
@@ -254,7 +282,9 @@ def surrogate_words(found: DataFrame, secret: str, most_rounds: int = 12) -> Dat
                 new = []
                 for p, t, g in zip(d["pool"], d["token"], d["gender"], strict=True):
                     w = name_token(key, t, g, attempt)
-                    if p == "email":
+                    if t.startswith("@"):
+                        w = name_token(key, t, "u", attempt)
+                    elif p == "email":
                         tail = next(_stream(key, "tail", t, attempt)) % 100
                         w = re.sub(r"[^a-z]", "", w) or "user"
                         w = f"{w}.{name_token(key, t + '#', 'u', attempt)}{tail}" if script(t) == "LATIN" else f"user{tail}"
@@ -272,12 +302,13 @@ def surrogate_words(found: DataFrame, secret: str, most_rounds: int = 12) -> Dat
     raise RuntimeError(f"{todo.count()} words are still without a distinct surrogate after {most_rounds} rounds")
 
 
-def surrogates(df: DataFrame, ident: str, text: str, out: str, secret: str) -> DataFrame:
-    """ident and `out`: the text with each personal value replaced by a keyed surrogate of its type, gender, script and format.
+def replacements(df: DataFrame, ident: str, text: str, secret: str) -> DataFrame:
+    """One row per mention of a personal value with what replaces it: ident, kind, start_pos, end_pos, value, surrogate.
 
-    Equal values get equal surrogates in all texts and distinct values distinct ones (numbers and initials by a keyed permutation, words by a collision check). Who holds the
-    secret can repeat the mapping; without it the surrogates tell nothing. Null texts stay null; rows must have distinct non-null ids (an error otherwise is
-    not raised: of rows with one id one comes out). An empty table gives an empty result.
+    Equal values get equal surrogates in all texts and distinct values distinct ones: words of names, addresses and e-mail addresses (their domains included, but
+    for the top-level one) by surrogate_words, numbers and initials by a keyed permutation. Of telephone numbers the digits behind prefix and country code are permuted,
+    so that one number keeps one surrogate in all its formats. Who holds the secret can repeat the mapping; without it the surrogates tell nothing. Mentions are those of
+    `mentions`, whose cases hold here too.
     """
     found = cut(mentions(df, ident, text).withColumnRenamed(ident, "_id"))
     words = surrogate_words(found, secret)
@@ -293,10 +324,20 @@ def surrogates(df: DataFrame, ident: str, text: str, out: str, secret: str) -> D
 
     def replace(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in parts:
-            yield d.assign(new=[surrogate(key, k, v, dict(w)) for k, v, w in zip(d["kind"], d["value"], d["words"], strict=True)])[["kind", "value", "new"]]
+            yield d.assign(surrogate=[surrogate(key, k, v, dict(w)) for k, v, w in zip(d["kind"], d["value"], d["words"], strict=True)])[["kind", "value", "surrogate"]]
+
+    new = mapped.mapInPandas(replace, "kind string, value string, surrogate string")
+    return found.join(new, ["kind", "value"]).select(F.col("_id").alias(ident), "kind", "start_pos", "end_pos", "value", "surrogate")
 
-    new = mapped.mapInPandas(replace, "kind string, value string, new string")
-    spans = found.join(new, ["kind", "value"]).groupBy("_id").agg(F.collect_list(F.struct("start_pos", "end_pos", "new")).alias("_spans"))
+
+def surrogates(df: DataFrame, ident: str, text: str, out: str, secret: str) -> DataFrame:
+    """ident and `out`: the text with each personal value replaced by a keyed surrogate of its type, gender, script and format (see replacements).
+
+    Null texts stay null; rows must have distinct non-null ids (an error otherwise is
+    not raised: of rows with one id one comes out). An empty table gives an empty result.
+    """
+    made = replacements(df, ident, text, secret).withColumnRenamed(ident, "_id")
+    spans = made.groupBy("_id").agg(F.collect_list(F.struct("start_pos", "end_pos", F.col("surrogate").alias("new"))).alias("_spans"))
 
     def rebuild(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for d in parts:
@@ -305,3 +346,15 @@ def surrogates(df: DataFrame, ident: str, text: str, out: str, secret: str) -> D
     texts = df.select(F.col(ident).alias("_id"), F.col(text).alias("_text")).where(F.col("_id").isNotNull()).dropDuplicates(["_id"])
     both = texts.join(spans, "_id", "left")
     return both.select(F.col("_id").alias(ident), F.pandas_udf(rebuild, "string")(F.struct("_text", "_spans")).alias(out))
+
+
+def surrogate_check(made: DataFrame) -> DataFrame:
+    """One row about replacements: `reused` surrogates that stand for several values, `changing` values with several surrogates, `leaked` surrogates that are
+    a value of the corpus - each counted over distinct texts of one kind without regard to case."""
+    p = made.select("kind", F.lower("value").alias("v"), F.lower("surrogate").alias("s")).distinct()
+    many = lambda c: p.groupBy("kind", c).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    names = p.where("kind in ('name', 'email')")  # digits are permuted among all there are, so a number may come out that another one was
+    leaked = names.select("kind", "s").join(names.select("kind", F.col("v").alias("s")), ["kind", "s"], "left_semi").distinct()
+    found = {"reused": many("s"), "changing": many("v"), "leaked": leaked}
+    rows = reduce(DataFrame.unionByName, (d.select(F.lit(n).alias("what")) for n, d in found.items()))
+    return rows.agg(*(F.count(F.when(F.col("what") == n, 1)).alias(n) for n in found))

@@ -2,7 +2,7 @@
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from phenoframe.session import spread
 
-LINK = re.compile(r"""<a\s[^>]{0,500}>.{0,300}?</a>|\[[^\]\n]{0,80}\]\([^)\s]{1,500}\)|(?:https?://|www\.)\S+|\b[a-z0-9][a-z0-9-]{0,62}(?:\.[a-z0-9-]{1,63}){0,6}\.[a-z]{2,10}/\S*""", re.I)
+URL = re.compile(r"(?:https?://|www\.)\S+", re.I)
+ANCHOR, BLANK, TOKEN = re.compile(r"<a\s", re.I), re.compile(r"\s"), re.compile(r"\S+")
 #: What a line must hold to have a link at all: cheap to look for.
 MAYBE_LINK = re.compile(r"https?:|www\.|<a\s|\]\(|\.[a-z]{2,10}/", re.I)
+_HOST = frozenset("abcdefghijklmnopqrstuvwxyz0123456789.-")
 ENDER = re.compile(r"""[.!?…][)\]"'”’»]*(?=\s|$)|[。！？｡．।؟۔։።]""")
 #: Marks that part the entries of menus and lists.
 BARS = re.compile(r"[|»›·•¦｜>]|\s[*/~–—-]+(?=\s)|\s{3,}")
@@ -20,6 +22,7 @@ COMMAS = re.compile(r"[,،、，;；]")
 ITEM = re.compile(r"^\s*(?:[-*•·–—]|\(?\d{1,3}[.)])\s+")
 PRICE = re.compile(r"(?:[$€£¥]\s?)?\d{1,5}[.,]\d{2}(?:\s?(?:[$€£¥]|usd|eur))?\s*$", re.I)
 ARTICLE = re.compile(r"\b[A-Z]{2,5}[-#]?\d{4,}\b|#\d{4,}\b")
+WORD = re.compile(r"\w+")
 LABEL, DIGIT, JOINT = re.compile(r"^\s*[\w ]{1,20}:\s"), re.compile(r"\d"), re.compile(r"(?<=\w)[-_+](?=\w)")
 DOSE = re.compile(r"\d\s*(?:mg|g|mcg|µg|ml|mmol|units?|iu|%)\b", re.I)
 #: A page is flagged when at least MOST of its characters lie in non-sentence lines of at most SHAPES shapes.
@@ -28,6 +31,50 @@ MOST, SHAPES = 0.5, 4
 STUFFED = 0.15
 
 
+def links(line: str) -> list[tuple[int, int]]:
+    """Where links are: HTML anchors, [text](target), addresses with a scheme or www, and hosts with a path. Each kind is read once from left to right, so that a long line takes no longer than its length."""
+    low, found = line.lower(), []
+    at = 0
+    for m in ANCHOR.finditer(line):
+        if m.start() < at:
+            continue
+        end = low.find("</a>", m.end())
+        if end < 0:
+            break
+        at = end + 4
+        found.append((m.start(), at))
+    before, mid, end, blank = 0, line.find("]("), 0, 0  # end, blank: the next bracket and the next blank from mid on
+    while mid >= 0:
+        if end < mid + 2 and (end := line.find(")", mid + 2)) < 0:
+            break
+        if blank < mid + 2:
+            m = BLANK.search(line, mid + 2)
+            blank = m.start() if m else len(line)
+        start = line.rfind("[", before, mid)
+        if start >= 0 and mid + 2 < end < blank and line.find("]", start, mid) < 0:
+            found.append((start, end + 1))
+        before = mid + 2
+        mid = line.find("](", before)
+    found += [m.span() for m in URL.finditer(line)]
+    for m in TOKEN.finditer(low):
+        host = m[0].partition("/")[0]
+        if len(host) < len(m[0]) and (dot := host.rfind(".")) > 0 and host[dot + 1 :].isalpha() and host[dot + 1 :].isascii() and 2 <= len(host) - dot - 1 <= 10 and host[dot - 1] in _HOST:
+            found.append((m.start() + len(host[:dot].rstrip("abcdefghijklmnopqrstuvwxyz0123456789.-")), m.end()))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    return out
+
+
+def without(line: str, spans: list[tuple[int, int]]) -> str:
+    out, at = [], 0
+    for a, b in spans:
+        out.append(line[at:a])
+        at = b
+    return " ".join([*out, line[at:]])
+
+
 def _size(n: int) -> str:
     return "1" if n == 1 else "2-4" if n < 5 else "5-9" if n < 10 else "10+"
 
@@ -63,14 +110,14 @@ def _brief(parts: list[str]) -> bool:
 
 def line_shape(line: str) -> tuple[str, str]:
     """The kind of a line and its shape: kind, length, capitals, separators, links. Kinds other than sentence, entry and short are non-sentence kinds."""
-    links = LINK.findall(line) if MAYBE_LINK.search(line) else []
-    bare = LINK.sub(" ", line) if links else line
+    linked = links(line) if MAYBE_LINK.search(line) else []
+    bare = without(line, linked) if linked else line
     words = bare.split()
     enders = len(ENDER.findall(bare))
     kind = "sentence"
     bars = [p for p in BARS.split(ITEM.sub("", bare)) if p.strip()]
     commas = [p for p in COMMAS.split(LABEL.sub("", bare)) if p.strip()]
-    if links and len(words) <= 8 * len(links) and (enders == 0 or len(words) <= 3 * len(links)):
+    if linked and len(words) <= 8 * len(linked) and (enders == 0 or len(words) <= 3 * len(linked)):
         kind = "links"
     elif "#" in line and _tags(line.split()):
         kind = "tags"
@@ -90,18 +137,24 @@ def line_shape(line: str) -> tuple[str, str]:
         kind = "short"
     elif not enders and len(words) >= 12 and not any(c in bare for c in ",;:،、") and max((len(w) for w in words), default=0) <= 20 and _caps(words) == "most":
         kind = "list"
-    shape = "/".join((kind, _size(max(len(words), 1)), _caps(words), "bars" if len(bars) > 2 else "commas" if len(commas) > 3 else "plain", "link" if links else "text"))
+    shape = "/".join((kind, _size(max(len(words), 1)), _caps(words), "bars" if len(bars) > 2 else "commas" if len(commas) > 3 else "plain", "link" if linked else "text"))
     return kind, shape
 
 
-#: Words by which a line of a few words offers something. Fixed values, by language.
-OFFERS = frozenset("buy sale cheap discount deal order online price shop offer offers free shipping best top review reviews lowest certified trusted original fast near".split()) | frozenset("kaufen günstig angebot rabatt versandkostenfrei bestellen acheter promo pas cher livraison gratuite comprar barato oferta descuento envío gratis купить дешево скидка цена доставка заказать 通販 格安 送料無料 最安 激安 购买 便宜 优惠 包邮 打折 正品 खरीदें सस्ता छूट اشتر رخيص خصم عرض شحن ซื้อ ราคาถูก ส่งฟรี ลดราคา โปรโมชั่น".split())
+#: Distinct words over all words up to which the phrases of lists are keywords over and over; the items of a genuine list are mostly distinct.
+DISTINCT = 0.7
 
 
 def _lines(text: str) -> list[str]:
     return [x for x in (y.strip() for y in re.split("[\n\r\v\f\x85\u2028\u2029]+", text)) if x]
 
 
+def _recurring(lines: Iterable[str]) -> bool:
+    """Whether the words of lines recur so much that few of them are distinct. Scripts without blanks are taken by their marks between phrases."""
+    words = [w for x in lines for w in WORD.findall(x.lower())]
+    return len(set(words)) <= DISTINCT * len(words) if words else False
+
+
 def page_shapes(text: str | None) -> tuple[float, float, str]:
     """Share of the characters that non-sentence lines hold, share that the page's commonest such shapes hold, and the shapes."""
     lines = _lines(text or "")
@@ -110,12 +163,12 @@ def page_shapes(text: str | None) -> tuple[float, float, str]:
         return 0.0, 0.0, ""
     found = [(x, *line_shape(x)) for x in lines]
     short = Counter(x.lower() for x, kind, _ in found if kind == "short")
-    held: Counter[str] = Counter()
     n_short = sum(short.values())
-    offers = sum(n for x, n in short.items() if OFFERS & set(re.findall(r"\w+", x)))
-    stuffed = n_short >= 5 and (len(short) <= 0.4 * n_short or offers >= 0.5 * n_short)
+    stuffed = n_short >= 5 and len(short) <= 0.4 * n_short or n_short >= 8 and _recurring(x for x, kind, _ in found if kind == "short")
+    listed = _recurring(x for x, kind, _ in found if kind == "list")
+    held: Counter[str] = Counter()
     for x, kind, shape in found:
-        if kind not in ("sentence", "entry", "short") or kind == "short" and (stuffed or OFFERS & set(re.findall(r"\w+", x.lower()))):
+        if kind not in ("sentence", "entry", "short", "list") or kind == "short" and stuffed or kind == "list" and listed:
             held[shape] += len(x)
     few = sum(n for _, n in held.most_common(SHAPES))
     return sum(held.values()) / total, few / total, " ".join(s for s, _ in held.most_common(SHAPES))

@@ -1,9 +1,12 @@
 """Finding personal values in free text (problem 3): names, telephone numbers, e-mail and street addresses, identity numbers.
 
 E-mail addresses and street addresses are found by form, numbers by form and the words before them, names by what stands around
-them: titles, roles, labels, verbs of speech. Names found once in a text are found wherever they recur in it.
+them: titles, roles, labels, verbs of speech; in scripts without capitals by titles, forms of address and labels with a colon. Names of three letters and more
+found once in a text are found wherever they recur in it. A word that announces a telephone number counts up to NEAR characters before it within a clause;
+nothing else is bounded but by what the standard of e-mail addresses allows and by the words over which a pattern of names can reach at all.
 """
 
+import bisect
 import unicodedata
 from typing import NamedTuple
 
@@ -28,6 +31,9 @@ _DOT = r"(?:\.|\s?[(\[{<]\s?(?:dot|punkt|punto|point)\s?[)\]}>]\s?|\s(?:dot|punk
 _AT_SIGN = regex.compile(r"(?<=[A-Za-z0-9_]\s?)@(?=\s?[A-Za-z0-9])|[(\[{<]\s?(?:at|arroba|ät)\s?[)\]}>]|\(a\)|\sat(?=\s[a-z0-9-]+\s(?:dot|punkt|punto)\s)", regex.I)
 EMAIL = regex.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+'-]{{0,63}}[A-Za-z0-9_+-])?{_AT}[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9-]*[A-Za-z0-9])+", regex.I)
 
+#: Characters that the standard allows before and after the sign of an e-mail address.
+LOCAL, DOMAIN = 64, 255
+
 # ---- addresses ----------------------------------------------------------------------------------------------------
 # Kinds of street by language.
 _EN = "Street|St|Road|Rd|Avenue|Ave|Av|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Place|Pl|Square|Sq|Terrace|Ter|Terr|Close|Crescent|Cres|Circle|Cir|Way|Parkway|Pkwy|Highway|Hwy|Row|Mews|Trail|Trl|Alley|Walk|Loop|Plaza|Gardens|Grove|Hill|Quay|Path|Pike|Turnpike|Broadway|Esplanade|Parade|Green|Rise|View"
@@ -53,7 +59,7 @@ ADDRESS = [
 _ID_WORDS = _words(
     "mrn|medical record number|medical record no|medical record|record number|record no|record|chart number|chart no|chart|patient id|patient number|hospital number|case number|account number|account no|"
     "ssn|ss no|social security number|social security no|social security|passport number|passport no|passport|policy number|policy no|policy|member id|member number|member no|insurance number|insurance no|insurance id|insurance|"
-    "subscriber id|group number|nhs number|nhs no|medicare number|medicare|medicaid|license number|licence number|driver license|identity number|id number|id no|identity card|identification",
+    "subscriber id|patient's id|id|group number|nhs number|nhs no|medicare number|medicare|medicaid|license number|licence number|driver license|identity number|id number|id no|identity card|identification",
     "versichertennummer|versicherungsnummer|versicherten-nr|krankenversichertennummer|patientennummer|fallnummer|aktenzeichen|ausweisnummer|reisepass|personalausweis|pass-nr",
     "numéro de dossier|dossier n°|dossier|numéro de sécurité sociale|sécurité sociale|passeport|carte vitale|nir",
     "historia clínica|número de historia|expediente|dni|nie|nif|pasaporte|seguro social|seguridad social|tarjeta sanitaria|póliza",
@@ -69,7 +75,9 @@ ID_VALUE = regex.compile(r"(?<![\p{Latin}\d])(?=(?:[A-Za-z./ -]{0,5}\d){4})(?:[A
 SSN = regex.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 _SEP = r"(?:\s?[-./–]\s?|\s)?"
 PHONE = regex.compile(rf"(?<![\p{{Latin}}\d.,/#@+-])(?:\+\s?\d{{1,3}}{_SEP}|00\d{{2}}{_SEP}|\(\+?\d{{1,4}}\){_SEP}|1{_SEP}(?=\(?\d{{3}}))?(?:\(\d{{1,5}}\){_SEP})?\d{{1,5}}(?:{_SEP}\d{{1,5}}){{0,5}}(?![\p{{Latin}}\d]|[.,/]\d|[-–]\d)")
-_PHONE_BEFORE = regex.compile(rf"(?r)(?:(?<![\p{{L}}])(?:{_PHONE_WORDS}))[^\d.;!?。]{{0,45}}$|(?:{_words('tel|fax|ph|tél|telf|тел')})[.:]?\s*$", regex.I | V1)
+#: Characters within a clause between a word that announces a telephone number and the number.
+NEAR = 45
+_PHONE_BEFORE = regex.compile(rf"(?r)(?:(?<![\p{{L}}])(?:{_PHONE_WORDS}))[^\d.;!?。]{{0,{NEAR}}}$|(?:{_words('tel|fax|ph|tél|telf|тел')})[.:]?\s*$", regex.I | V1)
 _ID_BEFORE = regex.compile(rf"(?r)(?<![\p{{L}}])(?:{_ID_WORDS})(?:\s*(?:no|nr|num|number|id|n°|nº|№|#)\b\.?)?\s*(?:[.:#=]|is|was|lautet|es|ist|est|为|為|は|：|号)*\s*$", regex.I | V1)
 _OTHER_BEFORE = regex.compile(rf"(?r)(?<![\p{{L}}])(?:{_OTHER_WORDS})[\s:.#]*(?:no|number|nr)?[\s:.#]*$", regex.I | V1)
 #: Forms that are telephone numbers wherever they stand.
@@ -90,7 +98,8 @@ _NOT = frozenset(
     will read agrees checked called came says said asks asked noticed reports denies takes started stopped could would should may might speech gait pain weight blood visual power score serum appetite sleep
     der die das und von zu im am mit den dem ein eine la el los las un una le les des du et que en con por para su sus sie er ihr ihre il elle une on ce cette med medical records desk telephone review all both left right
     other another someone nobody everyone alone again about after before during without still now new old next last first second third police insurance insurer pharmacy results copies fax message same
-    walks woke lives drinks sleeps reflexes imaging reviewed discussed transferred previously former tolerates increase missed compared witnesses why there referred signed spoke seen home moved left please device""".split()
+    walks woke lives drinks sleeps reflexes imaging reviewed discussed transferred previously former tolerates increase missed compared witnesses why there referred signed spoke seen home moved left please device
+    therapy services nursing pathology radiology neurology cardiology oncology psychiatry surgery laboratory consult physical occupational work""".split()
 )
 _GIVEN = r"\p{Lu}[\p{Ll}\p{M}]+(?:[-'’]\p{Lu}?[\p{Ll}\p{M}]+)*"
 _UP = r"\p{Lu}{2,}(?:[-'’]\p{Lu}{2,})*"
@@ -120,7 +129,11 @@ _SCAFFOLD = [
     (rf"{_B}(?P<n>{_FULL})\s+\((?i:(?:the|her|his)?\s*(?:{_REL}))\)", "kin"),
     (rf"{_B}(?P<n>{_FULL}),\s+(?i:an?|the|her|his)\s+(?i:{_REL})\b", "kin"),
     (rf"{_B}(?P<n>{_FULL}),?\s+(?:MD|M\.D\.|DO|RN|NP|PA-C|PhD|Ph\.D\.|MPH|FACP)\b", "by"),
+    (rf"{_B}(?P<n>{_TWO}|{_GIVEN})['’]s\s+(?i:{_REL})\b", "kin"),
+    (rf"{_B}(?i:пациент|пациентка|больной|больная|patient|patientin|paciente)\s+(?P<n>{_TWO})", "kin"),
+    (rf":\s+(?P<n>{_TWO}),\s+\d{{1,3}}\s?(?:[MF]\b|(?i:yo|y/o|years?|yrs?)\b)", "age"),
     # sentence beginnings
+    (rf"(?<=^|[.!?]\s{{1,4}}|\n\s*)(?P<n>{_TWO})\s+(?:{_SAY})\b", "say"),
     (rf"{_B}(?P<n>{_TWO}|{_ONE})\s+(?:is|was|IS|WAS)\s+(?:an?|AN?)\s+\d{{1,3}}[\s-]*(?i:year|yr|y/o|yo|month|mo)", "age"),
     (rf"(?:(?<=^|[.!?。।»”\"]\s{{0,4}}|\n\s*)|{_B})(?P<n>{_TWO}|{_ONE})\s+(?:{_SAY})\s+(?:that|to|he|she|no)\b", "say"),
     (rf"{_B}(?i:{_words(_ROLE)})\s+(?P<n>{_FULL})", "role"),
@@ -129,13 +142,41 @@ _SCAFFOLD = [
     (rf"{_B}(?i:{_words(_TITLE_DOT)})(?:\.\s*|\s+)(?:(?i:med|phil|rer\.?\s?nat|dent|jur|ing|h\.?c)\.\s*)*(?P<n>{_FULL})", "title"),
     (rf"{_B}(?i:mr|mrs|ms|mx|dr|prof)\.\s+(?P<n>\p{{Ll}}{{4,}}(?:\s\p{{Ll}}{{4,}}(?=\s(?:came|called|is|was|will|has)\b))?)", "lower"),
 ]
+# Family names, titles, labels and words that no name begins with, in scripts without capitals.
+_ZH = "王李张刘陈杨黄赵周吴徐孙马朱胡郭何林罗郑梁谢宋唐许邓冯韩曹曾彭萧蔡潘田董袁于余叶蒋杜苏魏程吕丁沈任姚卢傅钟姜崔谭廖范汪陆戴贾韦夏邱侯邹熊孟秦阎薛尹段雷黎史陶贺顾郝龚邵钱严赖覃洪莫孔張劉陳楊黃趙吳孫馬羅鄭謝許鄧馮韓蕭葉蔣蘇呂盧鍾譚陸賈賀顧龔錢嚴賴"
+_KO = "김이박최정강조윤장임한오서신권황안송류홍고문양손배백허유남심노곽성차주우구민진엄채원천방공"
+_HANGUL = rf"[{_KO}]\p{{Hangul}}{{1,2}}"
+_JA_NOT = r"(?:患者|看護|医師|担当|主治|家族|皆|奥|娘|息子|母|父|兄|姉|弟|妹|夫|妻|先|ご|お|同|貴|当|医|本人|技師|介護|職員|利用|子|孫|叔|伯|祖)"
+_AR_NOT = r"(?!ال|من\s|في\s|على\s|إلى\s|أن\s|قد\s|لا\s)"
+_HI_NOT = r"(?!(?:ने|को|से|के|का|की|द्वारा|पर|में|और|है|हैं|था|थी|साहब|जी|तथा|या|नहीं)(?![\p{Devanagari}]))"
+_TH_NOT = r"(?!หมอ|พ่อ|แม่|ลุง|ป้า|น้า|ยาย|ตา|ปู่|ย่า|ภาพ|สมบัติ|ลักษณะ|ประโยชน์|ค่า|ครู|พยาบาล|ผู้|กำนัน|จ้าง)"
+_CASELESS = [
+    # labels with a colon
+    rf"(?:患者姓名|病人姓名|姓名|联系人|聯絡人|家属姓名|主治医师|主治醫師|医师签名|医生签名|签名|患者氏名|氏名|担当医|主治医|記載者|家族氏名)\s*[:：]\s*(?P<n>[{_ZH}]\p{{Han}}{{1,3}}|\p{{Han}}{{2,4}}\s?\p{{Han}}{{0,3}}|\p{{Katakana}}[\p{{Katakana}}ー・]+)",
+    rf"(?:환자\s?이름|환자명|환자\s?성명|성명|이름|보호자명|담당의|주치의)\s*[:：]\s*(?P<n>{_HANGUL})",
+    rf"(?:اسم المريضة?|الاسم|اسم الطبيب|الطبيب المعالج|اسم المرافق)\s*[:：]\s*(?P<n>{_AR_NOT}[\p{{Arabic}}--\p{{N}}]+(?:\s[\p{{Arabic}}--\p{{N}}]+)?)",
+    rf"(?:रोगी का नाम|मरीज का नाम|मरीज़ का नाम|चिकित्सक का नाम|नाम)\s*[:：]\s*(?P<n>{_HI_NOT}[\p{{Devanagari}}--\p{{N}}]+(?:\s{_HI_NOT}[\p{{Devanagari}}--\p{{N}}]+)?)",
+    rf"(?:ชื่อผู้ป่วย|ชื่อ-สกุล|ชื่อแพทย์|ชื่อญาติ|ชื่อ)\s*[:：]\s*(?P<n>[\p{{Thai}}--\p{{N}}]{{2,}}(?:\s[\p{{Thai}}--\p{{N}}]{{2,}})?)",
+    r"(?:שם החולה|שם המטופל|שם)\s*[:：]\s*(?P<n>\p{Hebrew}{2,}(?:\s\p{Hebrew}{2,})?)",
+    # titles and forms of address, behind the name or before it
+    rf"(?P<n>(?<!\p{{Han}})[{_ZH}]\p{{Han}}{{0,2}}?)(?:先生|女士|小姐|太太|医生|醫生|大夫|教授|护士长|護士)",
+    rf"(?<![\p{{Han}}\p{{Hiragana}}\p{{Katakana}}ー])(?!{_JA_NOT})(?P<n>\p{{Han}}{{1,3}}(?:\s?\p{{Han}}{{1,3}})?|\p{{Katakana}}[\p{{Katakana}}ー・]+)(?:さん|様(?!子|々|式|態)|氏(?!名))",
+    rf"(?<!\p{{Hangul}})(?P<n>{_HANGUL})\s?(?:씨|님|선생님|교수님|과장님)(?!\p{{Hangul}}{{3}})",
+    rf"(?<!\p{{Arabic}})(?:السيد|السيدة|الآنسة|الدكتور|الدكتورة)\s+(?P<n>{_AR_NOT}[\p{{Arabic}}--\p{{N}}]+)",
+    rf"(?<![\p{{Devanagari}}])(?:श्रीमती|श्री|सुश्री|कुमारी|डॉ\.)\s*(?P<n>{_HI_NOT}[\p{{Devanagari}}--\p{{N}}]+(?:\s{_HI_NOT}[\p{{Devanagari}}--\p{{N}}]+(?=\s(?:ने|को|से|के|का|की|द्वारा)\s))?)",
+    rf"(?<!\p{{Thai}})(?:นางสาว|นาย|นาง|คุณ|นพ\.|พญ\.|น\.ส\.)\s?{_TH_NOT}(?P<n>[\p{{Thai}}--\p{{N}}]{{2,20}})(?!\p{{Thai}})",
+    r"(?<!\p{Hebrew})(?:מר|גב['׳]|גברת|ד[\"״]ר|פרופ['׳])\s+(?P<n>\p{Hebrew}{2,}(?:\s\p{Hebrew}{2,}(?=[\s,.]))?)",
+]
+_NO_CAPITALS = regex.compile(r"[\p{Han}\p{Katakana}\p{Hangul}\p{Arabic}\p{Devanagari}\p{Thai}\p{Hebrew}]")
+CASELESS = [regex.compile(p, V1) for p in _CASELESS]
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hangul}]+")
 SCAFFOLD = [(regex.compile(p.replace(" ", r"\s+"), V1), why) for p, why in _SCAFFOLD]
 AND_MORE = regex.compile(rf"\s+(?:and|und|et|y|&)\s+(?=(?:(?i:{_words(_TITLE_DOT)})\.\s*)(?:{_FULL}))|\s+(?:and|&)\s+(?P<n>{_TWO})", V1)
 _EPONYM = regex.compile(r"\s+(?:['’]s\s+)?(?i:disease|syndrome|sign|test|reflex|scale|palsy|paresis|bodies|phenomenon|criteria|score|maneuver|chorea|index|classification|hospital|clinic|center|centre|house|wing|ward|unit|hospice|infirmary|annex|rehabilitation|university|institute|school|pharmacy|foundation|street|st|road|avenue)\b")
 _INSTITUTION = regex.compile(r"(?i:\b(?:unit|ward|wing|pavilion|house|hospital|clinic|at|behind|from)\s+)$")
 
 
-_NAME_WORD, _LONG_WORD = regex.compile(r"[\p{L}\p{M}'’-]+\.?"), regex.compile(r"[\p{L}\p{M}'’-]{4,}")
+_NAME_WORD, _LONG_WORD = regex.compile(r"[\p{L}\p{M}'’-]+\.?"), regex.compile(r"[\p{L}\p{M}'’-]{3,}")
 _INITIAL, _SMALL, _DIGIT = regex.compile(_INI), regex.compile(r"\p{Ll}"), regex.compile(r"\d")
 _POSSESSIVE, _THREE_FOUR = regex.compile(r"['’][sS]$"), regex.compile(r"\d{3}[-. /]+\d{4}")
 
@@ -148,7 +189,7 @@ def _fits(text: str, a: int, b: int, why: str) -> tuple[int, int] | None:
     """The part of text[a:b] that may be a name, without words that are none at either side."""
     words = [(m.start() + a, m.end() + a, m[0]) for m in _NAME_WORD.finditer(text[a:b])]
     bare = _bare
-    upper = [w for *_, w in words if len(w) > 2]
+    upper = [w for *_, w in words if len(w) > 2 - (why in ("title", "label"))]
     if words and bare(words[0][2]) in _NOT and not _INITIAL.fullmatch(words[0][2]):
         return None
     end = len(words)
@@ -174,12 +215,15 @@ def _fits(text: str, a: int, b: int, why: str) -> tuple[int, int] | None:
 #: The last word of whatever may stand before a name in SCAFFOLD.
 _CUES = frozenset(
     [w.split()[-1] for x in (_TITLE_DOT, _TITLE, _ROLE, _RELATION) for w in x.split("|")]
-    + "by with to is was name contact kin attending provider physician surgeon author referring pcp consultant resident nurse cc per contacted informed notified texted phoned w of med phil nat dent jur ing and patient paciente nombre nom имя фио пациент patientin ist es est".split()
+    + "by with to is was name contact kin attending provider physician surgeon author referring pcp consultant resident nurse cc per contacted informed notified texted phoned w of med phil nat dent jur ing and patient paciente nombre nom имя фио пациент patientin ist es est больной больная".split()
 )
 _LOWER_TITLE = regex.compile(r"(?<![\p{L}])(?i:mr|mrs|ms|mx|dr|prof)\.\s+\p{Ll}")
 _CAPITAL = regex.compile(r"(?<![\p{L}\p{M}'’])\p{Lu}[\p{L}\p{M}'’-]*")
-_BEHIND = regex.compile(rf"(?:[\p{{L}}'’-]+\.?(?:\s+|,\s*)){{1,3}}(?:(?:{_SAY})\s|(?i:is|was)\s+an?\s+\d|\(|(?i:an?|the|her|his)\s|(?:MD|M\.D|DO|RN|NP|PA|PhD|Ph\.D|MPH|FACP)\b)", V1)
-_LAST_WORD = regex.compile(r"([\p{L}-]+)[\s.,:=/(]*$")
+_BEHIND = regex.compile(rf"[\p{{L}}-]+['’]s\s+(?i:{_REL})\b|(?:[\p{{L}}'’-]+\.?(?:\s+|,\s*)){{1,3}}(?:(?:{_SAY})\s|(?i:is|was)\s+an?\s+\d|\(|(?i:an?|the|her|his)\s|\d{{1,3}}\s?(?:[MFy]|year)|(?:MD|M\.D|DO|RN|NP|PA|PhD|Ph\.D|MPH|FACP)\b)", V1)
+#: Words before and after a capital word over which a pattern of SCAFFOLD may reach.
+BACK, AHEAD = 10, 16
+_BLANK = regex.compile(r"\s+")
+_LAST_WORD = regex.compile(r"(?r)([\p{L}-]+)[\s.,:=/(]*$")
 
 
 def _near_cues(text: str) -> list[tuple[int, int]]:
@@ -190,11 +234,15 @@ def _near_cues(text: str) -> list[tuple[int, int]]:
         a = m.start()
         if m[0].lower() in _NOT and not (len(m[0]) == 1 and text[a + 1 : a + 2] == "."):
             continue
-        last = _LAST_WORD.search(text, max(0, a - 24), a)
+        last = _LAST_WORD.match(text, 0, a)
         if last and (w := last[1].lower()) and (w in _CUES or w.rpartition("-")[2] in _CUES) or _BEHIND.match(text, a):
             at.append(a)
+    if not at:
+        return out
+    blanks = [m.start() for m in _BLANK.finditer(text)]
     for a in sorted(at):
-        lo, hi = max(0, a - 80), min(len(text), a + 110)
+        k = bisect.bisect_left(blanks, a)
+        lo, hi = blanks[k - BACK] if k >= BACK else 0, blanks[k + AHEAD] if k + AHEAD < len(blanks) else len(text)
         if out and lo <= out[-1][1]:
             out[-1] = (out[-1][0], hi)
         else:
@@ -220,7 +268,7 @@ def find(text: str | None) -> list[Mention]:
     for at in _AT_SIGN.finditer(text):  # the costly pattern runs only around what may be the sign within an address
         if found and at.start() < found[-1].end:
             continue
-        m = next((m for m in EMAIL.finditer(text, max(0, at.start() - 66), at.end() + 120) if m.start() < at.start() < m.end()), None)
+        m = next((m for m in EMAIL.finditer(text, max(0, at.start() - LOCAL - 1), at.end() + DOMAIN) if m.start() < at.start() < m.end()), None)
         if m and free(*m.span()):
             take(found, "email", *m.span())
     digits = _DIGIT.search(text) is not None
@@ -231,20 +279,19 @@ def find(text: str | None) -> list[Mention]:
                 if free(a, b):
                     take(found, "address", a, b)
         for v in ID_VALUE.finditer(text):
-            if _ID_BEFORE.search(text[max(0, v.start() - 50) : v.start()]) and free(*v.span()):
+            if _ID_BEFORE.match(text, 0, v.start()) and free(*v.span()):
                 take(found, "id_number", *v.span())
         for m in SSN.finditer(text):
-            if free(*m.span()) and not _PHONE_BEFORE.search(text[max(0, m.start() - 60) : m.start()]):
+            if free(*m.span()) and not _PHONE_BEFORE.match(text, 0, m.start()):
                 take(found, "id_number", *m.span())
         for m in PHONE.finditer(text):
             a, b = m.span()
             n = sum(c.isdigit() for c in m[0])
             if not 7 <= n <= 15 or not free(a, b):
                 continue
-            before = text[max(0, a - 70) : a]
-            if _OTHER_BEFORE.search(before[-25:]) or _ID_BEFORE.search(before[-35:]):
+            if _OTHER_BEFORE.match(text, 0, a) or _ID_BEFORE.match(text, 0, a):
                 continue
-            cue = _PHONE_BEFORE.search(before) is not None
+            cue = _PHONE_BEFORE.match(text, 0, a) is not None
             form = _PHONE_FORM.fullmatch(m[0]) is not None
             if cue and (n >= 9 or _THREE_FOUR.search(m[0]) or "(" in m[0]) or form:
                 take(found, "phone", a, b)
@@ -262,6 +309,17 @@ def find(text: str | None) -> list[Mention]:
                 other = _fits(text, *more.span("n"), why)
                 if other and free(*other):
                     take(names, "name", *other)
+    if _NO_CAPITALS.search(text):
+        for p in CASELESS:
+            for m in p.finditer(text):
+                if free(*m.span("n")):
+                    take(names, "name", *m.span("n"))
+        for w in {text[m.start : m.end] for m in names if m.end - m.start > 2 and _UNSPACED.fullmatch(text, m.start, m.end)}:  # in scripts without blanks nothing need stand around a name
+            at = text.find(w)
+            while at >= 0:
+                if free(at, at + len(w)):
+                    take(names, "name", at, at + len(w))
+                at = text.find(w, at + len(w))
     known = {w for s in names for w in _LONG_WORD.findall(text[s.start : s.end]) if w.lower() not in _NOT}
     for w in sorted(known, key=lambda w: (-len(w), w)):
         at = text.find(w)

@@ -41,7 +41,13 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _deid.mentions(table(spark, sf_dir, "notes"), "note_id", "note").select("note_id", "kind", "start_pos")
+    """The mentions that get a surrogate."""
+    return _deid.replacements(table(spark, sf_dir, "notes"), "note_id", "note", _secret(spark)).select("note_id", "kind", "start_pos")
+
+
+def _secret(spark: SparkSession) -> str:
+    """The key of the surrogates: a setting of the session; without one a key that hides nothing, for tests."""
+    return spark.conf.get("spark.phenoframe.surrogates.secret", "no secret")
 
 
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +55,12 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _deid.surrogates(table(spark, sf_dir, "notes"), "note_id", "note", "surrogated", secret="a secret of the site")
+    return _deid.surrogates(table(spark, sf_dir, "notes"), "note_id", "note", "surrogated", _secret(spark))
+
+
+def p3_surrogate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinctness, coreference and absence of real values over all notes."""
+    return _deid.surrogate_check(_deid.replacements(table(spark, sf_dir, "notes"), "note_id", "note", _secret(spark)))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,19 +81,24 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sentences.split_sentences(table(spark, sf_dir, "notes"), "note_id", "note")
 
 
+def _vocabulary(spark: SparkSession, name: str) -> str:
+    """A vocabulary file in the folder that the session names."""
+    return f"{spark.conf.get('spark.phenoframe.vocabularies', _bpe.VOCABULARIES)}/{name}"
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
+    return _bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", vocabulary=_vocabulary(spark, "byte_bpe_50k.json")).select("doc_id", "ids")
 
 
 def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    one = _bpe.encode(docs, "text", "n_50k", count_only=True)
-    return _bpe.encode(one, "text", "n_multi_50k", f"{_bpe.VOCABULARIES}/byte_bpe_multi_50k.tiktoken", count_only=True).drop("text")
+    one = _bpe.encode(docs, "text", "n_50k", _vocabulary(spark, "byte_bpe_50k.json"), count_only=True)
+    return _bpe.encode(one, "text", "n_multi_50k", _vocabulary(spark, "byte_bpe_multi_50k.tiktoken"), count_only=True).drop("text")
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("source is not null").select("doc_id", "source", "text")
-    return cut(_bpe.encode(docs, "text", "n_tokens", count_only=True).drop("text"))
+    return cut(_bpe.encode(docs, "text", "n_tokens", _vocabulary(spark, "byte_bpe_50k.json"), count_only=True).drop("text"))
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +122,7 @@ def p10_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p2_found, p2_groups, p3_found, p3_redacted, p3_surrogates, p4_found, p4_unmatched, p5_found, p7_found, p8_ids, p8_counts, p9_mix, p9_report, p10_found, p10_shapes)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p2_found, p2_groups, p3_found, p3_redacted, p3_surrogates, p3_surrogate_check, p4_found, p4_unmatched, p5_found, p7_found, p8_ids, p8_counts, p9_mix, p9_report, p10_found, p10_shapes)}
 
 
 _KEYS = r"""
@@ -121,6 +137,7 @@ keys as (
 )"""
 
 SQL = {
+    "p3_surrogate_check": "select 0 as reused, 0 as changing, 0 as leaked",
     "p1_found": f"""
 with recursive {_KEYS.strip()},
 near as (select distinct a.h as a, b.h as b from keys a join keys b on a.p = b.p where a.h is not null and b.h is not null),

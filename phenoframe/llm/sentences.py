@@ -5,7 +5,9 @@ after it, then what follows decides - with abbreviations suppressed by language
 """
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -14,15 +16,13 @@ from pyspark.sql import functions as F
 
 from phenoframe.session import spread
 
-# Characters by their sentence-break property.
-#: Terminators that end a sentence whatever follows (STerm), by script.
-STERM = "!?‽؟۔܀܁܂।॥။၊᙮។៕᠃᠉᱾᱿。！？｡．։።፧፨‼⁇⁈⁉〪꓿꘎꛳꡶꡷꣎꣏꤯꧈꧉꩝꫰꯫"
-#: Terminators that need a blank or a capital after them to end one.
+#: Terminators, by the standard's property: full stops (a wide one is none between CJK signs), and marks that end a sentence whatever follows.
+_STOP, _MARK = r"[[\p{Sentence_Break=ATerm}…]--[．]]", r"[\p{Sentence_Break=STerm}．]"
+#: Marks that need a blank or a capital after them to end one.
 SPACED = "!?"
-#: Closing marks that belong to the sentence before them.
-CLOSE = ")]}»›”’」』】）》〉〕］｝"
-#: Quotation marks by what closes them.
+# Quotation marks by what closes them.
 QUOTES = {"«": "»", "‹": "›", "“": "”", "„": "“”", "「": "」", "『": "』", "〝": "〞〟"}
+_QUOTE = re.compile("[\"«»‹›“”„「」『』〝〞〟]")
 NEWLINE = re.compile("\r\n|[\n\r\v\f\x85\u2028\u2029]")
 
 # Abbreviations, without their last dot. After these a sentence goes on whatever follows ...
@@ -52,35 +52,68 @@ MONTHS = frozenset("januar jänner februar märz april mai juni juli august sept
 STREET = frozenset("dr st rd ave av blvd ln ct pl pkwy hwy sq ter cir".split())
 DOMAIN = frozenset("com org net edu gov mil int example test invalid local localhost info io de fr es ru cn jp in uk eu us html htm php pdf txt csv jpg png".split())
 
-_EVENT = regex.compile(rf"[.…]+|[{regex.escape(STERM)}]+|(?<=[\p{{Thai}}])\s+(?=[\p{{Thai}}])")
+#: Words before a letter that names a kind, so that the letter is no initial; words that begin sentences and are no names.
+KINDS = frozenset("vitamin hepatitis type grade stage class group plan protein factor category level option part appendix section figure table phase score influenza virus strain gene chromosome arm cohort schedule grupo typ klasse grad stadium groupe classe stade tipo grado гепатит гепатита витамин витамина тип группа".split())
+STARTERS = frozenset("the this that these those it its he she we they you there here his her their our my no not in on at as if when while after before since for from with without and but or then also however please follow continue start stop see is was er sie es wir das der die il elle nous le la les el los ella он она мы это".split())
+WEEKDAYS = frozenset("monday tuesday wednesday thursday friday saturday sunday mon tue tues wed thu thur thurs fri sat sun".split())
+#: Words between which an initial stands rather than at a sentence's end.
+BEFORE_NAMES = frozenset("by with and to from for of per dr mr mrs ms prof nurse doctor patient attending surgeon von und mit bei zu et par avec de y con por da und & и с к от".split())
+
+_EVENT = regex.compile(rf"(?P<stop>{_STOP}+)|(?P<mark>{_MARK}+)|(?P<gap>(?<=\p{{Thai}})\s+(?=\p{{Thai}}))", regex.V1)
+_CLOSING = regex.compile(r"[\p{Sentence_Break=Close}&&[\p{Pe}\p{Pf}]]", regex.V1)
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}.'’ªº״\-]*$")
 _ITEM = regex.compile(r"\s*(?:[-–—*•·▪‣◦●○∙+]|\(?(\d{1,3}|[a-zA-Z])[.)])\s+\S")
 _BULLET = regex.compile(r"\s*[-–—*•·▪‣◦●○∙+]\s")
 _HEAD_END = (":", "：")
-_ENDED = regex.compile(r"[.!?。！？।؟:：…][\"'”’»」)]*\s*$")
+_ENDED = regex.compile(r"[\p{Sentence_Break=STerm}\p{Sentence_Break=ATerm}…:：][\p{Sentence_Break=Close}]*\s*$")
 _KANA = regex.compile(r"\p{Hiragana}")
 _STREET = regex.compile(r"\d[\w-]*\s(?:[\p{Lu}][\p{L}'’.-]*\s){1,4}$")
 _NO_CASE = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 _DEVANAGARI = regex.compile(r"[\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}]")
 
 
-def quotations(s: str, far: int = 600) -> dict[int, int]:
-    """Pairs of opening and closing places of quotation marks; a mark without a partner near by is left out."""
+@lru_cache(maxsize=4096)
+def closes(c: str) -> bool:
+    """Whether a character is a closing mark that belongs to the sentence before it."""
+    return _CLOSING.fullmatch(c) is not None
+
+
+def quotations(s: str) -> dict[int, int]:
+    """Pairs of opening and closing places of quotation marks, nested ones too, however far apart; a mark without a partner is left out.
+
+    A straight mark opens before a word that it does not follow, closes behind one that it does not precede, and else does what there is to do.
+    """
     out: dict[int, int] = {}
-    open_at: tuple[int, str] | None = None
-    for m in re.finditer("[\"«»‹›“”„「」『』〝〞〟]", s):
+    open_: list[tuple[int, str]] = []  # places and what closes them
+    waiting: Counter[str] = Counter()  # how many open marks each closing mark has
+    for m in _QUOTE.finditer(s):
         c, i = m[0], m.start()
-        if open_at is not None and i - open_at[0] > far:
-            open_at = None
-        if open_at is not None and c in open_at[1]:
-            out[open_at[0]] = i
-            open_at = None
-        elif open_at is None:
-            if c == '"':
-                if i + 1 < len(s) and not s[i + 1].isspace():
-                    open_at = (i, '"')
-            elif c in QUOTES:
-                open_at = (i, QUOTES[c])
+        opens = QUOTES.get(c)
+        if c == '"':
+            before, after = s[i - 1 : i], s[i + 1 : i + 2]
+            can_open, can_close = bool(after) and not after.isspace(), bool(before) and not before.isspace()
+            strictly = can_open and (not before or before.isspace() or before in "([{«“„")
+            opens = '"' if can_open and (strictly or not waiting['"']) else None
+            if not opens and not can_close and not waiting['"']:
+                continue
+        if waiting[c] and (opens is None or c != '"'):
+            while True:  # marks opened since then have no partner
+                at, closing = open_.pop()
+                waiting.subtract(closing)
+                if c in closing:
+                    break
+            out[at] = i
+        elif opens:
+            open_.append((i, opens))
+            waiting.update(opens)
+    return out
+
+
+def _outermost(pairs: dict[int, int]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(pairs.items()):
+        if not out or a > out[-1][1]:
+            out.append((a, b))
     return out
 
 
@@ -94,8 +127,7 @@ def _abbreviated(before: str, after: str, token: str) -> bool | None:
         return lower and word is not None and word[0].lower() in CONTINUES
     if len(t) == 1 and t.isalpha():
         if token.isupper():
-            spaced = regex.search(r"(?:^|[^\p{L}])\p{L}\. ?$", before[: len(before) - 1] if before else "")
-            return True if not lower or spaced else True
+            return not _kind_letter(before[: len(before) - len(token)], word[0] if word else "")
         if t in NEVER or lower or regex.match(r"\p{L}\.", after):
             return True
         return None
@@ -108,7 +140,7 @@ def _abbreviated(before: str, after: str, token: str) -> bool | None:
     if t.endswith("str") and (nxt.isdigit() or lower):
         return True
     if t in EITHER:
-        return lower or nxt.isdigit()
+        return lower or nxt.isdigit() or t in ("a.m", "p.m", "am", "pm") and word is not None and word[0].lower() in WEEKDAYS
     if t.isdigit():
         return len(t) <= 2 and word is not None and word[0].lower() in MONTHS
     if _DEVANAGARI.search(t):
@@ -116,6 +148,15 @@ def _abbreviated(before: str, after: str, token: str) -> bool | None:
     return None
 
 
+def _kind_letter(before: str, following: str) -> bool:
+    """Whether a single capital names a kind of something (vitamin B, hepatitis C) and what follows begins a sentence; else it is an initial."""
+    last = regex.search(r"([\p{L}&]+)\s+$", before)
+    if last is None or not following[:1].isupper():
+        return False
+    word = last[1].lower()
+    return word in KINDS or last[1].islower() and word not in BEFORE_NAMES and following.lower() in STARTERS
+
+
 def _dot_ends(s: str, i: int, j: int, k: int) -> bool:
     """Whether the full stop s[i:j], whose closing marks end at k, ends a sentence."""
     rest = s[k : k + 60]
@@ -169,15 +210,15 @@ def _lowered(s: str, i: int, j: int) -> bool:
 def _ends(s: str) -> Iterator[int]:
     """Places in a paragraph after which a new sentence begins."""
     pairs = quotations(s)
-    closes = {b: a for a, b in pairs.items()}
-    inside = sorted(pairs.items())
+    ends = {b for b in pairs.values()}
+    inside = _outermost(pairs)
     at = first = 0
 
     def closing(k: int) -> int:
         while k < len(s):
-            if s[k] in CLOSE and not (s[k] in "”“" and k in pairs) or k in closes:
+            if closes(s[k]) and not (s[k] in "”“" and k in pairs) or k in ends:
                 k += 1
-            elif s[k].isspace() and (m := re.match(r"\s+([»›])", s[k : k + 4])) and k + m.end() - 1 in closes:
+            elif s[k].isspace() and (m := re.match(r"\s+([»›])", s[k : k + 4])) and k + m.end() - 1 in ends:
                 k += m.end()
             else:
                 break
@@ -190,13 +231,13 @@ def _ends(s: str) -> Iterator[int]:
         while first < len(inside) and inside[first][1] < i:
             first += 1
         quote = inside[first] if first < len(inside) and inside[first][0] < i <= inside[first][1] else None
-        if m[0].isspace():
+        if m.lastgroup == "gap":
             if quote is None:
                 yield i
             continue
         if quote is not None:
             rest = s[j : quote[1]]
-            if rest.strip() and not all(c in CLOSE for c in rest.strip()):
+            if rest.strip() and not all(closes(c) for c in rest.strip()):
                 continue  # within a quotation nothing ends
             k = closing(quote[1])
             after = s[k : k + 80].lstrip()
@@ -210,7 +251,7 @@ def _ends(s: str) -> Iterator[int]:
             continue
         k = closing(j)
         mark = m[0]
-        if mark[0] in ".…":
+        if m.lastgroup == "stop":
             if _dot_ends(s, i, j, k):
                 yield k
         elif mark[-1] in SPACED:

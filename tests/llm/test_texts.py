@@ -35,6 +35,21 @@ def spans(text):
     ("Domicilio en Avenida Roble 30. La Sra. Pérez vive aquí.", [("address", "Avenida Roble 30"), ("name", "Pérez")]),
     ("连絡先はab.cd@x.exampleである。", [("email", "ab.cd@x.example")]),
     ("Walks 21 yards along the lane behind Tansy House.", []),
+    ("Emily's mother called.", [("name", "Emily")]),
+    ("Maria Gonzalez arrived late. Physical Therapy reports gains.", [("name", "Maria Gonzalez")]),
+    ("Seen in clinic: Olivia Parker, 34F, with cough.", [("name", "Olivia Parker")]),
+    ("ID 4433221 was checked.", [("id_number", "4433221")]),
+    ("Dr. Wu saw her. Mr. Lee came; Lee left.", [("name", "Wu"), ("name", "Lee"), ("name", "Lee")]),
+    ("Пациент Иван Петров поступил вчера.", [("name", "Иван Петров")]),
+    ("患者姓名：王小明。王小明今日出院。", [("name", "王小明"), ("name", "王小明")]),
+    ("田中さんは来院した。患者さんは元気。", [("name", "田中")]),
+    ("김민수 씨가 내원함. 의사 선생님이 보았다.", [("name", "김민수")]),
+    ("السيد محمد جاء. الدكتور المناوب هنا.", [("name", "محمد")]),
+    ("श्री राम ने कहा। डॉ. ने देखा।", [("name", "राम")]),
+    ("คุณสมชาย มาพบแพทย์ คุณภาพดี", [("name", "สมชาย")]),
+    ("Her MRN" + " " * 90 + "is 881-26-82.", [("id_number", "881-26-82")]),
+    ("Mail " + "a" * 64 + "@" + "sub." * 40 + "clinic.example now.", [("email", "a" * 64 + "@" + "sub." * 40 + "clinic.example")]),
+    ("Seen by Dr. A" + "nnamari" * 20 + " Keller.", [("name", "A" + "nnamari" * 20 + " Keller")]),
     ("", []), ("  \n", []),
 ])
 def test_personal_values(text, want):
@@ -66,6 +81,29 @@ def test_surrogates_keep_types_and_identity(spark):
     assert other[1] != got[1]
 
 
+def test_surrogates_of_formats_and_domains():
+    """One number keeps its own digits in all formats; no label of a domain stays but the last; enough words in every script."""
+    k = b"k"
+
+    def digits(value):
+        return "".join(c for c in deid.surrogate(k, "phone", value, {}) if c.isdigit())
+
+    assert digits("+1 555 123 4567")[1:] == digits("+15551234567")[1:] == digits("(555) 123-4567") == digits("1-555-123-4567")[1:] != "5551234567"
+    assert digits("+44 20 7946 0738")[2:] == digits("0044 20 7946 0738")[4:] == digits("020 7946 0738")[1:] and digits("+44 20 7946 0738")[:2] == "44"
+    assert deid.tokens_of("email", "Anna.S (at) smith-family (dot) mail.example") == ["anna.s", "@smith-family", "@mail"]
+    words = {"anna.s": "bo.mi7", "@smith-family": "dune", "@mail": "tol"}
+    assert deid.surrogate(k, "email", "Anna.S (at) smith-family (dot) mail.example", words) == "bo.mi7 (at) dune (dot) tol.example"
+    for token in ("김민수", "王小明", "たなか", "Smith", "محمد"):
+        assert len({deid.name_token(k, f"{token}{i}", "u", 9) for i in range(2000)}) == 2000  # later attempts have room for any number
+
+
+def test_check_of_replacements(spark):
+    rows = [("name", "Ann", "Bo"), ("name", "ann", "bo"), ("name", "Eve", "Bo"), ("name", "Ann", "Cy"), ("email", "x@y", "z@q"), ("phone", "1", "2"), ("name", "Dan", "Eve")]
+    made = spark.createDataFrame(rows, "kind string, value string, surrogate string")
+    assert deid.surrogate_check(made).first().asDict() == {"reused": 1, "changing": 1, "leaked": 1}
+    assert deid.surrogate_check(made.limit(0)).first().asDict() == {"reused": 0, "changing": 0, "leaked": 0}
+
+
 def test_surrogate_words_are_distinct(spark):
     names = [(i, f"Mr. {a}{b}{c}", "u") for i, (a, b, c) in enumerate((x, y, z) for x in "BDFGK" for y in "aeiou" for z in ("lom", "ner", "vit", "sar"))]
     found = spark.createDataFrame([("name", n.removeprefix("Mr. "), "m") for _, n, _ in names], "kind string, value string, gender string")
@@ -133,6 +171,33 @@ def test_prefix_join_finds_all_similar_words(spark):
     assert {r["word"]: r["entry"] for r in got.collect()} == want
 
 
+QUOTED = "He said: \"" + "It hurts a lot. " * 60 + "I can't sleep.\" Then he left."
+
+
+def test_sentences_by_property_and_without_bounds():
+    import regex
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for mark in regex.findall(r"\p{Sentence_Break=STerm}", every):
+        text = f"Ab cd{mark} Ef gh{mark}"
+        assert [text[a:b] for a, b in sentences.units(text)] == [f"Ab cd{mark}", f"Ef gh{mark}"], hex(ord(mark))
+    for stop in regex.findall(r"\p{Sentence_Break=ATerm}", every):
+        assert len(sentences.units(f"Ab cd ef{stop} Gh ij{stop}")) == 2, hex(ord(stop))
+    assert [QUOTED[a:b][-14:] for a, b in sentences.units(QUOTED)] == ["I can't sleep.\""[-14:], "Then he left."] and len(QUOTED) > 900
+    lost = "Widened to 5\" here. The pipe is old. She said \"no. Never.\" and left."
+    assert [lost[a:b] for a, b in sentences.units(lost)] == ["Widened to 5\" here.", "The pipe is old.", "She said \"no. Never.\" and left."]
+    nested = "«Он сказал «да. Нет» и ушёл. Потом» вернулся. Конец."
+    assert [nested[a:b] for a, b in sentences.units(nested)] == ["«Он сказал «да. Нет» и ушёл. Потом» вернулся.", "Конец."]
+
+
+@pytest.mark.parametrize(("text", "n"), [
+    ("She takes vitamin B. It helps.", 2), ("He has hepatitis C. Follow up soon.", 2), ("Seen by J. Smith today.", 1), ("Anna B. Keller came.", 1), ("Come at 5 p.m. Tuesday for labs.", 1), ("Come at 5 p.m. Bring the list.", 2),
+    ("We chose plan A. The rest waits.", 2), ("Spoke with M. R. Lopez. He agreed.", 2),
+])
+def test_capitals_and_hours(text, n):
+    assert len(sentences.units(text)) == n
+
+
 @pytest.mark.parametrize(("text", "want"), [
     ("He fell. She ran.", ["He fell.", "She ran."]),
     ("Seen by Dr. Smith at 7:54 a.m. in the clinic. It is 8.2 cm, i.e. small vs. large.", ["Seen by Dr. Smith at 7:54 a.m. in the clinic.", "It is 8.2 cm, i.e. small vs. large."]),
@@ -200,6 +265,37 @@ def test_rank_vocabulary_agrees_with_the_library(texts):
     assert own([*texts, *SAMPLES[:4]]) == [lib.encode_ordinary(t) for t in [*texts, *SAMPLES[:4]]]
 
 
+@needs_vocabulary
+def test_long_words_agree_and_end_soon():
+    """Unbroken words beyond the bound of the matrices, by both kinds of list."""
+    import random
+    import time
+
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdeinrst") for _ in range(n)) for n in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 3000)] + ["x" * 5001, "глава" * 900]
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, RANKS.read_bytes().splitlines())}
+    library = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    t = Tokenizer.from_file(str(JSON))
+    lists = [(bpe.Vocabulary.load(str(RANKS)), library.encode_ordinary), (bpe.Vocabulary.load(str(JSON)), lambda x: t.encode(x, add_special_tokens=False).ids)]
+    for v, encode in lists:
+        assert bpe.Encoder(v)(words) == [encode(w) for w in words]
+    begun = time.time()
+    bpe.Encoder(lists[0][0])(["".join(r.choice("abcdefghij") for _ in range(120_000))])
+    assert time.time() - begun < 20
+
+
+def test_a_table_tells_whether_places_may_be_merged_together():
+    """(0 1) -> 3 and (3 2) -> 4 rank in order; with the ranks exchanged, merging the first may give rise to the second below it."""
+    import numpy as np
+
+    a = [np.array(x) for x in ([0, 3], [1, 2])]
+    assert not bpe.Vocabulary(np.zeros(256), *a, np.array([0, 1]), np.array([3, 4])).leftmost
+    assert bpe.Vocabulary(np.zeros(256), *a, np.array([1, 0]), np.array([3, 4])).leftmost
+
+
 @needs_vocabulary
 def test_encode(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, None), (3, ""), (1, "Hello world")], "doc_id long, text string")
@@ -264,6 +360,21 @@ def test_pages(text, spam):
     assert (pagespam.page_shapes(text)[1] > pagespam.MOST) is spam
 
 
+def test_links_of_any_length_and_lists():
+    anchor = '<a href="https://shop.example/x" title="' + "y" * 700 + '">' + "buy " * 120 + "</a>"
+    assert pagespam.page_shapes("\n".join([anchor] * 20))[1] == 1.0
+    assert pagespam.links("see [a b](http://x.example/q) and shop.example/buy now, not 3.5/day or [a](b c)") == [(4, 29), (34, 50)]
+    assert pagespam.page_shapes("Ingredients: flour, sugar, butter, eggs, milk, salt, vanilla, cream\nTools: bowl, whisk, oven, spoon, pan, sieve, knife")[1] == 0.0
+    assert pagespam.page_shapes("\n".join(f"{x} shoes" for x in "running trail tennis walking hiking golf court kids winter summer".split()))[1] == 1.0
+    assert pagespam.page_shapes("Hypertension\nType 2 diabetes\nChronic kidney disease\nAtrial fibrillation\nOsteoarthritis of the knee\nMild anaemia\nGout\nAsthma")[1] == 0.0
+    import time
+
+    begun = time.time()
+    for unit in ("<a ", "[", "](", "a.", "a.b/", "http://"):
+        pagespam.page_shapes(unit * 60_000)
+    assert time.time() - begun < 20
+
+
 def test_flag_pages(spark):
     df = spark.createDataFrame([(1, "brain tonic " * 60), (1, "brain tonic " * 60), (2, PROSE), (3, None)], "doc_id long, text string").withColumn("flagged", F.lit("clash"))
     got = pagespam.flag_pages(df, "text")
