@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,26 +34,32 @@ def _batch(n: int, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=_NAMES)
 
 
-def _scan(tolerance: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Scan one task: its rows come sorted by entity, time, side (0 right, 1 left) and id.
+class _Slice:
+    """One task's slice, streamed: its rows come sorted by entity, time, side (0 right, 1 left) and id.
 
-        A task holds one slice of a range partitioning by all four, so its size does not depend on the size of an entity.
-        """
-        from pyspark import TaskContext
+    What is carried from batch to batch are the last right record and the left rows that a right record still to come may be near to: those of the
+    last entity within the tolerance of the last row. So what a task holds depends neither on the size of its slice nor on that of an entity.
+    """
 
-        task = TaskContext.get().partitionId()
-        got = [b for b in batches if b.num_rows]
-        if not got:
+    def __init__(self, task: int, tolerance: int):
+        self.task, self.tolerance = task, tolerance
+        self.carried: pa.Table | None = None
+        self.first_entity: str | None = None
+        self.first_right: tuple | None = None  # entity, id, time
+        self.last_right: tuple | None = None
+
+    def step(self, batch: pa.Table | None) -> Iterator[pa.RecordBatch]:
+        """Rows that are decided by a batch; without one, by the end of the slice."""
+        parts = [x for x in (self.carried, batch) if x is not None and x.num_rows]
+        if not parts:
             return
-        t = pa.Table.from_batches(got).combine_chunks()
-        n = t.num_rows
-        ent = t.column("entity").chunk(0)
-        at = t.column("at").chunk(0).cast(pa.int64()).to_numpy()
+        t = pa.concat_tables(parts)
+        n, over = t.num_rows, batch is None
+        ent, at = t.column("entity").combine_chunks(), t.column("at").combine_chunks().to_numpy(zero_copy_only=False)
         side, ident = t.column("side").to_numpy(), t.column("id").to_numpy()
         new = np.ones(n, dtype=bool)
         if n > 1:
-            new[1:] = pa.compute.not_equal(ent.slice(1), ent.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            new[1:] = pc.not_equal(ent.slice(1), ent.slice(0, n - 1)).to_numpy(zero_copy_only=False)
         starts = np.flatnonzero(new)
         lengths = np.diff(np.r_[starts, n])
         start, end = np.repeat(starts, lengths), np.repeat(starts + lengths, lengths)
@@ -68,21 +75,48 @@ def _scan(tolerance: int):
         left = ~right
         if n > 1:  # equal left rows are neighbours; one stays
             left[1:] &= new[1:] | (at[1:] != at[:-1]) | ~left[:-1] | (ident[1:] != ident[:-1])
-        ask_prev, ask_next = left & ~has_before & (start == 0), left & ~has_after & (end == n)
-        near = (has_before & (at - at[b] <= tolerance)) | (has_after & (at[a] - at <= tolerance))
-        k = np.flatnonzero(left & (near | ask_prev | ask_next))
-        for at0 in range(0, len(k), 50_000):
-            j = k[at0 : at0 + 50_000]
+        if self.first_entity is None:
+            self.first_entity = ent[0].as_py()
+        ask_prev = left & ~has_before & (start == 0) & (ent[0].as_py() == self.first_entity)
+        wait = left & ~has_after & (end == n) & (at + self.tolerance >= at[-1])
+        ask_next = wait & over
+        near = (has_before & (at - at[b] <= self.tolerance)) | (has_after & (at[a] - at <= self.tolerance))
+        k = np.flatnonzero(left & (near | ask_prev | ask_next) & (over | ~wait))
+        for s in range(0, len(k), 50_000):
+            j = k[s : s + 50_000]
             yield _batch(
-                len(j), kind=0, task=task, entity=ent.take(pa.array(j)), left_id=ident[j], at=at[j],
+                len(j), kind=0, task=self.task, entity=ent.take(pa.array(j)), left_id=ident[j], at=at[j],
                 prev_id=np.where(has_before[j], ident[b[j]], NONE), prev_at=np.where(has_before[j], at[b[j]], NONE),
                 next_id=np.where(has_after[j], ident[a[j]], NONE), next_at=np.where(has_after[j], at[a[j]], NONE),
                 ask_prev=pa.array(ask_prev[j]), ask_next=pa.array(ask_next[j]),
             )
         r = np.flatnonzero(right)
+        keep = np.flatnonzero(wait)
         if len(r):
-            f, z = r[:1], run_start[r[-1:]]
-            yield _batch(1, kind=1, task=task, entity=ent.take(pa.array(f)), next_id=ident[f], next_at=at[f], entity_last=ent.take(pa.array(z)), prev_id=ident[z], prev_at=at[z])
+            z = run_start[r[-1]]
+            self.first_right = self.first_right or (ent[r[0]].as_py(), int(ident[r[0]]), int(at[r[0]]))
+            self.last_right = (ent[z].as_py(), int(ident[z]), int(at[z]))
+            if z >= starts[-1]:
+                keep = np.r_[z, keep]
+        self.carried = t.take(pa.array(keep)).combine_chunks()
+
+    def edges(self) -> Iterator[pa.RecordBatch]:
+        if self.first_right is not None:
+            f, z = self.first_right, self.last_right
+            yield _batch(1, kind=1, task=self.task, entity=pa.array([f[0]]), next_id=np.array([f[1]]), next_at=np.array([f[2]]), entity_last=pa.array([z[0]]), prev_id=np.array([z[1]]), prev_at=np.array([z[2]]))
+
+
+def _scan(tolerance: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        s = _Slice(TaskContext.get().partitionId(), tolerance)
+        for b in batches:
+            if b.num_rows:
+                t = pa.Table.from_batches([b])
+                yield from s.step(t.set_column(t.schema.get_field_index("at"), "at", t.column("at").cast(pa.int64())))
+        yield from s.step(None)
+        yield from s.edges()
 
     return run
 
