@@ -45,3 +45,18 @@ def hash_to_min(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> Data
     else:
         raise RuntimeError(f"no fixed point after {most_rounds} rounds")
     return c.groupBy("v").agg(F.min("u").alias("component")).select(F.col("v").alias("node"), "component")
+
+
+def pairs_within(df: DataFrame, group: str, value: str, rows: int = 4096) -> DataFrame:
+    """Each pair a < b of distinct values of a group: a, b. For groups whose pairs are asked for.
+
+    A group of more than `rows` values is cut into parts by hash, and each of its parts meets each other one in a group of its own, so that no task holds a large group;
+    smaller groups have one part. Null groups and values pair with nothing.
+    """
+    d = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v")).distinct()
+    parts = d.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", F.ceil(F.col("n") / rows).cast("int").alias("k"))
+    d = d.join(parts, "g").withColumn("p", F.pmod(F.xxhash64("v", F.lit(11)), F.col("k")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    a = d.select("g", "p", each.alias("q"), F.col("v").alias("a"))
+    b = d.select("g", F.col("p").alias("q"), each.alias("p"), F.col("v").alias("b"))
+    return a.join(b, ["g", "p", "q"]).where("a < b").select("a", "b")

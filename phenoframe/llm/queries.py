@@ -23,6 +23,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _splits.linked_sites(table(spark, sf_dir, "notes"), "bdsp_patient_id", "hospital")
 
 
+def p1_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linked sites without pairs: the number of sites that each must share a split with, itself included."""
+    return _splits.site_components(table(spark, sf_dir, "notes"), "bdsp_patient_id", "hospital").select("hospital", "n_sites")
+
+
 def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _splits.grouped_split(table(spark, sf_dir, "notes"), "note_id", "bdsp_patient_id", "hospital", table(spark, sf_dir, "split_targets")).select("note_id", "split_name")
 
@@ -122,7 +127,7 @@ def p10_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_split_report, p2_found, p2_groups, p3_found, p3_redacted, p3_surrogates, p3_surrogate_check, p4_found, p4_unmatched, p5_found, p7_found, p8_ids, p8_counts, p9_mix, p9_report, p10_found, p10_shapes)}
+    return {f.__name__: f for f in (p1_found, p1_sites, p1_splits, p1_split_report, p2_found, p2_groups, p3_found, p3_redacted, p3_surrogates, p3_surrogate_check, p4_found, p4_unmatched, p5_found, p7_found, p8_ids, p8_counts, p9_mix, p9_report, p10_found, p10_shapes)}
 
 
 _KEYS = r"""
@@ -143,6 +148,12 @@ with recursive {_KEYS.strip()},
 near as (select distinct a.h as a, b.h as b from keys a join keys b on a.p = b.p where a.h is not null and b.h is not null),
 reach(a, b) as (select a, b from near union select r.a, n.b from reach r join near n on r.b = n.a)
 select a as hospital_a, b as hospital_b from reach where a < b""",
+    "p1_sites": f"""
+with recursive {_KEYS.strip()},
+near as (select distinct a.h as a, b.h as b from keys a join keys b on a.p = b.p where a.h is not null and b.h is not null),
+reach(a, b) as (select a, b from near union select r.a, n.b from reach r join near n on r.b = n.a),
+every as (select a, b from reach union select h, h from keys where h is not null)
+select a as hospital, count(*) as n_sites from every group by 1""",
     "p2_found": r"""
 with w as (select note_id, list_filter(string_split_regex(regexp_replace(lower(note), '[^\p{L}\p{Nd}\s]+', '', 'g'), '\s+'), lambda x: x <> '') as w from notes where note is not null),
 t as (select note_id, len(s) as n, unnest(s) as x from (
