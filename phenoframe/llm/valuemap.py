@@ -15,7 +15,7 @@ from phenoframe.session import cut, shuffle_partitions, small_enough
 
 #: Buckets of the gram counts that order grams by rarity: all that leaves the cluster. Jaccard threshold of candidates.
 BUCKETS, JACCARD = 1 << 16, 0.3
-#: The least letters of a word that may stand for an entry; of a cut-off word; the least part of the entry that a cut-off word must hold.
+#: The least letters of a word that may be mistyped (shorter ones stand for a name only as they are); of a cut-off word; the least part of the entry that a cut-off word must hold.
 WORD, CUT, PART = 4, 5, 0.45
 #: Reference rows up to which the list is broadcast; a longer list is joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -108,21 +108,25 @@ def best_entries(words: DataFrame, entries: DataFrame, freq: np.ndarray | None =
     """For each of distinct words (w) the entry name (w) that it is closest to: word, entry, cost; words near no entry don't come out.
 
     Words and names become sets of bigrams. Only the rarest grams of each set are joined (a prefix that no pair of Jaccard similarity JACCARD can miss), pairs that fail on
-    length or on place are dropped, the rest is verified exactly; of a word's pairs the best stays: by cost - the mistypings, or for a word cut
-    off short a half -, then by similarity, then by name. A cut-off word that begins several names is dropped as undecidable. freq (gram_counts) and small (whether the
+    length or on place are dropped, the rest is verified exactly. A pair holds if the word is the name with no more mistypings than allowed, or its cut-off beginning; of a word's pairs the one
+    of the largest similarity stays, of equals that with fewer mistypings, then the first by name. Its cost are the mistypings, a half for a word cut off short.
+    A cut-off word that begins several names is dropped as undecidable. Words below WORD letters hold with the name that they are. freq (gram_counts) and small (whether the
     list has at most BROADCAST_ROWS names) are found out unless they are given.
     """
     spark = words.sparkSession
     sent = spark.sparkContext.broadcast(gram_counts(entries) if freq is None else freq)
-    x, y = _side(words, "x", sent), _side(entries, "y", sent)
-    if small_enough(entries, BROADCAST_ROWS) if small is None else small:
-        y = F.broadcast(y)
+    small = small_enough(entries, BROADCAST_ROWS) if small is None else small
+    x, y = _side(words.where(F.length("w") >= WORD), "x", sent), broadcast_if(_side(entries, "y", sent), small)
     sizes = (F.col("x_n") >= JACCARD * F.col("y_n")) & (F.col("y_n") >= JACCARD * F.col("x_n"))
     need = JACCARD / (1 + JACCARD) * (F.col("x_n") + F.col("y_n"))
     place = F.least("x_p", "y_p") + F.least(F.col("x_n") - F.col("x_p"), F.col("y_n") - F.col("y_p")) >= need - 1e-9
     both = F.size(F.array_intersect("x_gs", "y_gs"))
     pairs = x.join(y, "g").where(sizes & place).withColumn("both", both).withColumn("j", F.col("both") / (F.col("x_n") + F.col("y_n") - F.col("both"))).where(F.col("j") >= JACCARD)
-    pairs = pairs.groupBy(F.col("x_w").alias("word"), F.col("y_w").alias("entry")).agg(F.max("j").alias("j")).repartition(2 * shuffle_partitions(spark), "word", "entry")
+    pairs = pairs.groupBy(F.col("x_w").alias("word"), F.col("y_w").alias("entry")).agg(F.max("j").alias("j"))
+    # an exchange of neighbours is one mistyping and two edits, so twice the allowed edits bound what the costlier count may accept
+    most = F.when(F.length("entry") < 8, 1).when(F.length("entry") < 12, 2).otherwise(3)
+    begins = (F.length("word") >= CUT) & (F.length("word") >= PART * F.length("entry")) & F.col("entry").startswith(F.col("word"))
+    pairs = pairs.where(begins | (F.abs(F.length("word") - F.length("entry")) <= most) & (F.levenshtein("word", "entry") <= 2 * most)).repartition(2 * shuffle_partitions(spark), "word", "entry")
 
     def cost(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in parts:
@@ -135,8 +139,14 @@ def best_entries(words: DataFrame, entries: DataFrame, freq: np.ndarray | None =
             yield d.assign(cost=c).loc[lambda z: z["cost"] >= 0]
 
     good = pairs.mapInPandas(cost, "word string, entry string, j double, cost double")
-    best = good.groupBy("word").agg(F.min(F.struct("cost", -F.col("j"), "entry")).alias("b"), F.sum((F.col("cost") == 0.5).cast("int")).alias("cut"))
-    return best.where("not (b.cost = 0.5 and cut > 1)").select("word", "b.entry", "b.cost")
+    best = good.groupBy("word").agg(F.min(F.struct(-F.round("j", 9), "cost", "entry")).alias("b"), F.sum((F.col("cost") == 0.5).cast("int")).alias("cut"))
+    best = best.where("not (b.cost = 0.5 and cut > 1)").select("word", "b.entry", "b.cost")
+    short = words.where(F.length("w") < WORD).join(broadcast_if(entries.where(F.length("w") < WORD), small), "w", "left_semi")
+    return best.unionByName(short.select(F.col("w").alias("word"), F.col("w").alias("entry"), F.lit(0.0).alias("cost")))
+
+
+def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
 
 
 def map_values(df: DataFrame, value: str, ref: DataFrame, ref_id: str, canonical: str, brand: str) -> DataFrame:
@@ -149,7 +159,12 @@ def map_values(df: DataFrame, value: str, ref: DataFrame, ref_id: str, canonical
     entries with one name the least id counts. Only distinct values and words are shuffled, so frequent values cost nothing extra.
     """
     r = ref.where(F.col(ref_id).isNotNull()).select(F.col(ref_id).cast("long").alias("ref_id"), F.col(canonical).alias("c"), F.col(brand).alias("b"))
-    shape = F.udf(lambda s: "".join(_RUN.findall(plain(s or ""))), "string")
+
+    def shapes(parts_: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in parts_:
+            yield x.map(lambda v: "".join(words_of(v or "")))
+
+    shape = F.pandas_udf(shapes, "string")
     part = F.explode(F.split("c", r"\s*/\s*"))
     parts = r.where("c is not null").select("ref_id", F.size(F.split("c", "/")).alias("k"), part.alias("name")).select("ref_id", "k", shape("name").alias("name"))
     single = parts.where("k = 1").groupBy("name").agg(F.min("ref_id").alias("ref_id"))
@@ -174,7 +189,7 @@ def map_values(df: DataFrame, value: str, ref: DataFrame, ref_id: str, canonical
     names = named.select(F.col("name").alias("w")).distinct()
     meaning = named.select(F.col("name").alias("entry"), "substance", "ref_id")
     freq, small = gram_counts(names), small_enough(named, BROADCAST_ROWS)
-    alone = cut(best_entries(words.where(F.length("w") >= WORD).select("w").distinct().repartition(n, "w"), names, freq, small))
+    alone = cut(best_entries(words.select("w").distinct().repartition(n, "w"), names, freq, small))
     # A blank or dash may have got into a word: neighbours that mean nothing alone are tried as one.
     rest = words.join(alone.select(F.col("word").alias("w")), "w", "left_anti")
     pairs = rest.select("vid", "lo", "w").join(rest.select("vid", (F.col("lo") - 1).alias("lo"), F.col("w").alias("next")), ["vid", "lo"])
@@ -187,7 +202,7 @@ def map_values(df: DataFrame, value: str, ref: DataFrame, ref_id: str, canonical
     per = at.groupBy("vid").agg(F.array_sort(F.collect_list(F.struct(F.col("m.cost").alias("cost"), F.col("m.lo").alias("lo"), F.col("m.hi").alias("hi"), "substance", "ref_id"))).alias("ms"))
     kept = F.aggregate("ms", F.slice("ms", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: (y["lo"] <= x["hi"]) & (x["lo"] <= y["hi"])), acc).otherwise(F.concat(acc, F.array(x))))
     per = per.select("vid", kept.alias("ms")).select("vid", F.array_join(F.array_sort(F.array_distinct(F.transform(F.slice("ms", 1, 2), lambda x: x["substance"]))), "/").alias("key"), F.element_at("ms", 1)["ref_id"].alias("first_id"))
-    joined = F.broadcast(joined) if small else joined  # no more rows than names
+    joined = broadcast_if(joined, small)  # no more rows than names
     chosen = per.join(joined, "key", "left").select("vid", F.coalesce("joined_id", "first_id").alias("ref_id"))
     return values.join(chosen, "vid", "left").select("value", F.coalesce("ref_id", F.lit(0)).cast("long").alias("ref_id"))
 
