@@ -1,8 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling (problem 9)."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phenoframe.session import cut
+
 #: Bins of the ranking by which the cut is found; rows of one bin that a task may sort.
 BINS, SORTED = 4096, 200_000
 
@@ -25,11 +29,24 @@ def budgets(docs: DataFrame, targets: DataFrame, source: str, size: str, total:
     return t.withColumn("budget", F.floor(want + F.lit(1e-6)).cast("long"))
 
 
+def _factor(sizes: pd.DataFrame) -> pd.DataFrame:
+    """The factor c of one source for which the expected tokens, the sum of size * min(1, c * w) over its documents, are `rest`."""
+    s = sizes.sort_values(["w", "size"], ascending=False)
+    tokens, w = (s["size"] * s["n"]).to_numpy(dtype=float), s["w"].to_numpy(dtype=float)
+    rest = float(s["rest"].iloc[0])
+    sure = np.r_[0.0, np.cumsum(tokens)]  # tokens of the first k sizes, all taken
+    weighted = np.r_[np.cumsum((tokens * w)[::-1])[::-1], 0.0]  # tokens * w of the others
+    with np.errstate(divide="ignore", invalid="ignore"):
+        c = (rest - sure) / weighted
+    k = next((k for k in range(len(w)) if c[k] * w[k] <= 1 + 1e-12), len(w))
+    return pd.DataFrame({"source": [s["source"].iloc[0]], "factor": [max(c[k], 0.0) if k < len(w) else 1.0 / w.min()]})
+
+
 def mix(docs: DataFrame, targets: DataFrame, ident: str, source: str, size: str, total: int | None = None, power: float = 0.5, seed: int = 29) -> DataFrame:
     """The mix: ident, source, size and copies (1 or more) of each chosen document.
 
     A source's budget is met in two steps. Its documents first get the whole copies that all of them are certain to get (budget div available). For the rest, a fraction p of the source, every
-    document has an inclusion probability in proportion to size ** power, p on average over tokens and below 1, and a rank of (u / (1 - u)) / (pi / (1 - pi)), u its own keyed random
+    document has an inclusion probability in proportion to size ** power, at most 1, whose expected tokens are those of the rest (what documents at 1 would be above it falls to the others), and a rank of (u / (1 - u)) / (pi / (1 - pi)), u its own keyed random
     number: Pareto order sampling. Documents are taken in the order of rank while they fit into the budget, so the tokens of a source fall short of its budget by less than the
     document that no longer fits. Where the cut lies is found from counts of tokens in bins of the rank, then within one bin, refined until a
     bin is small; no source is ever sorted as a whole. power 0 gives all documents of a source the same chance.
@@ -41,22 +58,22 @@ def mix(docs: DataFrame, targets: DataFrame, ident: str, source: str, size: str,
     b = budgets(d, targets, "source", "size", total).where("budget > 0").withColumns({"whole": F.expr("budget div available"), "rest": F.expr("budget % available")})
     d = d.join(F.broadcast(b.select("source", "whole", "rest", "available", "max_repeats", "n_docs")), "source")  # one row a target
     d = d.withColumn("w", F.pow("size", F.lit(power)))
-    mean = d.groupBy("source").agg((F.sum(F.col("w") * F.col("size")) / F.sum("size")).alias("mean_w"))
-    d = d.join(F.broadcast(mean), "source")
-    p = F.col("rest") / F.col("available")
-    pi = F.least(F.greatest(p * F.col("w") / F.col("mean_w"), F.lit(1e-9)), F.lit(1 - 1e-9))
+    # sizes of each source with their numbers of documents: as many rows as there are sizes; from these the factor of the odds
+    sizes = d.groupBy("source", "size").agg(F.first("w").alias("w"), F.count(F.lit(1)).alias("n"), F.first("rest").alias("rest"))
+    d = d.join(F.broadcast(sizes.groupBy("source").applyInPandas(_factor, "source string, factor double")), "source")  # one row a target
+    pi = F.least(F.greatest(F.col("factor") * F.col("w"), F.lit(1e-9)), F.lit(1 - 1e-9))
     u = (F.pmod(F.xxhash64("_id", "source", F.lit(seed)), F.lit(1 << 50)).cast("double") + 0.5) / float(1 << 50)
     d = d.withColumn("rank", (u / (1 - u)) / (pi / (1 - pi)))
-    # the rank folded into (0, 1), so that bins can be laid over it
-    d = d.withColumn("pos", F.col("rank") / (1 + F.col("rank")))
+    # the rank folded into (0, 1), so that bins can be laid over it; kept, as each refinement of the cut reads it
+    d = cut(d.select("_id", "source", "size", "whole", "max_repeats", (F.col("rank") / (1 + F.col("rank"))).alias("pos")))
     low = b.select("source", "rest").withColumns({"lo": F.lit(0.0), "hi": F.lit(1.0), "left": F.col("rest")})
     for _ in range(8):
         held = d.join(F.broadcast(low.select("source", "lo", "hi")), "source").where("pos >= lo and pos < hi")
         bins = held.groupBy("source", F.least(F.floor((F.col("pos") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.sum("size").alias("t"), F.count(F.lit(1)).alias("n"))
         w = Window.partitionBy("source").orderBy("bin")  # at most BINS rows a source
         cum = bins.withColumn("upto", F.sum("t").over(w)).join(F.broadcast(low), "source")
-        cut = cum.where("upto > left").groupBy("source").agg(F.min("bin").alias("bin"), F.min_by("n", "bin").alias("n"), F.min_by(F.col("upto") - F.col("t"), "bin").alias("before"))
-        step = low.join(cut, "source", "left")
+        edge_bin = cum.where("upto > left").groupBy("source").agg(F.min("bin").alias("bin"), F.min_by("n", "bin").alias("n"), F.min_by(F.col("upto") - F.col("t"), "bin").alias("before"))
+        step = low.join(edge_bin, "source", "left")
         width = (F.col("hi") - F.col("lo")) / BINS
         next_ = step.select("source", "rest", F.coalesce(F.col("lo") + F.col("bin") * width, "hi").alias("lo"), F.coalesce(F.col("lo") + (F.col("bin") + 1) * width, "hi").alias("hi"), (F.col("left") - F.coalesce("before", F.lit(0))).alias("left"), F.coalesce("n", F.lit(0)).alias("n"))
         rows = next_.collect()  # one row a target source
