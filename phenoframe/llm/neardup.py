@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phenoframe.llm.components import hash_to_min
+from phenoframe.llm.components import hash_to_min, pairs_within
 from phenoframe.session import cut, shuffle_partitions
 
 #: Buckets of the token counts that order tokens by rarity: a table of this fixed size is all that leaves the cluster.
@@ -30,7 +30,7 @@ def shingles(df: DataFrame, ident: str, text: str, run: int, least_words: int) -
     """_doc, _n and _tokens: the sorted distinct hashes of all runs of `run` words, for texts of at least least_words words."""
     w = df.where(F.col(ident).isNotNull() & F.col(text).isNotNull()).select(F.col(ident).cast("long").alias("_doc"), words(F.col(text)).alias("w"))
     w = w.where(F.size("w") >= max(least_words, run))
-    t = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (run - 1)), lambda i: F.xxhash64(F.slice("w", i, run)))))
+    t = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - run), lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(run))))))
     return w.select("_doc", t.alias("_tokens")).withColumn("_n", F.size("_tokens"))
 
 
@@ -45,7 +45,19 @@ def _bits(owner: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(m, axis=1).view(np.uint64)
 
 
-_PREFIX = "token long, part long, side int, doc long, n int, pos int, indexed boolean, slack int, " + ", ".join(f"b{i} long" for i in range(WORDS))
+#: What a row of a prefix holds besides its block (token, part): the document, its tokens and the token's place (32 bits each), the slack with two marks
+#: (the block's side; whether the token is among those that are enough for documents of no lesser size), and the bitmap.
+_PREFIX = "token long, part long, doc long, size_pos long, marks long, " + ", ".join(f"b{i} long" for i in range(WORDS))
+
+
+def _tiles(docs: np.ndarray, tiles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of blocks in several tiles: which row, part and side. A row meets each tile of its block in a part of its own; sides tell the tiles of a part."""
+    which = np.repeat(np.arange(len(docs)), tiles)
+    g = tiles[which]
+    own = ((docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64)[which] % g
+    other = np.arange(len(which)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
+    lo, hi = np.minimum(own, other), np.maximum(own, other)
+    return which, 1 + lo * g + hi, ((own == hi) & (lo != hi)).astype(np.int64)
 
 
 def _prefix(counts, t: float):
@@ -72,24 +84,12 @@ def _prefix(counts, t: float):
                 index = n - np.ceil(2 * t / (1 + t) * n - 1e-9).astype(np.int64) + 1
                 k = np.flatnonzero((pos < probe[owner]) & (count > 1))  # what occurs once links nothing
                 tiles = -(-count[k].astype(np.int64) // TILE)
-                part, side = np.zeros(len(k), dtype=np.int64), np.zeros(len(k), dtype=np.int32)
-                wide = np.flatnonzero(tiles > 1)
-                if len(wide):
-                    extra_k, extra_part, extra_side = [], [], []
-                    for i in wide:
-                        g = int(tiles[i])
-                        own = int((int(docs[owner[k[i]]]) * 0x9E3779B97F4A7C15 >> 20) % g)
-                        for other in range(g):
-                            lo, hi = min(own, other), max(own, other)
-                            extra_k.append(k[i])
-                            extra_part.append(1 + lo * g + hi)
-                            extra_side.append(int(own == hi and lo != hi))
-                    narrow = tiles == 1
-                    k = np.r_[k[narrow], np.array(extra_k)]
-                    part = np.r_[part[narrow], np.array(extra_part)]
-                    side = np.r_[side[narrow], np.array(extra_side, dtype=np.int32)]
+                narrow, wide = k[tiles == 1], k[tiles > 1]
+                which, part, side = _tiles(docs[owner[wide]], tiles[tiles > 1])
+                k = np.r_[narrow, wide[which]]
+                part, side = np.r_[np.zeros(len(narrow), dtype=np.int64), part], np.r_[np.zeros(len(narrow), dtype=np.int64), side]
                 o = owner[k]
-                cols = [tokens[k], part, side.astype(np.int32), docs[o], n[o].astype(np.int32), pos[k].astype(np.int32), pos[k] < index[o], slack[o].astype(np.int32)]
+                cols = [tokens[k], part, docs[o], n[o].astype(np.int64) << 32 | pos[k], slack[o].astype(np.int64) << 2 | side << 1 | (pos[k] < index[o])]
                 cols += [bits[o, i].view(np.int64) for i in range(WORDS)]
                 for a in range(0, len(k), 20_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 20_000]) for c in cols], names=[c.split()[0] for c in _PREFIX.split(", ")])
@@ -127,12 +127,17 @@ def _expand(a, b, level: _Level):
     return x[ok], y[ok]
 
 
-def dual_traversal(block, side, n, pos, indexed, slack, bits, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def dual_traversal(block, side, n, pos, indexed, slack, bits, t: float, seen: dict[str, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one block that may be similar, from the blocks' signature trees; arrays of row numbers i, j, piece by piece.
 
     Rows must be sorted by block, side and n. A pair of nodes is dropped when no pair of documents under them can reach the overlap
     that their least sizes demand: a token in common sets a common bit, and only as many tokens as the slack share bits. All blocks are walked together, level by level.
+    seen, if given, gets counts: pairs of rows in the blocks (`block`), those that the trees leave (`trees`), that the prefix rules leave (`prefix`) and that the rows' bitmaps leave (`bitmap`).
     """
+    count = lambda what, n: None if seen is None else seen.__setitem__(what, seen.get(what, 0) + int(n))
+    if seen is not None:
+        m = np.bincount(block * 2 + side, minlength=2 * (int(block.max()) + 1 if len(block) else 0)).reshape(-1, 2)
+        count("block", np.where(m.min(axis=1) > 0, m[:, 0] * m[:, 1], m[:, 0] * (m[:, 0] - 1) // 2).sum())
     need = t / (1 + t)
     group = block * 2 + side
     levels, g = [], group
@@ -164,13 +169,16 @@ def dual_traversal(block, side, n, pos, indexed, slack, bits, t: float) -> Itera
             todo.append((at - 1, a, b))
             continue
         i, j = a[a != b], b[a != b]
+        count("trees", len(i))
         swap = n[i] > n[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         low = need * (n[i] + n[j]) - 1e-9
         tie = n[i] == n[j]
         ok = (indexed[i] | (tie & indexed[j])) & (n[i] >= t * n[j] - 1e-9) & (1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= low)
         i, j, low = i[ok], j[ok], low[ok]
+        count("prefix", len(i))
         ok = (n[i] + n[j] - _popcount(bits[i] ^ bits[j])) / 2 >= low
+        count("bitmap", ok.sum())
         if ok.any():
             yield i[ok], j[ok]
 
@@ -179,6 +187,8 @@ def _blocks(t: float, rows: int = 60_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
             c = {k: table.column(k).to_numpy() for k in table.column_names}
+            size_pos, marks = c.pop("size_pos"), c.pop("marks")
+            c |= {"n": size_pos >> 32, "pos": size_pos & 0xFFFFFFFF, "slack": marks >> 2, "side": marks >> 1 & 1, "indexed": (marks & 1).astype(bool)}
             new = np.r_[True, (c["token"][1:] != c["token"][:-1]) | (c["part"][1:] != c["part"][:-1])]
             block = np.cumsum(new) - 1
             many = np.bincount(block)[block] > 1
@@ -190,7 +200,7 @@ def _blocks(t: float, rows: int = 60_000):
             c = {k: v[order] for k, v in c.items()}
             bits = np.stack([c[f"b{i}"].view(np.uint64) for i in range(WORDS)], axis=1)
             some, size = [], 0  # pairs are passed on as they come: a group of many copies is never held as a whole
-            for i, j in dual_traversal(block[order], c["side"].astype(np.int64), c["n"].astype(np.int64), c["pos"], c["indexed"], c["slack"], bits, t):
+            for i, j in dual_traversal(block[order], c["side"], c["n"], c["pos"], c["indexed"], c["slack"], bits, t):
                 a, b = c["doc"][i], c["doc"][j]
                 some.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
                 size += len(a)
@@ -268,19 +278,21 @@ def near_pairs(df: DataFrame, ident: str, text: str, run: int = 5, t: float = 0.
     found = similar(reps, t)
     x, y = member.select(F.col("rep").alias("a"), F.col("_doc").alias("x")), member.select(F.col("rep").alias("b"), F.col("_doc").alias("y"))
     across = found.join(x, "a").join(y, "b").select("x", "y")
-    m = member.join(member.groupBy("rep").count().where("count > 1").select("rep"), "rep", "left_semi")
-    within = m.select("rep", F.col("_doc").alias("x")).join(m.select("rep", F.col("_doc").alias("y")), "rep").where("x < y").select("x", "y")
+    within = pairs_within(member, "rep", "_doc").select(F.col("a").alias("x"), F.col("b").alias("y"))
     return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_groups(df: DataFrame, ident: str, text: str, run: int = 5, t: float = 0.8, least_words: int = 1) -> DataFrame:
-    """One row per compared record: its class (the least id of its connected component) and links to records of other texts: id, class_id, n_links.
+    """One row per compared record: its class (the least id of its connected component) and its links to other records: id, class_id, n_links.
 
-    Copies are not expanded into pairs: the number of links counts distinct other texts. Records that are not compared do not come out.
+    Copies are not expanded into pairs: their links to each other and to the records of similar texts are counted from the sizes of groups of copies. Records that
+    are not compared do not come out.
     """
     reps, member = _prepared(df, ident, text, run, least_words)
     found = cut(similar(reps, t))
-    ends = found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    size = cut(member.groupBy("rep").agg(F.count(F.lit(1)).alias("n")))
+    both = found.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("other")), F.struct(F.col("b").alias("rep"), F.col("a").alias("other")))).alias("x")).select("x.*")
+    ends = both.join(size.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.sum("n").alias("across"))
     at = hash_to_min(found, "a", "b").withColumnRenamed("node", "rep")
-    out = member.join(ends, "rep", "left").join(at, "rep", "left")
-    return out.select(F.col("_doc").alias(ident), F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = member.join(size, "rep").join(ends, "rep", "left").join(at, "rep", "left")
+    return out.select(F.col("_doc").alias(ident), F.coalesce("component", "rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("across", F.lit(0))).alias("n_links"))

@@ -116,6 +116,7 @@ def test_near_groups(spark):
     want = brute_components([*pairs, *((i, i) for i, _ in rows)])
     got = {r["note_id"]: r for r in neardup.near_groups(spark.createDataFrame(rows, "note_id long, note string"), "note_id", "note", 3, 0.6, 20).collect()}
     assert {k: r["class_id"] for k, r in got.items()} == want
+    assert {k: r["n_links"] for k, r in got.items()} == {k: sum(k in p for p in pairs) for k in got}  # copies count as links like all others
     assert neardup.near_groups(spark.createDataFrame([], "note_id long, note string"), "note_id", "note").count() == 0
 
 
@@ -131,10 +132,69 @@ def test_tree_prunes_only_what_cannot_match():
     bits = neardup._bits(np.repeat(np.arange(n_docs), n), tokens, n_docs)
     slack = n - neardup._popcount(bits)
     zero = np.zeros(n_docs, dtype=np.int64)
-    pieces = neardup.dual_traversal(zero, zero, n, zero, np.ones(n_docs, dtype=bool), slack, bits, t)
+    seen = {}
+    pieces = neardup.dual_traversal(zero, zero, n, zero, np.ones(n_docs, dtype=bool), slack, bits, t, seen)
     found = {(min(a, b), max(a, b)) for i, j in pieces for a, b in zip(i.tolist(), j.tolist(), strict=True)}
     want = {(a, b) for a in range(n_docs) for b in range(a + 1, n_docs) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t}
     assert want <= found and len(found) < n_docs * (n_docs - 1) // 2
+    assert seen["block"] == n_docs * (n_docs - 1) // 2 > seen["trees"] >= seen["prefix"] >= seen["bitmap"] == len(found)
+
+
+def test_one_hot_text_in_parts(spark):
+    """Copies of one text and neighbours of it, with pairs made in parts of a few rows."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words)) for i in range(40)] + [(100 + i, " ".join([*words, f"x{i}"])) for i in range(3)]
+    df = spark.createDataFrame(rows, "note_id long, note string")
+    assert {tuple(r) for r in neardup.near_pairs(df, "note_id", "note", 3, 0.6, 20).collect()} == brute_pairs(rows, 3, 0.6, 20)
+    groups = spark.createDataFrame([("g", i) for i in range(50)] + [("h", 1), (None, 2), ("g", None), ("g", 7)], "g string, v int")
+    got = [tuple(r) for r in components.pairs_within(groups, "g", "v", rows=4).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(50) for b in range(a + 1, 50)}
+    assert components.pairs_within(groups.limit(0), "g", "v").count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_slices_stream_in_batches_of_any_size(size):
+    """The rows of a slice by batches, against the slice as one batch; a hot entity, equal times and repeated rows."""
+    import pyarrow as pa
+
+    r = random.Random(4)
+    rows = sorted((("hot" if r.random() < 0.7 else f"e{r.randrange(4)}"), r.randrange(300), int(r.random() < 0.8), r.randrange(60)) for _ in range(500))
+
+    def run(step):
+        s = nearest._Slice(3, 4)
+        out = []
+        for i in range(0, len(rows), step):
+            e, a, d, k = zip(*rows[i : i + step], strict=True)
+            out += list(s.step(pa.table({"entity": pa.array(e), "at": pa.array(a, pa.int64()), "side": pa.array(d, pa.int8()), "id": pa.array(k, pa.int64())})))
+            assert s.carried.num_rows < 60
+        out += [*s.step(None), *s.edges()]
+        return {told(x) for b in out for x in b.to_pylist()} - {None}
+
+    def told(x):
+        """A row without right records that are too far to matter, which a slice may know or not."""
+        if x["kind"] == 1:
+            return tuple(x.values())
+        near = [x[i] if x[i] is not None and abs(x["at"] - x[a]) <= 4 else None for i, a in (("prev_id", "prev_at"), ("next_id", "next_at"))]
+        return (x["entity"], x["left_id"], x["at"], *near, x["ask_prev"], x["ask_next"]) if any(v is not None for v in near) or x["ask_prev"] or x["ask_next"] else None
+
+    assert run(size) == run(500) and len(run(size)) > 100
+
+
+def test_sites_of_other_schemes_link_too(spark):
+    df = spark.createDataFrame([(1, "GH-12", "7"), (2, "gh 12", "8"), (3, "K9", "8"), (4, "S000", "8"), (5, "none", "8")], "note_id long, hospital string, bdsp_patient_id string")
+    assert [tuple(x) for x in splits.linked_sites(df, "bdsp_patient_id", "hospital").collect()] == [("GH12", "K9")]
+    assert {tuple(x) for x in splits.site_components(df, "bdsp_patient_id", "hospital").select("hospital", "n_sites").collect()} == {("GH12", 2), ("K9", 2)}
+
+
+def test_split_bounds(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"S{i:07d}", str(i), "x") for i in range(1, 400)], NOTES)
+    targets = spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", 0.2)], "split_name string, share double")
+    one = {r["note_id"]: r["split_name"] for r in splits.grouped_split(df.limit(200), "note_id", "bdsp_patient_id", "hospital", targets, big=2.0).collect()}
+    all_ = {r["note_id"]: r["split_name"] for r in splits.grouped_split(df, "note_id", "bdsp_patient_id", "hospital", targets, big=2.0).collect()}
+    assert all(all_[k] == v for k, v in one.items())  # new components move none of the old
+    monkeypatch.setattr(splits, "MOST_SPLITS", 2)
+    with pytest.raises(ValueError):
+        splits.grouped_split(df, "note_id", "bdsp_patient_id", "hospital", targets)
 
 
 def brute_nearest(left, right, hours):
