@@ -35,6 +35,15 @@ def test_month_end_query_pairs_all_rows(spark, tmp_path):
     assert want and sorted(got) == sorted(want)
 
 
+def test_month_end_query_casts_no_date_per_pair(spark, tmp_path):
+    spark.createDataFrame([(1, "p", "2024-02-29", "x")], "visit_id long, patient_id string, note_date string, note_text string").write.parquet(str(tmp_path / "note.parquet"))
+    spark.createDataFrame([(2, "p", "2024-08-31", "I63")], "icd_id long, patient_id string, icd_date string, icd_code string").write.parquet(str(tmp_path / "icd.parquet"))
+    got = coded.query.queries["interval_join_month_end"](spark, str(tmp_path))
+    above = got._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)
+    assert len(above) == 2 and "cast(" not in above[0]
+    assert [tuple(r) for r in got.select("a", "b", "date").collect()] == [(1, 2, "2024-02-29")]
+
+
 def test_nulls_last_query_places_all_rows(spark, tmp_path):
     rows = [(i * 37 % 101, (None, 1, 0)[i % 3]) for i in range(101)]
     spark.createDataFrame(rows, "note_id long, annot int").repartition(3).write.parquet(str(tmp_path / "notes.parquet"))
