@@ -1,4 +1,4 @@
-"""Near-duplicate records by set similarity, with signature trees in rare-token blocks (problem 2)."""
+"""Near-duplicate records by set similarity, in rare-token blocks walked by runs of sizes and bitmaps (problem 2)."""
 
 from __future__ import annotations
 
@@ -38,16 +38,27 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=1, dtype=np.int32)
 
 
-def _bits(owner: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
+def _place(tokens: np.ndarray) -> np.ndarray:
     mixed = (tokens.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    return (mixed % np.uint64(WORDS * 64)).astype(np.int64)
+
+
+def _bits(owner: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
     m = np.zeros((n, WORDS * 64), dtype=bool)
-    m[owner, (mixed % np.uint64(WORDS * 64)).astype(np.int64)] = True
+    m[owner, _place(tokens)] = True
     return np.packbits(m, axis=1).view(np.uint64)
 
 
-#: What a row of a prefix holds besides its block (token, part): the document, its tokens and the token's place (32 bits each), the slack with two marks
-#: (the block's side; whether the token is among those that are enough for documents of no lesser size), and the bitmap.
-_PREFIX = "token long, part long, doc long, size_pos long, marks long, " + ", ".join(f"b{i} long" for i in range(WORDS))
+def _odd(tokens: np.ndarray) -> np.ndarray:
+    """Row k: which bits an odd number of the tokens before k has; of any run of tokens, the first row ^ the row after its last."""
+    at = _place(tokens)
+    m = np.zeros((len(tokens) + 1, WORDS), dtype=np.uint64)
+    m[np.arange(1, len(m)), at >> 6] = np.uint64(1) << (at & 63).astype(np.uint64)
+    return np.bitwise_xor.accumulate(m, axis=0)
+
+
+#: What a row of a prefix holds besides its block (token, part): the document, its tokens (32 bits), the block's side (1 bit) and the token's place (31 bits), and the bitmap of the tokens from that place on.
+_PREFIX = "token long, part long, doc long, size_pos long, " + ", ".join(f"b{i} long" for i in range(WORDS))
 
 
 def _tiles(docs: np.ndarray, tiles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,14 +85,12 @@ def _prefix(counts, t: float):
                 tokens = lists.values.to_numpy()[off[0] : off[-1]]
                 n = np.diff(off)
                 owner = np.repeat(np.arange(len(docs)), n)
-                bits = _bits(owner, tokens, len(docs))
-                slack = n - _popcount(bits)
                 count = freq[tokens % BUCKETS]
                 order = np.lexsort((tokens, count, owner))
                 owner, tokens, count = owner[order], tokens[order], count[order]
                 pos = np.arange(len(owner)) - (off[:-1] - off[0])[owner]
+                odd = _odd(tokens)
                 probe = n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
-                index = n - np.ceil(2 * t / (1 + t) * n - 1e-9).astype(np.int64) + 1
                 k = np.flatnonzero((pos < probe[owner]) & (count > 1))  # what occurs once links nothing
                 tiles = -(-count[k].astype(np.int64) // TILE)
                 narrow, wide = k[tiles == 1], k[tiles > 1]
@@ -89,8 +98,9 @@ def _prefix(counts, t: float):
                 k = np.r_[narrow, wide[which]]
                 part, side = np.r_[np.zeros(len(narrow), dtype=np.int64), part], np.r_[np.zeros(len(narrow), dtype=np.int64), side]
                 o = owner[k]
-                cols = [tokens[k], part, docs[o], n[o].astype(np.int64) << 32 | pos[k], slack[o].astype(np.int64) << 2 | side << 1 | (pos[k] < index[o])]
-                cols += [bits[o, i].view(np.int64) for i in range(WORDS)]
+                cols = [tokens[k], part, docs[o], n[o].astype(np.int64) << 32 | side << 31 | pos[k]]
+                bits = odd[(off[1:] - off[0])[o]] ^ odd[k]
+                cols += [bits[:, i].copy().view(np.int64) for i in range(WORDS)]
                 for a in range(0, len(k), 20_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 20_000]) for c in cols], names=[c.split()[0] for c in _PREFIX.split(", ")])
 
@@ -128,7 +138,7 @@ def _expand(a, b, level: _Level):
 
 
 def dual_traversal(block, side, n, pos, indexed, slack, bits, t: float, seen: dict[str, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one block that may be similar, from the blocks' signature trees; arrays of row numbers i, j, piece by piece.
+    """Pairs of rows of one block that may be similar, from the blocks' signature trees; arrays of row numbers i, j, piece by piece. The queries use windowed, which meets fewer pairs.
 
     Rows must be sorted by block, side and n. A pair of nodes is dropped when no pair of documents under them can reach the overlap
     that their least sizes demand: a token in common sets a common bit, and only as many tokens as the slack share bits. All blocks are walked together, level by level.
@@ -183,25 +193,64 @@ def dual_traversal(block, side, n, pos, indexed, slack, bits, t: float, seen: di
             yield i[ok], j[ok]
 
 
+def windowed(block, side, n, pos, bits, t: float, seen: dict[str, int] | None = None, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one block that may be similar and have nothing in common before the block's token; arrays of row numbers i, j, the smaller document first, piece by piece.
+
+    Every similar pair comes out in the block of the first token that it has in common, if bits are those of the tokens from the block's on (`_odd`). There these tokens hold the whole overlap that both sizes
+    demand, which bounds the other's size: n_j <= (n_i - pos_i) (1 + t) / t - n_i. So a row need only meet the rows of its block from its own size up to that bound, a run of neighbours found by bisection,
+    short where the token stands late in its prefix, that is where blocks are large. What the other row's bound excludes goes next, then pairs whose tokens from there on differ in more than the
+    demanded overlap leaves: each of these changes one bit. Rows must be sorted by block, side and n. Pieces are of at most `most` pairs of a run, or one row's.
+    seen, if given, gets counts: pairs in the runs (`window`), those that both bounds leave (`prefix`) and that the bitmaps leave (`bitmap`).
+    """
+    count = lambda what, k: None if seen is None else seen.__setitem__(what, seen.get(what, 0) + int(k))
+    need = t / (1 + t)
+    rest = n - pos - 2 * need * n  # of two rows: by how many tokens they may differ from the block's on
+    far = np.floor((n - pos) / need - n + 1e-6).astype(np.int64)
+    group = block * 2 + side
+    key = group << 32 | n
+    first, last = np.searchsorted(group, block * 2), np.searchsorted(group, block * 2 + 1, side="right") - 1
+    crossed = side[first] != side[last]  # rows of two tiles meet across, rows of one tile each other
+    other = (group ^ crossed) << 32
+    begin = np.where(crossed, np.searchsorted(key, other | (n + side)), np.arange(len(n)) + 1)  # of equal sizes the first side's row comes first
+    size = np.where(crossed | (side == 0), np.maximum(np.searchsorted(key, other | np.maximum(far, 0), side="right") - begin, 0), 0)
+    rows = np.flatnonzero(size)
+    total = np.cumsum(size[rows])
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        r, k = rows[at:to], size[rows[at:to]]
+        at = to
+        i = np.repeat(r, k)
+        j = np.arange(len(i)) + np.repeat(begin[r] - np.cumsum(k) + k, k)
+        count("window", len(i))
+        ok = n[i] <= far[j]
+        i, j = i[ok], j[ok]
+        count("prefix", len(i))
+        ok = _popcount(bits[i] ^ bits[j]) <= rest[i] + rest[j] + 1e-6
+        i, j = i[ok], j[ok]
+        count("bitmap", len(i))
+        if len(i):
+            yield i, j
+
+
 def _blocks(t: float, rows: int = 60_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
             c = {k: table.column(k).to_numpy() for k in table.column_names}
-            size_pos, marks = c.pop("size_pos"), c.pop("marks")
-            c |= {"n": size_pos >> 32, "pos": size_pos & 0xFFFFFFFF, "slack": marks >> 2, "side": marks >> 1 & 1, "indexed": (marks & 1).astype(bool)}
             new = np.r_[True, (c["token"][1:] != c["token"][:-1]) | (c["part"][1:] != c["part"][:-1])]
             block = np.cumsum(new) - 1
-            many = np.bincount(block)[block] > 1
-            if not many.any():
+            many = np.flatnonzero(np.bincount(block)[block] > 1)
+            if not len(many):
                 return
-            c = {k: v[many] for k, v in c.items()}
-            block = block[many]
-            order = np.lexsort((c["doc"], c["n"], c["side"], block))
-            c = {k: v[order] for k, v in c.items()}
-            bits = np.stack([c[f"b{i}"].view(np.uint64) for i in range(WORDS)], axis=1)
+            size_pos = c["size_pos"][many]
+            n, side, pos = size_pos >> 32, size_pos >> 31 & 1, size_pos & 0x7FFFFFFF
+            order = np.argsort((block[many] * 2 + side) << 32 | n)
+            rows = many[order]
+            doc = c["doc"][rows]
+            bits = np.stack([c[f"b{i}"][rows].view(np.uint64) for i in range(WORDS)], axis=1)
             some, size = [], 0  # pairs are passed on as they come: a group of many copies is never held as a whole
-            for i, j in dual_traversal(block[order], c["side"], c["n"], c["pos"], c["indexed"], c["slack"], bits, t):
-                a, b = c["doc"][i], c["doc"][j]
+            for i, j in windowed(block[rows], side[order], n[order], pos[order], bits, t):
+                a, b = doc[i], doc[j]
                 some.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
                 size += len(a)
                 if size >= 200_000:
@@ -238,7 +287,7 @@ def _blocks(t: float, rows: int = 60_000):
 def similar(base: DataFrame, t: float) -> DataFrame:
     """Exact pairs a < b of distinct token sets with a Jaccard similarity of at least t, over rows (_doc, _tokens, _n).
 
-    Each set enters the blocks of its rarest tokens (a prefix long enough that no pair is lost); within a block a signature tree prunes.
+    Each set enters the blocks of its rarest tokens (a prefix long enough that no pair is lost); within a block sizes, places and bitmaps leave few pairs (`windowed`).
     What is left is verified on the whole sets. base is read several times and should be cut from its lineage.
     """
     spark = base.sparkSession

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,26 @@ def test_tree_prunes_only_what_cannot_match():
     assert seen["block"] == n_docs * (n_docs - 1) // 2 > seen["trees"] >= seen["prefix"] >= seen["bitmap"] == len(found)
 
 
+@pytest.mark.parametrize("tile", [8192, 60])
+def test_blocks_pass_on_few_pairs_that_are_not_similar(monkeypatch, tile):
+    """Large sets that share words of a small vocabulary, whose bitmaps of all tokens are full: all similar pairs leave the blocks, and few of the others."""
+    monkeypatch.setattr(neardup, "TILE", tile)
+    r, t = np.random.default_rng(8), 0.6
+    sets = [np.unique(r.integers(0, 9000, 260)) for _ in range(900)]
+    sets += [np.unique(np.r_[s[20 + k :], r.integers(0, 9000, 25)]) for k, s in enumerate(sets[:60])]
+    tokens = [np.sort(s.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)).view(np.int64) for s in sets]
+    counts = type("Sent", (), {"value": np.bincount(np.concatenate(tokens) % neardup.BUCKETS, minlength=neardup.BUCKETS).astype(np.int32)})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array([x.tolist() for x in tokens], pa.list_(pa.int64()))], names=["_doc", "_tokens"])
+    rows = pa.Table.from_batches(neardup._prefix(counts, t)(iter([batch]))).sort_by([("token", "ascending"), ("part", "ascending")])
+    found = {(a, b) for x in neardup._blocks(t, rows=700)(iter(rows.to_batches(500))) for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist(), strict=True)}
+    has = np.zeros((len(sets), 9000), dtype=np.int32)
+    for k, s in enumerate(sets):
+        has[k, s] = 1
+    both, n = has @ has.T, has.sum(axis=1)
+    want = {(a, b) for a, b in np.argwhere(both >= t * (n[:, None] + n - both)).tolist() if a < b}
+    assert len(want) >= 50 and want <= found and 20 * len(found) < len(sets) * (len(sets) - 1) // 2  # bitmaps of all tokens leave more than half of all pairs
+
+
 def test_one_hot_text_in_parts(spark):
     """Copies of one text and neighbours of it, with pairs made in parts of a few rows."""
     words = [f"w{i}" for i in range(60)]
