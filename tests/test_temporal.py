@@ -44,6 +44,47 @@ def test_month_end_query_casts_no_date_per_pair(spark, tmp_path):
     assert [tuple(r) for r in got.select("a", "b", "date").collect()] == [(1, 2, "2024-02-29")]
 
 
+def _shuffled_rows(node):
+    """Rows that the exchanges of an executed plan wrote."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _shuffled_rows(node.executedPlan())
+    if kind == "ReusedExchangeExec":
+        return 0
+    if kind.endswith("QueryStageExec"):
+        return _shuffled_rows(node.plan())
+    own = node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(_shuffled_rows(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_month_end_query_shuffles_no_row_per_day(spark, tmp_path):
+    """A hot patient's note meets events of many days: notes are copied to periods, not to days."""
+    day = [D.fromordinal(D(2020, 1, 1).toordinal() + i) for i in range(360)]
+    spark.createDataFrame([(i, "hot", str(d), "x") for i, d in enumerate(day)], "visit_id long, patient_id string, note_date string, note_text string").write.parquet(str(tmp_path / "note.parquet"))
+    spark.createDataFrame([(i, "hot", str(d), "I63") for i, d in enumerate(day)], "icd_id long, patient_id string, icd_date string, icd_code string").write.parquet(str(tmp_path / "icd.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    try:
+        got = coded.query.queries["interval_join_month_end"](spark, str(tmp_path))
+        assert len(got.collect()) > 90_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < _shuffled_rows(got._jdf.queryExecution().executedPlan()) < 8 * 2 * len(day)
+
+
+def test_rows_meet_once_in_tiles(spark, monkeypatch):
+    """Periods cut into many tiles, periods that share a slot of the table of counts, repeated rows on both sides, undated ones, against in_window."""
+    monkeypatch.setattr(temporal, "TILE", {"_s": 3, "_e": 2})
+    monkeypatch.setattr(temporal, "SLOTS", 5)
+    day = lambda i: D.fromordinal(D(2019, 11, 1).toordinal() + i * 37 % 900)
+    notes = [(i, ("hot", "hot", "p", "q")[i % 4], day(i)) for i in range(80)] + [(200, "hot", None), (201, None, day(1))]
+    events = [(i, ("hot", "p", "hot", "r")[i % 4], day(3 * i)) for i in range(90)] + [(200, "hot", None), (201, None, day(1))]
+    s, e = spark.createDataFrame(notes, "a long, id string, date date"), spark.createDataFrame(events, "b long, id string, date date")
+    want = sorted(tuple(r) for r in temporal.in_window(s, e, "6mo", "3mo").select("a", "id", "date", "b").collect())
+    text = {"text": F.col("date").cast("string")}
+    got = sorted(tuple(r) for r in temporal.rows_in_window(s.union(s), e.union(e).union(e), "6mo", "3mo", more=text).select("a", "id", "date", "b", "text").collect())
+    assert len(want) > 300 and got == [(*w, str(w[2])) for w in want]
+
+
 def test_nulls_last_query_places_all_rows(spark, tmp_path):
     rows = [(i * 37 % 101, (None, 1, 0)[i % 3]) for i in range(101)]
     spark.createDataFrame(rows, "note_id long, annot int").repartition(3).write.parquet(str(tmp_path / "notes.parquet"))
